@@ -5,14 +5,34 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from witnesslake.llm import bpe, shards, simhash, urls
+from witnesslake.llm import bpe, decontam, htmltext, linededup, quality, secrets, shards, simhash, urls
 from witnesslake.llm.common import table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(table(spark, sf_dir, "documents"))
+
+
 def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard(table(spark, sf_dir, "documents"))
 
@@ -25,9 +45,24 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.with_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op8_shards, op9_bpe, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_url_filter, op4_decontamination, op5_secrets, op6_html, op7_line_dedup, op8_shards, op9_bpe, op10_simhash)}
 
 ORACLES = {
+    "op4_decontamination": r"""
+        with tok as (select rowid as r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from (select row_number() over () as rowid, doc_id, text from documents)),
+        d as (select r, doc_id, coalesce(w, []) as w, len(coalesce(w, [])) as n from tok),
+        b as (select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+        bw as (select distinct item_id, least(13, len(w)) as k, array_to_string(w[i : i + least(13, len(w)) - 1], ' ') as s
+               from (select item_id, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) as i from b where len(w) > 0)),
+        ks as (select distinct k from bw),
+        dw as (select r, k, i, array_to_string(w[i : i + k - 1], ' ') as s from (select r, w, k, unnest(range(1, n - k + 2)) as i from d, ks where n >= k)),
+        hit as (select r, i, dw.k, item_id from dw join bw on dw.k = bw.k and dw.s = bw.s),
+        pos as (select r, count(distinct p) as n_hit from (select r, unnest(range(i, i + k)) as p from (select distinct r, i, k from hit)) group by r),
+        its as (select r, count(*) as n_items, string_agg(x, ',' order by x) as ids from (select distinct r, cast(item_id as varchar) as x from hit) group by r)
+        select doc_id, n as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256,
+            coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= n as contaminated
+        from d left join pos using (r) left join its using (r)
+    """,
     "op2_url_filter": r"""
         with rest as (select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) end as r from pages),
         parts as (select page_id,
