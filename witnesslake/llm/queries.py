@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from witnesslake.llm import bpe, decontam, htmltext, linededup, quality, secrets, shards, simhash, urls
+from witnesslake.llm import ann, bpe, decontam, htmltext, linededup, quality, secrets, shards, simhash, urls
 from witnesslake.llm.common import table
 
 
@@ -17,6 +17,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -45,7 +49,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.with_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_url_filter, op4_decontamination, op5_secrets, op6_html, op7_line_dedup, op8_shards, op9_bpe, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_url_filter, op3_neighbours, op4_decontamination, op5_secrets, op6_html, op7_line_dedup, op8_shards, op9_bpe, op10_simhash)}
 
 ORACLES = {
     "op4_decontamination": r"""
