@@ -16,9 +16,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from witnesslake.llm.common import cut, free_name, lower_ascii
+from witnesslake.llm.common import cut, free_name
 
-SPACE = r"[ \t-\x0D]+"
+SPACE, WORDED = r"[ \t-\x0D]+", r"[^ \t-\x0D]"
 #: Counts of words are kept by hash in so many buckets: bounds the table that orders them.
 BUCKETS = 1 << 16
 HASH_BITS = 57
@@ -28,7 +28,7 @@ NONE = "array<int>"
 
 
 def _words(line: Column) -> Column:
-    return F.array_remove(F.split(lower_ascii(line), SPACE), "")
+    return F.array_remove(F.split(F.lower(line), SPACE), "")
 
 
 def _levels(docs: DataFrame) -> Column:
@@ -55,7 +55,8 @@ def _set_of(keys: str) -> Column:
 def _sets(docs: DataFrame, levels: Column) -> tuple[DataFrame, DataFrame]:
     """Each line with its set's id, and each distinct set with its first line and prefix."""
     keyed = docs.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n", -1)).alias("line", "words"))
-    keyed = keyed.select("doc_id", "h", "line", _keys(F.col("words"), levels).alias("keys")).where(F.size("keys") > 0)
+    # lines without words go before their keys are made: a condition on the keys would make them twice
+    keyed = keyed.where(F.col("words").rlike(WORDED)).select("doc_id", "h", "line", _keys(F.col("words"), levels).alias("keys"))
     n = F.size("keys")
     # n - ceil(4n/5) + 1; sets of under four words have no match but themselves
     prefix = F.when(n >= 4, F.slice("keys", 1, F.floor(n / 5).cast("int") + 1)).otherwise(F.array().cast("array<long>"))
@@ -75,7 +76,7 @@ def _verified(docs: DataFrame, levels: Column, pairs: DataFrame, sets: DataFrame
     wanted = pairs.select("sid").union(pairs.select("other")).distinct()
     at = cut(sets.select("sid", "first").join(wanted, "sid", "left_semi").select("sid", F.col("first.doc_id").alias("d"), F.col("first.h").alias("hh"), F.col("first.line").alias("line")))
     side = F.broadcast(at) if at.count() <= BROADCAST_ROWS else at
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).dropDuplicates(["doc_id", "h"]) if side is at else docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
     found = texts.join(side, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("hh"))).select("sid", F.get(F.split("text", "\n", -1), F.col("line")).alias("words"))
     keys = cut(found.select("sid", _keys(F.col("words"), levels).alias("keys")).dropDuplicates(["sid"]))
     both = pairs.join(keys, "sid").withColumnRenamed("keys", "mine").join(keys.withColumnRenamed("sid", "other"), "other")
@@ -90,9 +91,11 @@ def later_lines(docs: DataFrame) -> DataFrame:
     lines, sets = _sets(docs, levels)
     sets = cut(sets)
     placed = sets.where(F.size("prefix") > 0).select("sid", "n", F.col("first.doc_id").alias("doc"), F.posexplode("prefix").alias("pos", "word"))
-    # the earliest of each group first
-    earliest = F.expr("first_value(struct(doc, sid, n, pos)) over (partition by word order by doc, sid)")
-    tried = placed.withColumn("e", earliest).where("e.sid <> sid").select("sid", "n", "pos", F.col("e.sid").alias("other"), F.col("e.n").alias("e_n"), F.col("e.pos").alias("e_pos"), (F.col("doc") > F.col("e.doc")).alias("later"))
+    # words of one set alone go; of each other group the earliest set is tried first
+    grouped = placed.withColumn("e", F.expr("min(struct(doc, sid, n, pos)) over (partition by word)")).withColumn("sets", F.expr("count(*) over (partition by word)"))
+    placed = cut(grouped.where("sets > 1").drop("sets"))
+    tried = placed.where("e.sid <> sid").select("sid", "n", "pos", F.col("e.sid").alias("other"), F.col("e.n").alias("e_n"), F.col("e.pos").alias("e_pos"), (F.col("doc") > F.col("e.doc")).alias("later"))
+    placed = placed.drop("e")
     near = cut(tried.where(_can_match("", "e_") & F.col("later")).select("sid", "other").distinct())
     matched = cut(_verified(docs, levels, near, sets))
     # all other pairs of sets that have no match yet
@@ -118,8 +121,7 @@ def _with_removed(docs: DataFrame, name: str) -> DataFrame:
 def remove_lines(docs: DataFrame) -> DataFrame:
     """docs with later near-equal lines taken out of the texts; `n_chars`, if there, is counted anew.
 
-    Lines are parted by line feeds and compared as sets of words (A-Z
-    lower-cased); the earlier is that of the smaller doc_id, then of the smaller
+    Lines are parted by line feeds and compared as sets of lower-cased words; the earlier is that of the smaller doc_id, then of the smaller
     place. A line goes if any earlier line, kept or not, is similar to it. Lines
     without words stay. Null texts stay null, a text may become empty, no row is
     dropped. A document repeated in full, doc_id included, counts once and its
