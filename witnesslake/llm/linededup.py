@@ -1,9 +1,9 @@
 """Line dedup: an exact set-similarity join of lines, on DataFrame functions alone.
 
 A line is the set of its words. Words are ordered by their rarity over all
-documents, so two lines of Jaccard similarity 0.8 or more share a word of their
-short prefixes. Lines meet there, length and positional filters drop most pairs,
-and the rest is verified on whole sets. The later line of a pair is removed.
+documents, so two lines of Jaccard similarity 0.8 or more share two words of
+their short prefixes. Lines meet there, length and positional filters drop most
+pairs, and the rest is verified on whole sets. The later line of a pair is removed.
 
 Equal sets are one item of the join, so copies cost nothing. In each group of a
 prefix word the earliest set is tried first, which settles most of a group of
@@ -16,9 +16,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from witnesslake.llm.common import cut, free_name
+from witnesslake.llm.common import cut, free_name, stored
 
-SPACE, WORDED = r"[ \t-\x0D]+", r"[^ \t-\x0D]"
+ODD_SPACE, WORDED = r"[\t-\x0D]", r"[^ \t-\x0D]"
 #: Counts of words are kept by hash in so many buckets: bounds the table that orders them.
 BUCKETS = 1 << 16
 HASH_BITS = 57
@@ -28,7 +28,8 @@ NONE = "array<int>"
 
 
 def _words(line: Column) -> Column:
-    return F.array_remove(F.split(F.lower(line), SPACE), "")
+    spaced = F.when(line.rlike(ODD_SPACE), F.regexp_replace(line, ODD_SPACE, " ")).otherwise(line)
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def _levels(docs: DataFrame) -> Column:
@@ -58,17 +59,22 @@ def _sets(docs: DataFrame, levels: Column) -> tuple[DataFrame, DataFrame]:
     # lines without words go before their keys are made: a condition on the keys would make them twice
     keyed = keyed.where(F.col("words").rlike(WORDED)).select("doc_id", "h", "line", _keys(F.col("words"), levels).alias("keys"))
     n = F.size("keys")
-    # n - ceil(4n/5) + 1; sets of under four words have no match but themselves
-    prefix = F.when(n >= 4, F.slice("keys", 1, F.floor(n / 5).cast("int") + 1)).otherwise(F.array().cast("array<long>"))
-    lines = cut(keyed.select("doc_id", "h", "line", _set_of("keys").alias("sid"), n.alias("n"), prefix.alias("prefix")))
+    # n - ceil(4n/5) + 2, for two shared words; sets of under four words have no match but themselves
+    prefix = F.when(n >= 4, F.slice("keys", 1, F.floor(n / 5).cast("int") + 2)).otherwise(F.array().cast("array<long>"))
+    lines = stored(keyed.select("doc_id", "h", "line", _set_of("keys").alias("sid"), n.alias("n"), prefix.alias("prefix")))
     sets = lines.groupBy("sid").agg(F.min(F.struct("doc_id", "h", "line")).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     return lines.drop("prefix"), sets
 
 
 def _can_match(a: str, b: str) -> Column:
-    """Length and positional filters of prefix places a and b: 9 * overlap >= 4 * (n + m) must be within reach."""
+    """Length and positional filters of prefix places a and b: what is shared before, here and behind must reach 9 * overlap >= 4 * (n + m)."""
     na, nb, pa, pb = F.col(f"{a}n"), F.col(f"{b}n"), F.col(f"{a}pos"), F.col(f"{b}pos")
-    return (5 * na >= 4 * nb) & (5 * nb >= 4 * na) & (9 * (1 + F.least(na - 1 - pa, nb - 1 - pb)) >= 4 * (na + nb))
+    return (5 * na >= 4 * nb) & (5 * nb >= 4 * na) & (9 * (1 + F.least(pa, pb) + F.least(na - 1 - pa, nb - 1 - pb)) >= 4 * (na + nb))
+
+
+def _twice(met: DataFrame) -> DataFrame:
+    """Pairs (sid, other) that meet at two words at least."""
+    return met.groupBy("sid", "other").agg(F.count("*").alias("n")).where("n > 1").select("sid", "other")
 
 
 def _verified(docs: DataFrame, levels: Column, pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -78,7 +84,7 @@ def _verified(docs: DataFrame, levels: Column, pairs: DataFrame, sets: DataFrame
     side = F.broadcast(at) if at.count() <= BROADCAST_ROWS else at
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
     found = texts.join(side, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("hh"))).select("sid", F.get(F.split("text", "\n", -1), F.col("line")).alias("words"))
-    keys = cut(found.select("sid", _keys(F.col("words"), levels).alias("keys")).dropDuplicates(["sid"]))
+    keys = stored(found.select("sid", _keys(F.col("words"), levels).alias("keys")).dropDuplicates(["sid"]))
     both = pairs.join(keys, "sid").withColumnRenamed("keys", "mine").join(keys.withColumnRenamed("sid", "other"), "other")
     shared = F.size(F.array_intersect("mine", "keys"))
     return both.where(9 * shared >= 4 * (F.size("mine") + F.size("keys"))).select("sid").distinct()
@@ -89,21 +95,21 @@ def later_lines(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     levels = _levels(docs)
     lines, sets = _sets(docs, levels)
-    sets = cut(sets)
+    sets = stored(sets)
     placed = sets.where(F.size("prefix") > 0).select("sid", "n", F.col("first.doc_id").alias("doc"), F.posexplode("prefix").alias("pos", "word"))
     # words of one set alone go; of each other group the earliest set is tried first
     grouped = placed.withColumn("e", F.expr("min(struct(doc, sid, n, pos)) over (partition by word)")).withColumn("sets", F.expr("count(*) over (partition by word)"))
-    placed = cut(grouped.where("sets > 1").drop("sets"))
+    placed = stored(grouped.where("sets > 1").drop("sets"))
     tried = placed.where("e.sid <> sid").select("sid", "n", "pos", F.col("e.sid").alias("other"), F.col("e.n").alias("e_n"), F.col("e.pos").alias("e_pos"), (F.col("doc") > F.col("e.doc")).alias("later"))
     placed = placed.drop("e")
-    near = cut(tried.where(_can_match("", "e_") & F.col("later")).select("sid", "other").distinct())
+    near = cut(_twice(tried.where(_can_match("", "e_") & F.col("later"))))
     matched = cut(_verified(docs, levels, near, sets))
     # all other pairs of sets that have no match yet
     rest = placed.join(matched, "sid", "left_anti")
     first = sets.select(F.col("sid").alias("of"), "first")
     others = placed.select(*(F.col(c).alias(f"o_{c}") for c in placed.columns))
     pairs = rest.join(others, (F.col("word") == F.col("o_word")) & (F.col("sid") != F.col("o_sid")) & (F.coalesce("doc", F.lit(-(1 << 63))) >= F.coalesce("o_doc", F.lit(-(1 << 63)))) & _can_match("", "o_"))
-    pairs = pairs.select("sid", F.col("o_sid").alias("other")).distinct()
+    pairs = _twice(pairs.withColumnRenamed("o_sid", "other"))
     mine, theirs = first.toDF("sid", "mine"), first.toDF("other", "theirs")
     pairs = cut(pairs.join(mine, "sid").join(theirs, "other").where("theirs < mine").select("sid", "other"))
     matched = matched.union(_verified(docs, levels, pairs, sets)).withColumn("near", F.lit(True))
@@ -121,7 +127,7 @@ def _with_removed(docs: DataFrame, name: str) -> DataFrame:
 def remove_lines(docs: DataFrame) -> DataFrame:
     """docs with later near-equal lines taken out of the texts; `n_chars`, if there, is counted anew.
 
-    Lines are parted by line feeds and compared as sets of lower-cased words; the earlier is that of the smaller doc_id, then of the smaller
+    Lines are parted by line feeds and compared as sets of words as written, parted by white space; the earlier is that of the smaller doc_id, then of the smaller
     place. A line goes if any earlier line, kept or not, is similar to it. Lines
     without words stay. Null texts stay null, a text may become empty, no row is
     dropped. A document repeated in full, doc_id included, counts once and its
