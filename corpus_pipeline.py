@@ -6,10 +6,9 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from witnesslake.llm import bpe, decontam, linededup, quality, simhash
-from witnesslake.llm.common import cut, table
+from witnesslake.llm.common import shared_folder, table
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,15 +51,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on `documents`; each result is written to the shared folder as Parquet and read again."""
     docs = table(spark, sf_dir, "documents")
-    folder = _folder(spark)
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
     return docs
 
-
-def _folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, or under the one that cut() sets where that is unset."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        cut(spark.range(1).select(F.col("id")))
-    return f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
