@@ -24,6 +24,9 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder that all executors share; one of its own where none is set, in local mode alone."""
     context = spark.sparkContext
@@ -42,10 +45,18 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Like cut, for wide or large tables: as Parquet, which is smaller and read by column."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    """Like cut, for wide or large tables: as Parquet, which is smaller and read by column.
+
+    Once it is written nothing asks for the shuffles behind it, so their files go at once.
+    """
+    spark = df.sparkSession
+    path, before = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}", spark.conf.get(FREE_SHUFFLES)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
+    return spark.read.parquet(path)
 
 
 def lower_ascii(text: Column) -> Column:

@@ -16,13 +16,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from witnesslake.llm.common import cut, free_name, stored
+from witnesslake.llm.common import free_name, stored
 
 ODD_SPACE, WORDED = r"[\t-\x0D]", r"[^ \t-\x0D]"
 #: Counts of words are kept by hash in so many buckets: bounds the table that orders them.
 BUCKETS = 1 << 16
 HASH_BITS = 57
-#: Rows of (doc_id, line) that may be broadcast; more are joined by a shuffle.
+#: Rows of a set or line that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 NONE = "array<int>"
 
@@ -53,8 +53,8 @@ def _set_of(keys: str) -> Column:
     return F.xxhash64(keys)
 
 
-def _sets(docs: DataFrame, levels: Column) -> tuple[DataFrame, DataFrame]:
-    """Each line with its set's id, and each distinct set with its first line and prefix."""
+def _sets(docs: DataFrame, levels: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Each line with its set's id, each distinct set with its first line, and with its prefix."""
     keyed = docs.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n", -1)).alias("line", "words"))
     # lines without words go before their keys are made: a condition on the keys would make them twice
     keyed = keyed.where(F.col("words").rlike(WORDED)).select("doc_id", "h", "line", _keys(F.col("words"), levels).alias("keys"))
@@ -62,8 +62,10 @@ def _sets(docs: DataFrame, levels: Column) -> tuple[DataFrame, DataFrame]:
     # n - ceil(4n/5) + 2, for two shared words; sets of under four words have no match but themselves
     prefix = F.when(n >= 4, F.slice("keys", 1, F.floor(n / 5).cast("int") + 2)).otherwise(F.array().cast("array<long>"))
     lines = stored(keyed.select("doc_id", "h", "line", _set_of("keys").alias("sid"), n.alias("n"), prefix.alias("prefix")))
-    sets = lines.groupBy("sid").agg(F.min(F.struct("doc_id", "h", "line")).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    return lines.drop("prefix"), sets
+    first = F.min(F.struct("doc_id", "h", "line")).alias("first")
+    sets = stored(lines.groupBy("sid").agg(first))
+    prefixes = lines.where(F.size("prefix") > 0).groupBy("sid").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    return lines.select("doc_id", "h", "line", "sid"), sets, prefixes
 
 
 def _can_match(a: str, b: str) -> Column:
@@ -80,7 +82,7 @@ def _twice(met: DataFrame) -> DataFrame:
 def _verified(docs: DataFrame, levels: Column, pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of pairs (sid, other), the sids whose similarity to the other is 0.8 or more."""
     wanted = pairs.select("sid").union(pairs.select("other")).distinct()
-    at = cut(sets.select("sid", "first").join(wanted, "sid", "left_semi").select("sid", F.col("first.doc_id").alias("d"), F.col("first.h").alias("hh"), F.col("first.line").alias("line")))
+    at = stored(sets.select("sid", "first").join(wanted, "sid", "left_semi").select("sid", F.col("first.doc_id").alias("d"), F.col("first.h").alias("hh"), F.col("first.line").alias("line")))
     side = F.broadcast(at) if at.count() <= BROADCAST_ROWS else at
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
     found = texts.join(side, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("hh"))).select("sid", F.get(F.split("text", "\n", -1), F.col("line")).alias("words"))
@@ -94,28 +96,28 @@ def later_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, h, removed): of documents that lose lines, the hash of the text and the line numbers, from 0, in order."""
     docs = docs.select("doc_id", "text")
     levels = _levels(docs)
-    lines, sets = _sets(docs, levels)
-    sets = stored(sets)
-    placed = sets.where(F.size("prefix") > 0).select("sid", "n", F.col("first.doc_id").alias("doc"), F.posexplode("prefix").alias("pos", "word"))
+    lines, sets, prefixes = _sets(docs, levels)
+    # words meet by a short hash: what meets by chance fails the verification
+    placed = prefixes.select("sid", "n", "doc", F.posexplode("prefix").alias("pos", "key")).select("sid", "n", "doc", "pos", F.hash("key").alias("word"))
     # words of one set alone go; of each other group the earliest set is tried first
     grouped = placed.withColumn("e", F.expr("min(struct(doc, sid, n, pos)) over (partition by word)")).withColumn("sets", F.expr("count(*) over (partition by word)"))
     placed = stored(grouped.where("sets > 1").drop("sets"))
     tried = placed.where("e.sid <> sid").select("sid", "n", "pos", F.col("e.sid").alias("other"), F.col("e.n").alias("e_n"), F.col("e.pos").alias("e_pos"), (F.col("doc") > F.col("e.doc")).alias("later"))
     placed = placed.drop("e")
-    near = cut(_twice(tried.where(_can_match("", "e_") & F.col("later"))))
-    matched = cut(_verified(docs, levels, near, sets))
+    near = stored(_twice(tried.where(_can_match("", "e_") & F.col("later"))))
+    matched = stored(_verified(docs, levels, near, sets))
     # all other pairs of sets that have no match yet
-    rest = placed.join(matched, "sid", "left_anti")
+    rest = placed.join(F.broadcast(matched) if matched.count() <= BROADCAST_ROWS else matched, "sid", "left_anti")
     first = sets.select(F.col("sid").alias("of"), "first")
     others = placed.select(*(F.col(c).alias(f"o_{c}") for c in placed.columns))
     pairs = rest.join(others, (F.col("word") == F.col("o_word")) & (F.col("sid") != F.col("o_sid")) & (F.coalesce("doc", F.lit(-(1 << 63))) >= F.coalesce("o_doc", F.lit(-(1 << 63)))) & _can_match("", "o_"))
     pairs = _twice(pairs.withColumnRenamed("o_sid", "other"))
     mine, theirs = first.toDF("sid", "mine"), first.toDF("other", "theirs")
-    pairs = cut(pairs.join(mine, "sid").join(theirs, "other").where("theirs < mine").select("sid", "other"))
+    pairs = stored(pairs.join(mine, "sid").join(theirs, "other").where("theirs < mine").select("sid", "other"))
     matched = matched.union(_verified(docs, levels, pairs, sets)).withColumn("near", F.lit(True))
     judged = sets.select("sid", "first").join(matched, "sid", "left")
     gone = lines.join(judged, "sid").where(F.col("near").isNotNull() | (F.struct("doc_id", "h", "line") != F.col("first")))
-    return gone.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("line")).alias("removed"))
+    return stored(gone.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("line")).alias("removed")))
 
 
 def _with_removed(docs: DataFrame, name: str) -> DataFrame:
