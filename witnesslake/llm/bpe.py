@@ -27,7 +27,7 @@ from witnesslake.llm.common import small_batches
 #: Bytes that are encoded at once; longer pieces are halved.
 LEAF = 24
 #: Pieces remembered by a worker, and the length of the longest one remembered.
-REMEMBERED, REMEMBERED_CHARS = 1_000_000, 40
+REMEMBERED, REMEMBERED_CHARS = 400_000, 40
 #: Stands for the rank of two tokens that don't merge.
 NONE = 1 << 62
 #: A vocabulary file is broadcast; larger ones are refused.

@@ -56,7 +56,17 @@ def stored(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(FREE_SHUFFLES, before)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that stored() made, once all that was read from them is itself written."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()  # noqa: SLF001
+        folder = jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        folder.getFileSystem(conf).delete(folder, True)
 
 
 def lower_ascii(text: Column) -> Column:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from witnesslake.llm.common import free_name, stored
+from witnesslake.llm.common import discard, free_name, stored
 
 ODD_SPACE, WORDED = r"[\t-\x0D]", r"[^ \t-\x0D]"
 #: Counts of words are kept by hash in so many buckets: bounds the table that orders them.
@@ -53,19 +53,20 @@ def _set_of(keys: str) -> Column:
     return F.xxhash64(keys)
 
 
-def _sets(docs: DataFrame, levels: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Each line with its set's id, each distinct set with its first line, and with its prefix."""
+def _sets(docs: DataFrame, levels: Column) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Each line with its set's id and prefix, without the prefix, each distinct set with its first line, and with its prefix."""
     keyed = docs.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n", -1)).alias("line", "words"))
     # lines without words go before their keys are made: a condition on the keys would make them twice
     keyed = keyed.where(F.col("words").rlike(WORDED)).select("doc_id", "h", "line", _keys(F.col("words"), levels).alias("keys"))
     n = F.size("keys")
     # n - ceil(4n/5) + 2, for two shared words; sets of under four words have no match but themselves
     prefix = F.when(n >= 4, F.slice("keys", 1, F.floor(n / 5).cast("int") + 2)).otherwise(F.array().cast("array<long>"))
-    lines = stored(keyed.select("doc_id", "h", "line", _set_of("keys").alias("sid"), n.alias("n"), prefix.alias("prefix")))
+    wide = stored(keyed.select("doc_id", "h", "line", _set_of("keys").alias("sid"), n.alias("n"), prefix.alias("prefix")))
     first = F.min(F.struct("doc_id", "h", "line")).alias("first")
+    lines = stored(wide.select("doc_id", "h", "line", "sid"))
     sets = stored(lines.groupBy("sid").agg(first))
-    prefixes = lines.where(F.size("prefix") > 0).groupBy("sid").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    return lines.select("doc_id", "h", "line", "sid"), sets, prefixes
+    prefixes = wide.where(F.size("prefix") > 0).groupBy("sid").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    return wide, lines, sets, prefixes
 
 
 def _can_match(a: str, b: str) -> Column:
@@ -96,12 +97,14 @@ def later_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, h, removed): of documents that lose lines, the hash of the text and the line numbers, from 0, in order."""
     docs = docs.select("doc_id", "text")
     levels = _levels(docs)
-    lines, sets, prefixes = _sets(docs, levels)
+    wide, lines, sets, prefixes = _sets(docs, levels)
     # words meet by a short hash: what meets by chance fails the verification
     placed = prefixes.select("sid", "n", "doc", F.posexplode("prefix").alias("pos", "key")).select("sid", "n", "doc", "pos", F.hash("key").alias("word"))
     # words of one set alone go; of each other group the earliest set is tried first
     grouped = placed.withColumn("e", F.expr("min(struct(doc, sid, n, pos)) over (partition by word)")).withColumn("sets", F.expr("count(*) over (partition by word)"))
     placed = stored(grouped.where("sets > 1").drop("sets"))
+    discard(wide)
+    groups = placed
     tried = placed.where("e.sid <> sid").select("sid", "n", "pos", F.col("e.sid").alias("other"), F.col("e.n").alias("e_n"), F.col("e.pos").alias("e_pos"), (F.col("doc") > F.col("e.doc")).alias("later"))
     placed = placed.drop("e")
     near = stored(_twice(tried.where(_can_match("", "e_") & F.col("later"))))
@@ -114,10 +117,15 @@ def later_lines(docs: DataFrame) -> DataFrame:
     pairs = _twice(pairs.withColumnRenamed("o_sid", "other"))
     mine, theirs = first.toDF("sid", "mine"), first.toDF("other", "theirs")
     pairs = stored(pairs.join(mine, "sid").join(theirs, "other").where("theirs < mine").select("sid", "other"))
-    matched = matched.union(_verified(docs, levels, pairs, sets)).withColumn("near", F.lit(True))
+    discard(groups, near)
+    early, late = matched, stored(_verified(docs, levels, pairs, sets))
+    discard(pairs)
+    matched = early.union(late).withColumn("near", F.lit(True))
     judged = sets.select("sid", "first").join(matched, "sid", "left")
     gone = lines.join(judged, "sid").where(F.col("near").isNotNull() | (F.struct("doc_id", "h", "line") != F.col("first")))
-    return stored(gone.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("line")).alias("removed")))
+    out = stored(gone.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("line")).alias("removed")))
+    discard(lines, sets, early, late)
+    return out
 
 
 def _with_removed(docs: DataFrame, name: str) -> DataFrame:
