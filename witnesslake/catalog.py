@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from witnesslake.functions import geometry, text
-from witnesslake.operators import evaluation, incidents, log, rules, spatial, state
-from witnesslake.sources import views
+from witnesslake.operators import attention, evaluation, incidents, log, rules, spatial, state
+from witnesslake.sources import jsonlog, views
 from witnesslake.sources.views import table
 from witnesslake.streaming import stateful
 
@@ -477,3 +477,104 @@ def reentry_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = stateful.windowed_counts(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")))
     return got.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+# Attention, encoding, views and tallies.
+
+DEMANDS = [("d1", [], ["person"], ["a0", "a1"], 5000), ("d2", ["cam-1", "cam-2"], [], ["a1", "a2"], 2000), ("d3", ["cam-5"], ["vehicle.forklift"], ["a2"], 500)]
+_DEMANDS = """, demands(demand, cams, cls, attributes, freshness_ms) as (values ('d1', [], ['person'], ['a0', 'a1'], 5000), ('d2', ['cam-1', 'cam-2'], [], ['a1', 'a2'], 2000), ('d3', ['cam-5'], ['vehicle.forklift'], ['a2'], 500)),
+    matched as (select o.object_id, d.* from objs o join demands d on (len(cams) = 0 or list_contains(cams, o.camera_id)) and (len(cls) = 0 or o.class_id = cls[1] or starts_with(o.class_id, cls[1] || '.')))"""
+
+
+def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    demands = spark.createDataFrame(DEMANDS, "demand_id string, camera_ids array<string>, class_ids array<string>, attributes array<string>, freshness_ms long")
+    return attention.match_demands(state.objects(_obs(spark, sf_dir)), demands)
+
+
+@query(f"{_DEMANDS} select object_id, demand from matched")
+def demand_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _matched(spark, sf_dir).select("object_id", "demand")
+
+
+@query(f"{_DEMANDS} select object_id, attribute, min(freshness_ms) as freshness_ms, string_agg(distinct demand, ',' order by demand) as demands from (select object_id, demand, freshness_ms, unnest(attributes) as attribute from matched) group by 1, 2")
+def demand_required_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention.required_attributes(_matched(spark, sf_dir))
+
+
+@query(f"""select object_id, attr_key, case when attr_value in ('unknown') then 'ATTRIBUTE_MISSING' when {NOW} - observed_at_ns > {15 * views.DAY_NS} then 'STALE' when n_seen > 6 then 'LIFECYCLE' when n_seen % 5 >= 4 then 'APPEARANCE' when n_seen % 3 = 0 then 'LOW_CONFIDENCE' when {NOW} - observed_at_ns >= 300000000000 then 'PERIODIC' else 'FRESH_ENOUGH' end as reason from held""")
+def trigger_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("n_seen")
+    reason = attention.trigger(F.col("attr_value") == "unknown", F.lit(True), F.lit(NOW) - F.col("observed_at_ns"), F.lit(15 * views.DAY_NS), n > 6, (n % 5) / 16.0, (n % 3) * 0.5)
+    return state.current_attributes(_attrs(spark, sf_dir)).select("object_id", "attr_key", reason.alias("reason"))
+
+
+@query("select o_orderkey as arrival, priority from (select *, case substr(o_orderpriority, 1, 1) when '1' then 'critical' when '2' then 'interactive' when '3' then 'standard' when '4' then 'background' else 'other' end as priority from orders) order by case priority when 'critical' then 1 when 'interactive' then 2 when 'standard' then 3 when 'background' then 4 else 5 end, o_orderkey limit 100")
+def priority_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.element_at(F.create_map(*(F.lit(x) for kv in zip("1234", attention.PRIORITIES, strict=True) for x in kv)), F.substring("o_orderpriority", 1, 1))
+    requests = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("arrival"), F.coalesce(names, F.lit("other")).alias("priority"))
+    return attention.by_priority(requests, 100).select("arrival", "priority")
+
+
+@query("select object_id, attr_key, case when attr_key in ('a0', 'a1') and starts_with(class_id, 'person') then 'people' when attr_key in ('a1', 'a2') then 'any' when attr_key = 'a4' and class_id = 'vehicle' or attr_key = 'a4' and starts_with(class_id, 'vehicle.') then 'wheels' end as rule from (select distinct object_id, attr_key, class_id from attrs)")
+def governing_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = _attrs(spark, sf_dir).select("object_id", F.col("attr_key").alias("attribute"), "class_id").distinct()
+    return attention.governing(asked, [("people", ["a0", "a1"], ["person"]), ("any", ["a1", "a2"], []), ("wheels", ["a4"], ["vehicle"])]).select("object_id", F.col("attribute").alias("attr_key"), "rule")
+
+
+@query("select adapter, prompt, chunk, count(*) as n, min(arrival) as first from (select camera_id as adapter, kind as prompt, event_id as arrival, (row_number() over (partition by camera_id, kind order by event_id) - 1) // 16 as chunk from obs) group by 1, 2, 3")
+def micro_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention.batches(_obs(spark, sf_dir).select(F.col("camera_id").alias("adapter"), F.col("kind").alias("prompt"), F.col("event_id").alias("arrival")), 16)
+
+
+@query()
+def motion_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention.ema_motion(state.trajectory_ring(_obs(spark, sf_dir)))
+
+
+@query("select observation_id, kind, object_id, class_id, t_ns, round(value, 9) as value from obs")
+def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each observation encoded as a JSON line and decoded again."""
+    got = jsonlog.decode(jsonlog.encode(_obs(spark, sf_dir)).select("line")).where("not bad")
+    return got.select("observation_id", "kind", "object_id", "class_id", "t_ns", F.round("value", 9).alias("value"))
+
+
+@query(f"{_RULES_SQL} select rule_id, object_id, case state when 'VIOLATION' then rule_id || ': ' || n_failed || ' failed' when 'UNKNOWN' then rule_id || ': unknown (' || reasons || ')' when 'NOT_APPLICABLE' then rule_id || ': not applicable' else rule_id || ': holds' end as sentence from found")
+def finding_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return incidents.sentence(rules.findings(_judged(spark, sf_dir))).select("rule_id", "object_id", "sentence")
+
+
+@query("select tenant_id, camera_id, kind, count(*) as n from obs group by all")
+def tallies_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _obs(spark, sf_dir).groupBy("tenant_id", "camera_id", "kind").agg(F.count("*").alias("n"))
+
+
+@query("select camera_id, observation_id, round(avg(case when kind = 'coverage' then 1 else 0 end) over (partition by camera_id order by log_position rows between 99 preceding and current row), 9) as rate from obs")
+def trailing_rejection_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rate = F.expr("avg(case when kind = 'coverage' then 1 else 0 end) over (partition by camera_id order by log_position rows between 99 preceding and current row)")
+    return _obs(spark, sf_dir).select("camera_id", "observation_id", F.round(rate, 9).alias("rate"))
+
+
+@query("select camera_id, t_ns, streak from (select *, row_number() over (partition by camera_id, island order by log_position) as streak from (select *, sum(case when before is null or before <> k % 2 then 1 else 0 end) over (partition by camera_id order by log_position) as island from (select *, lag(k % 2) over (partition by camera_id order by log_position) as before from obs))) where streak = 4")
+def frozen_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suspicion exactly when a camera's digest has been the same four times."""
+    order = "over (partition by camera_id order by log_position)"
+    marked = _obs(spark, sf_dir).select("camera_id", "t_ns", "log_position", (F.col("k") % 2).alias("digest")).withColumn("before", F.expr(f"lag(digest) {order}"))
+    islands = marked.withColumn("island", F.expr(f"sum(case when before is null or before <> digest then 1 else 0 end) {order}"))
+    return islands.withColumn("streak", F.expr("row_number() over (partition by camera_id, island order by log_position)").cast("long")).where("streak = 4").select("camera_id", "t_ns", "streak")
+
+
+@query("select state, count(*) as n from (select case when o_orderdate <= timestamp '1995-06-01' then 'EXPIRED' else 'retained' end as state from orders) group by 1")
+def evidence_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = table(spark, sf_dir, "orders").select(F.col("o_orderdate").alias("expires_at"), F.lit("retained").alias("state"))
+    return incidents.sweep(records, "1995-06-01", erase=False).groupBy("state").agg(F.count("*").alias("n"))
+
+
+@query("select source, lang, count(*) as n, sum(case when quality = 1 then 1 else 0 end) as good, count(distinct doc_id) >= 20 as measurable from documents join labels using (doc_id) group by 1, 2")
+def dataset_quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = table(spark, sf_dir, "documents").select("doc_id", "source", "lang").join(table(spark, sf_dir, "labels"), "doc_id")
+    return both.groupBy("source", "lang").agg(F.count("*").alias("n"), F.count_if(F.col("quality") == 1).alias("good"), (F.countDistinct("doc_id") >= 20).alias("measurable"))
+
+
+@query("select l_returnflag as class_id, count(*) as n, round(median(l_quantity), 6) as med, min(l_discount) as least, round(median(l_quantity * l_discount), 6) as med_area from lineitem group by 1")
+def geometry_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("class_id")).agg(F.count("*").alias("n"), F.round(F.median("l_quantity"), 6).alias("med"), F.min("l_discount").alias("least"), F.round(F.median(F.col("l_quantity") * F.col("l_discount")), 6).alias("med_area"))

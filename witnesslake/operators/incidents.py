@@ -28,3 +28,22 @@ def evidence_status(records: DataFrame, tombstones: DataFrame) -> DataFrame:
     t = tombstones.select(F.col("ref").alias("gone")).distinct()
     status = F.when(F.col("gone").isNotNull(), "ERASED").when(F.col("expired"), "EXPIRED").when(F.col("size") <= 0, "NOT_FOUND").otherwise("STORED")
     return records.join(t, F.col("ref") == F.col("gone"), "left").withColumn("status", status).drop("gone")
+
+
+def acknowledge(incidents: DataFrame, ids: list, actor: str) -> DataFrame:
+    """Active incidents of the ids become acknowledged; acknowledged ones stay as they are, resolved ones too."""
+    hit = F.col("incident_id").isin(ids) & (F.col("status") == "active")
+    return incidents.withColumn("acknowledged_by", F.when(hit, actor).otherwise(F.col("acknowledged_by"))).withColumn("status", F.when(hit, "acknowledged").otherwise(F.col("status")))
+
+
+def sweep(records: DataFrame, now: str, erase: bool) -> DataFrame:
+    """Records past their time are marked EXPIRED, and erased only if asked."""
+    over = F.col("expires_at") <= F.lit(now).cast("timestamp_ntz")
+    marked = records.withColumn("state", F.when(over, "EXPIRED").otherwise(F.col("state")))
+    return marked.where("state <> 'EXPIRED'") if erase else marked
+
+
+def sentence(findings: DataFrame) -> DataFrame:
+    """What a finding says: failed attributes, reasons for not knowing, or that it holds."""
+    said = F.when(F.col("state") == "VIOLATION", F.concat(F.col("rule_id"), F.lit(": "), F.col("n_failed").cast("string"), F.lit(" failed"))).when(F.col("state") == "UNKNOWN", F.concat(F.col("rule_id"), F.lit(": unknown ("), F.col("reasons"), F.lit(")"))).when(F.col("state") == "NOT_APPLICABLE", F.concat(F.col("rule_id"), F.lit(": not applicable"))).otherwise(F.concat(F.col("rule_id"), F.lit(": holds")))
+    return findings.withColumn("sentence", said)
