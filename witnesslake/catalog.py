@@ -399,8 +399,8 @@ def answer_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select event_id, epoch_us(ts) // 1000 as ms from events")
 def ulid_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ms = F.floor(views.wall_ns(F.col("ts")) / 1_000_000).cast("long")
-    return table(spark, sf_dir, "events").select("event_id", text.ulid_ms(text.ulid_of(ms, F.col("event_id"))).alias("ms"))
+    timed = table(spark, sf_dir, "events").select("event_id", views.wall_ns(F.col("ts")).alias("ns"))
+    return timed.select("event_id", text.ulid_ms(text.ulid_of(F.expr("ns div 1000000"), F.col("event_id"))).alias("ms"))
 
 
 @query("select count(*) as n from obs where false")
