@@ -1,19 +1,22 @@
 """Line dedup: an exact set-similarity join of lines, on DataFrame functions alone.
 
 A line is the set of its words. Words are ordered by their rarity over all
-documents, so two lines of Jaccard similarity 0.8 or more share two words of
-their short prefixes. Lines meet there, length and positional filters drop most
-pairs, and the rest is verified on whole sets. The later line of a pair is removed.
+documents, so two lines of Jaccard similarity 0.8 or more share a word of their
+short prefixes: a fifth of the longer set's words and a ninth of the shorter's.
+Lines meet there, length and positional filters and a bound on the difference of
+128-bit signatures drop nearly all false pairs, and the rest is verified on whole
+sets. The later line of a pair is removed.
 
 Equal sets are one item of the join, so copies cost nothing. In each group of a
-prefix word the earliest set is tried first, which settles most of a group of
-near copies with one pair a line; only sets without a match yet are then joined
-with all earlier ones.
+prefix word every set is first tried against the earliest set and some just before
+it, which settles most of a group of near copies with few pairs a line; only
+sets without a match yet are then joined with all others. Each text is split
+once; words are 31-bit hashes beside their rarity from then on.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from witnesslake.llm.common import discard, free_name, stored
@@ -21,7 +24,9 @@ from witnesslake.llm.common import discard, free_name, stored
 ODD_SPACE, WORDED = r"[\t-\x0D]", r"[^ \t-\x0D]"
 #: Counts of words are kept by hash in so many buckets: bounds the table that orders them.
 BUCKETS = 1 << 16
-HASH_BITS = 57
+HASH_BITS = 31
+#: Words of a set, the last of its prefix, in whose groups it is tried first, how many sets before it there, and parts of each such group, which bound the rows of one task. None affects the result.
+TRIED_WORDS, TRIED_BEFORE, TRIED_PARTS = 2, 8, 4
 #: Rows of a set or line that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 NONE = "array<int>"
@@ -32,9 +37,13 @@ def _words(line: Column) -> Column:
     return F.array_remove(F.split(spaced, " "), "")
 
 
+def _bucket(hashed: Column) -> Column:
+    return hashed.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+
+
 def _levels(docs: DataFrame) -> Column:
     """By bucket of a word's hash, the power of two below its count in all documents."""
-    words = docs.select(F.explode(_words(F.col("text"))).alias("w")).groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("bucket")).agg(F.count("*").alias("n"))
+    words = docs.select(F.explode(_words(F.col("text"))).alias("w")).groupBy(_bucket(F.xxhash64("w")).alias("bucket")).agg(F.count("*").alias("n"))
     counts = dict(words.select("bucket", F.floor(F.log2("n")).cast("int")).collect())  # BUCKETS at most
     return F.from_json(F.lit(str([counts.get(b, 0) for b in range(BUCKETS)])), "array<int>")
 
@@ -42,86 +51,102 @@ def _levels(docs: DataFrame) -> Column:
 def _keys(line: Column, levels: Column) -> Column:
     """The line's distinct words as hashes, the rarest first."""
 
-    def key(word: Column) -> Column:
-        level = F.get(levels, F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int"))
-        return F.shiftleft(level.cast("long"), HASH_BITS).bitwiseOR(F.shiftrightunsigned(F.xxhash64(word), 64 - HASH_BITS))
-
-    return F.sort_array(F.array_distinct(F.transform(_words(line), key)))
+    def ordered(hashed: Column) -> Column:
+        level = F.get(levels, _bucket(hashed)).cast("long")
+        return F.shiftleft(level, HASH_BITS).bitwiseOR(F.shiftrightunsigned(hashed, 64 - HASH_BITS))
 
+    keys = F.sort_array(F.array_distinct(F.transform(F.transform(_words(line), lambda w: F.xxhash64(w)), ordered)))
+    return F.transform(keys, lambda k: k.bitwiseAND(F.lit((1 << HASH_BITS) - 1)).cast("int"))
 
-def _set_of(keys: str) -> Column:
-    return F.xxhash64(keys)
 
-
-def _sets(docs: DataFrame, levels: Column) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Each line with its set's id and prefix, without the prefix, each distinct set with its first line, and with its prefix."""
+def _sets(docs: DataFrame, levels: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Each line with its set's id; each distinct set with its first line; and with its words, size, signature and smallest doc_id."""
     keyed = docs.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n", -1)).alias("line", "words"))
     # lines without words go before their keys are made: a condition on the keys would make them twice
     keyed = keyed.where(F.col("words").rlike(WORDED)).select("doc_id", "h", "line", _keys(F.col("words"), levels).alias("keys"))
-    n = F.size("keys")
-    # n - ceil(4n/5) + 2, for two shared words; sets of under four words have no match but themselves
-    prefix = F.when(n >= 4, F.slice("keys", 1, F.floor(n / 5).cast("int") + 2)).otherwise(F.array().cast("array<long>"))
-    wide = stored(keyed.select("doc_id", "h", "line", _set_of("keys").alias("sid"), n.alias("n"), prefix.alias("prefix")))
-    first = F.min(F.struct("doc_id", "h", "line")).alias("first")
+    wide = stored(keyed.select("doc_id", "h", "line", F.xxhash64("keys").alias("sid"), "keys"))
     lines = stored(wide.select("doc_id", "h", "line", "sid"))
-    sets = stored(lines.groupBy("sid").agg(first))
-    prefixes = wide.where(F.size("prefix") > 0).groupBy("sid").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    return wide, lines, sets, prefixes
+    sets = stored(lines.groupBy("sid").agg(F.min(F.struct("doc_id", "h", "line")).alias("first")))
+    # sets of under four words have no match but themselves
+    alike = wide.where(F.size("keys") >= 4).select("sid", "keys", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"))
+    alike = alike.groupBy("sid").agg(F.min("doc").alias("doc"), F.first("keys").alias("keys"))
+    # a bit is set if an odd number of words falls on it: bits of two sets differ for words that only one of them has
+    sig, sig2 = (F.expr(f"aggregate(keys, 0L, (a, k) -> if((k & 64) = {half}, a ^ shiftleft(1L, k & 63), a))") for half in (0, 64))
+    contents = stored(alike.select("sid", "doc", "keys", F.size("keys").alias("n"), sig.alias("sig"), sig2.alias("sig2")))
+    discard(wide)
+    return lines, sets, contents
 
 
-def _can_match(a: str, b: str) -> Column:
-    """Length and positional filters of prefix places a and b: what is shared before, here and behind must reach 9 * overlap >= 4 * (n + m)."""
-    na, nb, pa, pb = F.col(f"{a}n"), F.col(f"{b}n"), F.col(f"{a}pos"), F.col(f"{b}pos")
-    return (5 * na >= 4 * nb) & (5 * nb >= 4 * na) & (9 * (1 + F.least(pa, pb) + F.least(na - 1 - pa, nb - 1 - pb)) >= 4 * (na + nb))
+def _may_match(a: str, b: str) -> Column:
+    """Length filter, and that the signatures differ in no more bits than the sets may differ in words: a ninth of both sizes."""
+    na, nb = F.col(f"{a}n"), F.col(f"{b}n")
+    bits = sum((F.bit_count(F.col(f"{a}{sig}").bitwiseXOR(F.col(f"{b}{sig}"))) for sig in ("sig", "sig2")), start=F.lit(0))
+    return (5 * na >= 4 * nb) & (5 * nb >= 4 * na) & (9 * bits <= na + nb)
 
 
-def _twice(met: DataFrame) -> DataFrame:
-    """Pairs (sid, other) that meet at two words at least."""
-    return met.groupBy("sid", "other").agg(F.count("*").alias("n")).where("n > 1").select("sid", "other")
+def _tried(contents: DataFrame) -> DataFrame:
+    """Pairs (sid, other): each set with the earliest set in parts of its words' groups, and with those just before it.
 
+    Words at the end of the prefix serve, as the rarest are often a copy's own misprints.
+    """
+    last = F.greatest(F.lit(1), F.floor(F.col("n") / 5).cast("int") + 2 - TRIED_WORDS)
+    rare = contents.select("sid", "doc", "n", "sig", "sig2", F.explode(F.slice("keys", last, TRIED_WORDS)).alias("word"))
+    by = Window.partitionBy("word", F.pmod("sid", F.lit(TRIED_PARTS))).orderBy("doc", "sid")
+    one = F.struct(F.col("sid").alias("other"), F.col("n").alias("o_n"), F.col("sig").alias("o_sig"), F.col("sig2").alias("o_sig2"))
+    before = F.array(F.first(one).over(by), *(F.lag(one, i + 1).over(by) for i in range(TRIED_BEFORE)))
+    met = rare.select("sid", "n", "sig", "sig2", before.alias("others")).select("sid", "n", "sig", "sig2", F.inline("others"))
+    return met.where(F.col("other").isNotNull() & (F.col("other") != F.col("sid")) & _may_match("", "o_")).select("sid", "other").distinct()
 
-def _verified(docs: DataFrame, levels: Column, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of pairs (sid, other), the sids whose similarity to the other is 0.8 or more."""
+
+def _left(contents: DataFrame, matched: DataFrame) -> DataFrame:
+    """All pairs (sid, other) that pass the filters and whose later set is not among those matched.
+
+    Longer sets without a match meet all shorter ones, matched ones only those without a match: no two matched sets meet.
+    """
+    matched = matched.withColumn("done", F.lit(True))
+    marked = contents.join(F.broadcast(matched) if matched.count() <= BROADCAST_ROWS else matched, "sid", "left")
+    marked = marked.withColumn("done", F.coalesce("done", F.lit(False)))
+    fields = "sid", "doc", "n", "sig", "sig2"
+    prefix = F.floor(F.col("n") / 5).cast("int") + 1
+    longer = marked.select(*fields, "done", F.posexplode(F.slice("keys", 1, prefix)).alias("pos", "word"))
+    shorter = marked.select(*fields, "done", F.posexplode(F.slice("keys", 1, F.floor(F.col("n") / 9).cast("int") + 1)).alias("pos", "word"))
+    shorter = shorter.select(*(F.col(c).alias(f"o_{c}") for c in shorter.columns))
+    n, m, p, q = F.col("n"), F.col("o_n"), F.col("pos"), F.col("o_pos")
+    ordered = (m < n) | ((m == n) & (F.col("o_sid") < F.col("sid")))
+    # what is shared before, here and behind must reach 9 * overlap >= 4 * (n + m)
+    placed = 9 * (1 + F.least(p, q) + F.least(n - 1 - p, m - 1 - q)) >= 4 * (n + m)
+    may = (F.col("word") == F.col("o_word")) & ordered & _may_match("", "o_") & placed
+    undone = longer.where(~F.col("done")).drop("done")
+    first = undone.join(shorter, may & ((F.col("doc") >= F.col("o_doc")) | ~F.col("o_done")))
+    done, rows = longer.where("done").drop("done"), marked.where("done").agg(F.sum(prefix)).first()[0] or 0
+    second = (F.broadcast(done) if rows <= BROADCAST_ROWS else done).join(shorter.where("not o_done"), may & (F.col("doc") <= F.col("o_doc")))
+    return first.select("sid", F.col("o_sid").alias("other")).union(second.select("sid", "o_sid")).distinct()
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, contents: DataFrame) -> DataFrame:
+    """Of pairs (sid, other) with a similarity of 0.8 or more, the later sets."""
     wanted = pairs.select("sid").union(pairs.select("other")).distinct()
-    at = stored(sets.select("sid", "first").join(wanted, "sid", "left_semi").select("sid", F.col("first.doc_id").alias("d"), F.col("first.h").alias("hh"), F.col("first.line").alias("line")))
-    side = F.broadcast(at) if at.count() <= BROADCAST_ROWS else at
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
-    found = texts.join(side, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("hh"))).select("sid", F.get(F.split("text", "\n", -1), F.col("line")).alias("words"))
-    keys = stored(found.select("sid", _keys(F.col("words"), levels).alias("keys")).dropDuplicates(["sid"]))
-    both = pairs.join(keys, "sid").withColumnRenamed("keys", "mine").join(keys.withColumnRenamed("sid", "other"), "other")
-    shared = F.size(F.array_intersect("mine", "keys"))
-    return both.where(9 * shared >= 4 * (F.size("mine") + F.size("keys"))).select("sid").distinct()
+    wanted = F.broadcast(wanted) if pairs.count() <= BROADCAST_ROWS else wanted
+    at = stored(contents.select("sid", "keys").join(wanted, "sid", "left_semi").join(sets, "sid"))
+    mine, theirs = at.toDF("sid", "mine", "first"), at.toDF("other", "theirs", "o_first")
+    both = pairs.join(mine, "sid").join(theirs, "other")
+    shared = F.size(F.array_intersect("mine", "theirs"))
+    both = both.where(9 * shared >= 4 * (F.size("mine") + F.size("theirs")))
+    out = stored(both.select(F.when(F.col("o_first") < F.col("first"), F.col("sid")).otherwise(F.col("other")).alias("sid")).distinct())
+    discard(at)
+    return out
 
 
 def later_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, h, removed): of documents that lose lines, the hash of the text and the line numbers, from 0, in order."""
     docs = docs.select("doc_id", "text")
-    levels = _levels(docs)
-    wide, lines, sets, prefixes = _sets(docs, levels)
-    # words meet by a short hash: what meets by chance fails the verification
-    placed = prefixes.select("sid", "n", "doc", F.posexplode("prefix").alias("pos", "key")).select("sid", "n", "doc", "pos", F.hash("key").alias("word"))
-    # words of one set alone go; of each other group the earliest set is tried first
-    grouped = placed.withColumn("e", F.expr("min(struct(doc, sid, n, pos)) over (partition by word)")).withColumn("sets", F.expr("count(*) over (partition by word)"))
-    placed = stored(grouped.where("sets > 1").drop("sets"))
-    discard(wide)
-    groups = placed
-    tried = placed.where("e.sid <> sid").select("sid", "n", "pos", F.col("e.sid").alias("other"), F.col("e.n").alias("e_n"), F.col("e.pos").alias("e_pos"), (F.col("doc") > F.col("e.doc")).alias("later"))
-    placed = placed.drop("e")
-    near = stored(_twice(tried.where(_can_match("", "e_") & F.col("later"))))
-    matched = stored(_verified(docs, levels, near, sets))
-    # all other pairs of sets that have no match yet
-    rest = placed.join(F.broadcast(matched) if matched.count() <= BROADCAST_ROWS else matched, "sid", "left_anti")
-    first = sets.select(F.col("sid").alias("of"), "first")
-    others = placed.select(*(F.col(c).alias(f"o_{c}") for c in placed.columns))
-    pairs = rest.join(others, (F.col("word") == F.col("o_word")) & (F.col("sid") != F.col("o_sid")) & (F.coalesce("doc", F.lit(-(1 << 63))) >= F.coalesce("o_doc", F.lit(-(1 << 63)))) & _can_match("", "o_"))
-    pairs = _twice(pairs.withColumnRenamed("o_sid", "other"))
-    mine, theirs = first.toDF("sid", "mine"), first.toDF("other", "theirs")
-    pairs = stored(pairs.join(mine, "sid").join(theirs, "other").where("theirs < mine").select("sid", "other"))
-    discard(groups, near)
-    early, late = matched, stored(_verified(docs, levels, pairs, sets))
-    discard(pairs)
-    matched = early.union(late).withColumn("near", F.lit(True))
-    judged = sets.select("sid", "first").join(matched, "sid", "left")
+    lines, sets, contents = _sets(docs, _levels(docs))
+    tried = stored(_tried(contents))
+    early = _verified(tried, sets, contents)
+    left = stored(_left(contents, early))
+    late = _verified(left, sets, contents)
+    discard(tried, left, contents)
+    judged = sets.join(early.union(late).withColumn("near", F.lit(True)), "sid", "left")
     gone = lines.join(judged, "sid").where(F.col("near").isNotNull() | (F.struct("doc_id", "h", "line") != F.col("first")))
     out = stored(gone.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("line")).alias("removed")))
     discard(lines, sets, early, late)
