@@ -16,6 +16,8 @@ once; words are 31-bit hashes beside their rarity from then on.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +28,9 @@ ODD_SPACE, WORDED = r"[\t-\x0D]", r"[^ \t-\x0D]"
 BUCKETS = 1 << 16
 HASH_BITS = 31
 #: Words of a set, the last of its prefix, in whose groups it is tried first, how many sets before it there, and parts of each such group, which bound the rows of one task. None affects the result.
-TRIED_WORDS, TRIED_BEFORE, TRIED_PARTS = 2, 8, 4
+TRIED_WORDS, TRIED_BEFORE, TRIED_PARTS = 3, 12, 4
+#: Passes of the last join, each over its share of words: bounds what is shuffled, and so on disk, at once.
+PASSES = 2
 #: Rows of a set or line that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 NONE = "array<int>"
@@ -98,8 +102,8 @@ def _tried(contents: DataFrame) -> DataFrame:
     return met.where(F.col("other").isNotNull() & (F.col("other") != F.col("sid")) & _may_match("", "o_")).select("sid", "other").distinct()
 
 
-def _left(contents: DataFrame, matched: DataFrame) -> DataFrame:
-    """All pairs (sid, other) that pass the filters and whose later set is not among those matched.
+def _left(contents: DataFrame, matched: DataFrame, share: int) -> DataFrame:
+    """Pairs (sid, other) that meet at a word of one share of PASSES, pass the filters and whose later set is not among those matched.
 
     Longer sets without a match meet all shorter ones, matched ones only those without a match: no two matched sets meet.
     """
@@ -107,9 +111,9 @@ def _left(contents: DataFrame, matched: DataFrame) -> DataFrame:
     marked = contents.join(F.broadcast(matched) if matched.count() <= BROADCAST_ROWS else matched, "sid", "left")
     marked = marked.withColumn("done", F.coalesce("done", F.lit(False)))
     fields = "sid", "doc", "n", "sig", "sig2"
-    prefix = F.floor(F.col("n") / 5).cast("int") + 1
-    longer = marked.select(*fields, "done", F.posexplode(F.slice("keys", 1, prefix)).alias("pos", "word"))
-    shorter = marked.select(*fields, "done", F.posexplode(F.slice("keys", 1, F.floor(F.col("n") / 9).cast("int") + 1)).alias("pos", "word"))
+    prefix, mine = F.floor(F.col("n") / 5).cast("int") + 1, F.col("word") % PASSES == share
+    longer = marked.select(*fields, "done", F.posexplode(F.slice("keys", 1, prefix)).alias("pos", "word")).where(mine)
+    shorter = marked.select(*fields, "done", F.posexplode(F.slice("keys", 1, F.floor(F.col("n") / 9).cast("int") + 1)).alias("pos", "word")).where(mine)
     shorter = shorter.select(*(F.col(c).alias(f"o_{c}") for c in shorter.columns))
     n, m, p, q = F.col("n"), F.col("o_n"), F.col("pos"), F.col("o_pos")
     ordered = (m < n) | ((m == n) & (F.col("o_sid") < F.col("sid")))
@@ -143,9 +147,9 @@ def later_lines(docs: DataFrame) -> DataFrame:
     lines, sets, contents = _sets(docs, _levels(docs))
     tried = stored(_tried(contents))
     early = _verified(tried, sets, contents)
-    left = stored(_left(contents, early))
-    late = _verified(left, sets, contents)
-    discard(tried, left, contents)
+    left = [stored(_left(contents, early, share)) for share in range(PASSES)]
+    late = _verified(reduce(DataFrame.union, left), sets, contents)
+    discard(tried, *left, contents)
     judged = sets.join(early.union(late).withColumn("near", F.lit(True)), "sid", "left")
     gone = lines.join(judged, "sid").where(F.col("near").isNotNull() | (F.struct("doc_id", "h", "line") != F.col("first")))
     out = stored(gone.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("line")).alias("removed")))
