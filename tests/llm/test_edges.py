@@ -159,6 +159,14 @@ def test_tiles_of_a_group_of_near_copies(spark):
     assert simhash.keep_first(docs).count() == len({c for _, c in want.values()})
 
 
+def test_one_row_of_each_component_is_kept(spark):
+    word = lambda i: " ".join(f"{i}word{j}" for j in range(40))
+    rows = [(None, word(i)) for i in (0, 1, 2, 2)] + [(7, word(3)), (7, word(4)), (7, word(4)), (8, word(4)), (None, word(5)), (9, word(5))]
+    docs = spark.createDataFrame([(i, t, "kept") for i, t in rows], "doc_id long, text string, mark string")
+    got = sorted(((r.doc_id, r.text) for r in simhash.keep_first(docs).collect()), key=str)
+    assert got == sorted([(None, word(0)), (None, word(1)), (None, word(2)), (7, word(3)), (7, word(4)), (9, word(5))], key=str)
+
+
 def test_shards_split_a_hot_group(spark):
     rows = [(i, "copy " * 50) for i in range(400)] + [(i, f"text {i} " * 20) for i in range(400, 800)]
     got = shards.shard(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("shard").agg(F.sum("size").alias("b")).collect()

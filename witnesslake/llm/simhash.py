@@ -125,25 +125,30 @@ def with_components(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = R
 
 def _component_of(printed: DataFrame, radius: int) -> DataFrame:
     """(fp, component_id) for each distinct fingerprint of printed(doc_id, fp)."""
-    least = cut(printed.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = cut(components(links(least.select("fp"), radius)))
-    rooted = least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(cut(printed.groupBy("fp").agg(F.min("doc_id").alias("least"))), radius)
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "of")
     return rooted.join(smallest, F.col("root") == F.col("of")).select("fp", "component_id")
 
 
+def _rooted(least: DataFrame, radius: int) -> DataFrame:
+    """least(fp, least) of distinct fingerprints with `root`, the fingerprint that stands for the component."""
+    roots = cut(components(links(least.select("fp"), radius)))
+    return least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def keep_first(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
     """docs with one row of each component: that of the smallest doc_id, with all columns.
 
     Repeated rows of that doc_id: one stays. Components without any doc_id keep
-    one row. Columns of any name survive.
+    one row each, and a doc_id that is the smallest of several components keeps
+    one row in each of them. Columns of any name survive.
     """
-    fp, component, mark = free_name(docs, "fp", "component_id", "mark")
+    found_id, found_mark, mark = free_name(docs, "found_id", "found_mark", "mark")
     marked = docs.withColumn(mark, F.xxhash64(F.coalesce("text", F.lit(""))))
-    printed = cut(marked.select("doc_id", mark, fingerprints(docs, words)(F.col("text")).alias("fp")))
-    kept = printed.join(_component_of(printed.select("doc_id", "fp"), radius), "fp").where("doc_id <=> component_id")
-    kept = kept.groupBy("doc_id", "component_id").agg(F.min(mark).alias(mark))
-    # a row each: repeated rows and, without a doc_id, all but one text go
-    kept = kept.select(F.col("doc_id").alias(fp), F.col(mark).alias(component))
-    found = marked.join(kept, marked["doc_id"].eqNullSafe(kept[fp]) & (marked[mark] == kept[component]), "left_semi")
+    printed = cut(marked.select("doc_id", F.col(mark).alias("mark"), fingerprints(docs, words)(F.col("text")).alias("fp")))
+    # a row without a doc_id comes last
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    rooted = _rooted(cut(printed.groupBy("fp").agg(F.min(order).alias("least"))), radius)
+    kept = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias(found_id), F.col("least.mark").alias(found_mark))
+    found = marked.join(kept, marked["doc_id"].eqNullSafe(kept[found_id]) & (marked[mark] == kept[found_mark]), "left_semi")
     return found.dropDuplicates(["doc_id", mark]).select(*docs.columns)
