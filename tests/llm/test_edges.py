@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import random
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 import tiktoken
 from public_tokenizers import PATTERN, path
 from pyspark.sql import functions as F
 
+from tests.conftest import rows_of
 from tests.llm.test_queries import brute_components
-from witnesslake.llm import ann, bpe, decontam, graph, htmltext, linededup, quality, secrets, shards, simhash, urls
+from witnesslake.llm import ann, bpe, decontam, graph, htmltext, linededup, quality, queries, secrets, shards, simhash, urls
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, removed string, score string, fp string"
 RANKS = path("byte_bpe_50k.tiktoken")
@@ -94,6 +97,21 @@ def test_blocks_find_what_one_block_finds(spark, bench):
     assert any("contaminated=True" in r for r in one)
 
 
+def test_items_without_an_id_give_hits(spark):
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(20))
+    docs = pd.DataFrame([(0, words(0)), (1, f"{words(1)} {words(2)}"), (2, words(3)), (3, "short item"), (4, f"{words(4)} none")], columns=["doc_id", "text"])
+    items = pd.DataFrame([(None, words(0)), (5, words(1)), (None, words(2)), (None, words(1)), (None, "short item"), (None, None), (6, words(4))], columns=["item_id", "text"]).astype({"item_id": "Int64"})
+    duck = duckdb.connect()
+    duck.register("documents", docs)
+    duck.register("benchmark", items)
+    given = spark.createDataFrame([(None if pd.isna(i) else int(i), t) for i, t in items.itertuples(index=False)], "item_id long, text string")
+    for block_bytes in (decontam.BLOCK_BYTES, 40):
+        got = decontam.judge(spark.createDataFrame(docs), given, block_bytes)
+        want = duck.sql(queries.ORACLES["op4_decontamination"])
+        assert rows_of(got, sorted(got.columns)) == sorted(map(str, want.select(", ".join(sorted(got.columns))).fetchall()))
+        assert {r.doc_id for r in got.where("contaminated").collect()} == {0, 1, 3, 4}
+
+
 def test_secret_without_a_keyword(spark):
     rnd = random.Random(5)
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"

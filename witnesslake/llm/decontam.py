@@ -76,19 +76,19 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _parts(benchmark: DataFrame) -> DataFrame:
-    """(item_id, words, bytes): items in parts of bounded length."""
+    """(item_id, words, bytes): items, those without an id too, in parts of bounded length."""
 
     def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for item, text in zip(batch["item_id"], batch["text"], strict=True):
+            for item, text in zip(batch["item_id"].astype(object).where(batch["item_id"].notna(), None), batch["text"], strict=True):
                 words, step = words_of(text), PART_WORDS - WINDOW + 1
                 for i in range(0, max(1, len(words) - WINDOW + 1), step) if words else ():
                     joined = " ".join(words[i : i + PART_WORDS])
                     rows.append((item, joined, len(joined.encode())))
             yield pd.DataFrame(rows, columns=["item_id", "words", "bytes"])
 
-    return benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null").mapInPandas(cut_up, "item_id string, words string, bytes long")
+    return benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").mapInPandas(cut_up, "item_id string, words string, bytes long")
 
 
 def _count(docs: DataFrame, vocabulary: set[str]) -> dict[str, int]:
@@ -117,7 +117,7 @@ def _finder(docs: DataFrame, parts: list[tuple[str, list[str]]]) -> Column:
             for text in texts:
                 words = words_of(text)
                 spans, items = search(words, index.value)
-                rows.append((len(words), [a for a, _ in spans], [b for _, b in spans], sorted(items)))
+                rows.append((len(words), [a for a, _ in spans], [b for _, b in spans], sorted(items, key=lambda i: (i is None, i or ""))))
             yield pd.DataFrame(rows, columns=["n_words", "starts", "ends", "items"])
 
     return find
@@ -135,8 +135,9 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK
     """docs with n_words, n_hit and items (array of item_id as strings, sorted): each whole text against all items.
 
     docs' columns of those names must be free. Null text has no words; items
-    that are null or have no words have no windows; repeated items count once
-    by item_id, repeated documents stay repeated.
+    of null text or without words have no windows; repeated items count once
+    by item_id, all items without one as a single null that ends the list;
+    repeated documents stay repeated.
     """
     small_batches(docs.sparkSession)
     parts = cut(_parts(benchmark))
@@ -170,7 +171,8 @@ def judge(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES)
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of each document.
 
     Null and empty texts have no words and are clean. An empty benchmark hits
-    nothing, an empty table stays empty, other columns are ignored.
+    nothing, an empty table stays empty, other columns are ignored. Items
+    without an item_id count as one in n_items and are not in the digest.
     """
     found = find_windows(docs.select("doc_id", "text"), benchmark, block_bytes)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), _contaminated().alias("contaminated"))
