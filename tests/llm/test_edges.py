@@ -112,6 +112,16 @@ def test_items_without_an_id_give_hits(spark):
         assert {r.doc_id for r in got.where("contaminated").collect()} == {0, 1, 3, 4}
 
 
+def test_repeated_items_do_not_fill_a_block(spark, monkeypatch):
+    seen, finder = [], decontam._finder  # noqa: SLF001
+    monkeypatch.setattr(decontam, "_finder", lambda docs, parts: seen.append(sum(len(" ".join(w)) for _, w in parts)) or finder(docs, parts))
+    items = [(0, "the same passage again")] * 200 + [(i, f"passage {i} of the benchmark") for i in range(1, 40)]
+    docs = spark.createDataFrame([(0, "the same passage again"), (1, "passage 7 of the benchmark"), (2, "else")], "doc_id long, text string")
+    got = decontam.judge(docs, spark.createDataFrame(items, "item_id long, text string"), block_bytes=500)
+    assert {r.doc_id: (r.n_hit, r.n_items) for r in got.collect()} == {0: (4, 1), 1: (5, 1), 2: (0, 0)}
+    assert max(seen) <= 2 * 500
+
+
 def test_secret_without_a_keyword(spark):
     rnd = random.Random(5)
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"

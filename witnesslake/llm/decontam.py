@@ -140,7 +140,8 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK
     repeated documents stay repeated.
     """
     small_batches(docs.sparkSession)
-    parts = cut(_parts(benchmark))
+    # different ones alone, so that hashing spreads them evenly over the blocks
+    parts = cut(_parts(benchmark).distinct())
     total = parts.agg(F.sum("bytes")).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     [found] = free_name(docs, "found")
