@@ -142,6 +142,18 @@ def test_html_parts():
     assert htmltext.main_text("<nav>a b c</nav><footer>d</footer>") == ""
 
 
+def test_html_wrappers_and_foreign_elements():
+    text = "A sentence of the text with words enough to be read."
+    for wrapper in ("content-sidebar-wrap", "has-sidebar", "no-comments", "site with-left-sidebar"):
+        assert htmltext.main_text(f"<div class='{wrapper}'><article><p>{text}</article></div>") == text
+    assert htmltext.main_text(f"<div class='layout has-sidebar no-comments'><div class=post><p>{text}</div></div>") == text
+    comment = "<section class=comments><article><p>Nice text, I have read it all and liked it much.</article></section>"
+    for beside in ("<aside>{}</aside>", "<div hidden>{}</div>", "<main><div class=sidebar>{}</div></main>"):
+        assert htmltext.main_text(beside.format(f"<article><p>{text}</article>")) == ""
+    assert htmltext.main_text(f"<div class=has-sidebar><main><p>{text}{comment}</main></div>") == text
+    assert htmltext.main_text(f"<article><p>{text}<svg class='x'/> And more.<p>Area <math><mi>a</mi><mo>+</mo><mspace/><mi>b</mi><annotation>a+b</annotation></math> it is.<svg><text>drawn</text></svg></article>") == f"{text} And more.\nArea a+ b it is."
+
+
 def test_minimum_cut_is_minimal():
     rnd = random.Random(2)
     for _ in range(60):

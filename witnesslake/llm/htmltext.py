@@ -27,12 +27,17 @@ WORDS = re.compile(r"[a-z]+")
 # Elements by their part in a page.
 BLOCKS = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-UNREAD = set("script style noscript template iframe textarea select svg math object canvas audio video title button datalist".split())
+UNREAD = set("script style noscript template iframe textarea select svg annotation annotation-xml object canvas audio video title button datalist".split())
+#: Elements that may close themselves, as may all inside them; math is read without its annotations.
+FOREIGN = {"svg", "math"}
+SELF_CLOSED = re.compile(r"""(?:^|[\s"'])/$""")
 CLOSES = {"p": BLOCKS - {"body", "html", "head"}, "li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "option": {"option"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
 BESIDE = set("nav header footer aside form dialog menu search".split())
 BESIDE_ROLES = set("navigation banner contentinfo complementary form search dialog alertdialog alert menu menubar toolbar".split())
 BESIDE_NAMES = set("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar nav navbar navigation menu breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices popup modal overlay share sharing social related recommended comment comments reply replies respond disqus discussion subscribe subscription newsletter signup login search pagination pager widget copyright legal disclaimer".split())
 WITHIN = {"article", "main"}
+#: What a class says the element has or lacks, not is.
+HAS = re.compile(r"(?:(?<=[\s_-])|^)(?:has|no|with)[_-]\S*")
 WITHIN_NAMES = set("article content entry post story body text main".split())
 
 #: Costs: what speaks for the text (above zero) or against it, and the smoothness capacities.
@@ -56,8 +61,8 @@ class Reader:
 
     def __init__(self, page: str) -> None:
         self.blocks: list[Block] = []
-        # (tag, number, in main, named so, beside)
-        self.stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]
+        # (tag, number, in main, named so, beside, named beside)
+        self.stack: list[tuple[str, int, bool, bool, bool, bool]] = [("", 0, False, False, False, False)]
         self.number = 0
         self.parts: list[str] = []
         self.linked = 0
@@ -67,16 +72,18 @@ class Reader:
                 self.words(page[at : m.start()])
             at = m.end()
             if name := m["name"] or m["name2"]:
-                name = name.lower()
+                name, rest = name.lower(), m["rest"] or m["rest2"] or ""
                 if m["close"] or m["close2"]:
                     self.end(name)
+                elif SELF_CLOSED.search(rest) and (name in FOREIGN or any(s[0] in FOREIGN for s in self.stack)):
+                    self.parts.append(" ")
                 elif name in UNREAD:
                     found = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-                    if name not in ("button", "svg", "math") or found:
+                    if name not in ("button", "svg", "annotation", "annotation-xml") or found:
                         at = found.end() if found else len(page)
                     self.parts.append(" ")
                 else:
-                    self.begin(name, m["rest"] or m["rest2"] or "")
+                    self.begin(name, rest)
         if at < len(page):
             self.words(page[at:])
         self.flush()
@@ -91,10 +98,10 @@ class Reader:
         raw, linked = "".join(self.parts), self.linked
         self.parts, self.linked = [], 0
         if text := " ".join(raw.split()):
-            tag, _, main, named, beside = self.stack[-1]
+            tag, _, main, named, beside, by_name = self.stack[-1]
             path = tuple(s[1] for s in self.stack)
             block = next((s[0] for s in reversed(self.stack) if s[0] in BLOCKS), "")
-            self.blocks.append(Block(text, path, linked / max(1, len(raw)), block, main, named, beside))
+            self.blocks.append(Block(text, path, linked / max(1, len(raw)), block, main, named, beside or by_name))
 
     def begin(self, name: str, rest: str) -> None:
         if name in BLOCKS:
@@ -106,16 +113,21 @@ class Reader:
             self.parts.append(" ")
         if name in VOID:
             return
-        _, _, main, named, beside = self.stack[-1]
+        _, _, main, named, beside, by_name = self.stack[-1]
+        within = name in WITHIN
         if rest and name not in ("html", "body"):
             given = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(rest)}
-            names = set(WORDS.findall(f"{given.get('class', '')} {given.get('id', '')}".lower()))
+            said = f"{given.get('class', '')} {given.get('id', '')}".lower()
             hidden = given.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", given.get("style", "")) or re.search(r"(?:^|\s)hidden(?:\s|/|$)", rest)
-            beside = beside or bool(hidden) or bool(BESIDE_ROLES & set(given.get("role", "").lower().split())) or (name not in WITHIN and bool(names & BESIDE_NAMES))
-            named = named or bool(names & WITHIN_NAMES)
-            main = main or given.get("role", "").lower() in WITHIN
+            beside = beside or bool(hidden) or bool(BESIDE_ROLES & set(given.get("role", "").lower().split()))
+            by_name = by_name or (not within and bool(BESIDE_NAMES & set(WORDS.findall(HAS.sub(" ", said)))))
+            named = named or bool(WITHIN_NAMES & set(WORDS.findall(said)))
+            within = within or given.get("role", "").lower() in WITHIN
+        # the outermost one only: articles inside the main text's comments are comments
+        if within and not main:
+            by_name = False
         self.number += 1
-        self.stack.append((name, self.number, main or name in WITHIN, named, beside or name in BESIDE or name == "head"))
+        self.stack.append((name, self.number, main or within, named, beside or name in BESIDE or name == "head", by_name))
 
     def shut(self, name: str) -> None:
         """Closes an open `name` in the innermost block, as its next like does."""
