@@ -199,6 +199,19 @@ def test_tiles_of_a_group_of_near_copies(spark):
     assert simhash.keep_first(docs).count() == len({c for _, c in want.values()})
 
 
+def test_tiles_next_to_a_crowded_cell(spark):
+    rnd = random.Random(6)
+    four = lambda: sum(1 << b for b in rnd.sample(range(15), 4))
+    crowd = {four() | four() << 16 | four() << 32 | four() << 48 for _ in range(3000)}
+    few = {x | 1 << 15 for x in rnd.sample(sorted(crowd), 20)}
+    prints = spark.createDataFrame([(x,) for x in crowd | few], "fp long")
+    _, right = simhash._tiles(prints, 3, 100)  # noqa: SLF001
+    assert right.groupBy("r_cell", "r_i", "r_j").count().agg(F.max("count")).first()[0] <= 2 * 100
+    got = [dict(map(tuple, graph.components(simhash.links(prints, tile=tile)).collect())) for tile in (100, 1 << 20)]
+    assert got[0] == got[1]
+    assert few <= set(got[0])
+
+
 def test_one_row_of_each_component_is_kept(spark):
     word = lambda i: " ".join(f"{i}word{j}" for j in range(40))
     rows = [(None, word(i)) for i in (0, 1, 2, 2)] + [(7, word(3)), (7, word(4)), (7, word(4)), (8, word(4)), (None, word(5)), (9, word(5))]

@@ -24,7 +24,7 @@ from witnesslake.llm.graph import components
 
 RADIUS = 3
 SHINGLE_WORDS = 3
-#: Fingerprints of a tile's left side; its right side has those of up to 65 cells.
+#: Fingerprints of a tile's left side; its right side has as many of each of up to 65 cells.
 TILE = 8192
 #: Shingles hashed at once and pairs compared at once: bound a task's memory.
 AT_ONCE, PAIRS_AT_ONCE = 1 << 15, 1 << 20
@@ -87,22 +87,38 @@ def _offsets(radius: int) -> list[tuple[int, int, int, int]]:
     return [d for d in itertools.product(span, repeat=4) if sum(map(abs, d)) <= radius and d >= (0, 0, 0, 0)]
 
 
-def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """Of distinct fingerprints `fp` (long), links (a, b) that connect all within the radius, directly or through others."""
+def _tiles(prints: DataFrame, radius: int, tile: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the tile pairs: (fp, cell, i, j) and (r_fp, r_cell, r_i, r_j).
+
+    Part i of a cell meets part j of each cell near it, both of about `tile` fingerprints.
+    """
     quarter = [F.bit_count(F.shiftrightunsigned("fp", 16 * i).bitwiseAND(0xFFFF)) for i in range(4)]
-    cell = lambda q: q[0] + 17 * q[1] + 289 * q[2] + 4913 * q[3]
-    placed = prints.select("fp", *(q.alias(f"q{i}") for i, q in enumerate(quarter)))
-    q = [F.col(f"q{i}") for i in range(4)]
-    sizes = placed.groupBy(cell(q).alias("cell")).agg(F.ceil(F.count("*") / tile).cast("int").alias("parts"))
-    # 17**4 cells at most
-    parts = F.broadcast(sizes.withColumnRenamed("cell", "of"))
-    side = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    left = placed.withColumn("cell", cell(q)).join(parts, F.col("cell") == F.col("of")).withColumn("i", side)
-    left = left.withColumn("n_right", F.col("parts")).select("fp", "cell", "i", F.explode(F.sequence(F.lit(0), F.col("n_right") - 1)).alias("j"))
+    names = [f"q{i}" for i in range(4)]
+    cell = F.col("q0") + 17 * F.col("q1") + 289 * F.col("q2") + 4913 * F.col("q3")
+    placed = prints.select("fp", *(q.alias(n) for q, n in zip(quarter, names, strict=True)))
     near = F.array(*(F.struct(*(F.lit(x).alias(f"d{i}") for i, x in enumerate(d))) for d in _offsets(radius)))
-    right = placed.withColumn("d", F.explode(near)).select("fp", *((F.col(f"q{i}") + F.col(f"d.d{i}")).alias(f"q{i}") for i in range(4)))
-    right = right.where(" and ".join(f"q{i} between 0 and 16" for i in range(4))).withColumn("cell", cell(q))
-    right = right.join(parts, F.col("cell") == F.col("of")).withColumn("r_j", side).select(F.col("fp").alias("r_fp"), F.col("cell").alias("r_cell"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("r_i"), "r_j")
+
+    def sent(df: DataFrame, *kept: str) -> DataFrame:
+        """Each row at each cell that its own is compared with."""
+        out = df.withColumn("d", F.explode(near)).select(*kept, *((F.col(f"q{i}") + F.col(f"d.d{i}")).alias(f"q{i}") for i in range(4)))
+        return out.where(" and ".join(f"{n} between 0 and 16" for n in names)).withColumn("cell", cell)
+
+    # 17**4 cells at most
+    sizes = cut(placed.groupBy(*names).agg(F.ceil(F.count("*") / tile).cast("int").alias("parts")))
+    most = sent(sizes.where("parts > 1"), "parts").groupBy("cell").agg(F.max("parts").alias("n_right"))
+    parts = F.broadcast(sizes.select(cell.alias("of"), "parts").join(most, F.col("of") == F.col("cell"), "left").select("of", "parts", F.coalesce("n_right", F.lit(1)).alias("n_right")))
+    own = F.broadcast(sizes.select(cell.alias("mine"), F.col("parts").alias("n_own")))
+    side = lambda n: F.pmod(F.xxhash64("fp"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = placed.withColumn("cell", cell).join(parts, F.col("cell") == F.col("of")).withColumn("i", side("parts")).select("fp", "cell", "i", each("n_right").alias("j"))
+    right = placed.join(own, cell == F.col("mine")).withColumn("r_j", side("n_own"))
+    right = sent(right, "fp", "r_j").join(parts, F.col("cell") == F.col("of")).select(F.col("fp").alias("r_fp"), F.col("cell").alias("r_cell"), each("parts").alias("r_i"), "r_j")
+    return left, right
+
+
+def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """Of distinct fingerprints `fp` (long), links (a, b) that connect all within the radius, directly or through others."""
+    left, right = _tiles(prints, radius, tile)
 
     def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         found = _forest(a["fp"].to_numpy().view(np.uint64), b["r_fp"].to_numpy().view(np.uint64), radius) if len(a) and len(b) else []
