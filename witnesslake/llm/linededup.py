@@ -4,102 +4,125 @@ A line is the set of its words. Words are ordered by their rarity over all
 documents, so two lines of Jaccard similarity 0.8 or more share a word of their
 short prefixes: a fifth of the longer set's words and a ninth of the shorter's.
 Lines meet there, length and positional filters and a bound on the difference of
-128-bit signatures drop nearly all false pairs, and the rest is verified on whole
-sets. The later line of a pair is removed.
-
-Equal sets are one item of the join, so copies cost nothing. In each group of a
-prefix word every set is first tried against the earliest set and some just before
-it, which settles most of a group of near copies with few pairs a line; only
-sets without a match yet are then joined with all others. Each text is split
-once; words are 31-bit hashes beside their rarity from then on.
+parity signatures drop nearly all false pairs, and the rest is verified on the
+words themselves. The later line of a pair is removed.
+
+Equal sets are one item of the join, so copies cost nothing. In each large group
+of a prefix word every set is first tried against the earliest set and some just
+before it, which settles most of a group of near copies with few pairs a line;
+only sets without a match yet are then joined with all others. Texts are split once
+into 32-bit hashes of words, which serve to find pairs; two words of one hash can
+only add a pair, which the verification then drops.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from witnesslake.llm.common import discard, free_name, stored
 
-ODD_SPACE, WORDED = r"[\t-\x0D]", r"[^ \t-\x0D]"
-#: Counts of words are kept by hash in so many buckets: bounds the table that orders them.
-BUCKETS = 1 << 16
-HASH_BITS = 31
-#: Words of a set, the last of its prefix, in whose groups it is tried first, how many sets before it there, and parts of each such group, which bound the rows of one task. None affects the result.
-TRIED_WORDS, TRIED_BEFORE, TRIED_PARTS = 3, 12, 4
+#: White space within a line but the space itself.
+ODD_SPACES, ODD_SPACE = "\t\x0b\x0c\r", r"[\t\x0B-\r]"
+#: Counts of words are kept by hash in so many buckets, sent to the driver in BLOCKS: bounds the table that orders them. Levels of a count to each power of two.
+BUCKETS, BLOCKS, LEVELS = 1 << 18, 1 << 8, 4
+#: Bits of a word's hash in its place in the order; above them stands the level of its count.
+HASH_BITS = 33
+#: Sets of fewer words have no match but themselves; those of fewer than SHORT are told apart by their words, as one word is more than they may differ in.
+LEAST, SHORT = 4, 9
+#: Sets from which on the signature has 128 bits.
+LONG = 48
+#: Words of a set, the last of its prefix, in whose groups it is tried first if they have as many sets as TRIED_GROUP, how many sets before it there, and sets of a part of such a group, which bound the rows of one task. None affects the result.
+TRIED_WORDS, TRIED_GROUP, TRIED_BEFORE, TRIED_PART = 3, 64, 12, 4096
 #: Passes of the last join, each over its share of words: bounds what is shuffled, and so on disk, at once.
 PASSES = 2
 #: Rows of a set or line that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Sets that stand on more than this share of all lines are broadcast apart: there are at most as many as fit into the whole.
+HEAVY_SHARE = 1 / 2000
 NONE = "array<int>"
 
 
-def _words(line: Column) -> Column:
-    spaced = F.when(line.rlike(ODD_SPACE), F.regexp_replace(line, ODD_SPACE, " ")).otherwise(line)
-    return F.array_remove(F.split(spaced, " "), "")
-
-
-def _bucket(hashed: Column) -> Column:
-    return hashed.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+def _lines(text: Column) -> Column:
+    """A text's lines, with spaces for all other white space in them."""
+    odd = reduce(or_, (F.contains(text, F.lit(c)) for c in ODD_SPACES))
+    return F.split(F.when(odd, F.regexp_replace(text, ODD_SPACE, " ")).otherwise(text), "\n", -1)
 
 
-def _levels(docs: DataFrame) -> Column:
-    """By bucket of a word's hash, the power of two below its count in all documents."""
-    words = docs.select(F.explode(_words(F.col("text"))).alias("w")).groupBy(_bucket(F.xxhash64("w")).alias("bucket")).agg(F.count("*").alias("n"))
-    counts = dict(words.select("bucket", F.floor(F.log2("n")).cast("int")).collect())  # BUCKETS at most
-    return F.from_json(F.lit(str([counts.get(b, 0) for b in range(BUCKETS)])), "array<int>")
+def _words(line: Column) -> Column:
+    words = F.split(line, " ")
+    return F.when(F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" ")) | F.contains(line, F.lit("  ")), F.array_remove(words, "")).otherwise(words)
 
 
-def _keys(line: Column, levels: Column) -> Column:
-    """The line's distinct words as hashes, the rarest first."""
+def _hashed(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, line, sid, words): each line that has words, with its set's id and its distinct words as hashes."""
+    split = docs.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(_lines(F.col("text"))).alias("line", "said"))
+    # lines without words go before their hashes are made: a condition on those would make them twice
+    split = split.where(F.col("said").rlike("[^ ]")).select("*", F.sort_array(F.array_distinct(F.transform(_words(F.col("said")), lambda w: F.hash(w)))).alias("words"))
+    sid = F.when(F.size("words") < SHORT, F.xxhash64(F.sort_array(F.array_distinct(_words(F.col("said")))))).otherwise(F.xxhash64("words"))
+    return split.select("doc_id", "h", "line", sid.alias("sid"), "words")
 
-    def ordered(hashed: Column) -> Column:
-        level = F.get(levels, _bucket(hashed)).cast("long")
-        return F.shiftleft(level, HASH_BITS).bitwiseOR(F.shiftrightunsigned(hashed, 64 - HASH_BITS))
 
-    keys = F.sort_array(F.array_distinct(F.transform(F.transform(_words(line), lambda w: F.xxhash64(w)), ordered)))
-    return F.transform(keys, lambda k: k.bitwiseAND(F.lit((1 << HASH_BITS) - 1)).cast("int"))
+def _levels(hashed: DataFrame) -> Column:
+    """By bucket of a word's hash, the logarithm of the number of lines that its words are in."""
+    words = hashed.select(F.explode("words").alias("w")).groupBy(F.col("w").bitwiseAND(BUCKETS - 1).cast("long").alias("id")).agg(F.count("*").alias("n"))
+    every = words.unionByName(hashed.sparkSession.range(BUCKETS).withColumn("n", F.lit(0).cast("long"))).groupBy("id").agg(F.sum("n").alias("n"))
+    level = F.floor(LEVELS * F.log2(F.greatest("n", F.lit(1)))).cast("int").alias("level")
+    block = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", level))), lambda x: x["level"]), ",")
+    blocks = every.groupBy(F.floor(F.col("id") / (BUCKETS // BLOCKS)).alias("at")).agg(block.alias("levels")).orderBy("at").collect()  # BLOCKS rows
+    return F.from_json(F.lit(f"[{','.join(b.levels for b in blocks)}]"), "array<bigint>")
 
 
-def _sets(docs: DataFrame, levels: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Each line with its set's id; each distinct set with its first line; and with its words, size, signature and smallest doc_id."""
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n", -1)).alias("line", "words"))
-    # lines without words go before their keys are made: a condition on the keys would make them twice
-    keyed = keyed.where(F.col("words").rlike(WORDED)).select("doc_id", "h", "line", _keys(F.col("words"), levels).alias("keys"))
-    wide = stored(keyed.select("doc_id", "h", "line", F.xxhash64("keys").alias("sid"), "keys"))
-    lines = stored(wide.select("doc_id", "h", "line", "sid"))
-    sets = stored(lines.groupBy("sid").agg(F.min(F.struct("doc_id", "h", "line")).alias("first")))
-    # sets of under four words have no match but themselves
-    alike = wide.where(F.size("keys") >= 4).select("sid", "keys", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"))
-    alike = alike.groupBy("sid").agg(F.min("doc").alias("doc"), F.first("keys").alias("keys"))
+def _sets(hashed: DataFrame, levels: Column) -> DataFrame:
+    """(sid, first, copies, n, sig, half, prefix): each distinct set with its first line, its number of lines, size, signature and rarest words."""
+    n = F.size("words")
+    rarest = F.sort_array(F.transform("words", lambda k: F.coalesce(F.get(levels, k.bitwiseAND(BUCKETS - 1)), F.lit(0).cast("long")) * (1 << HASH_BITS) + k))
     # a bit is set if an odd number of words falls on it: bits of two sets differ for words that only one of them has
-    sig, sig2 = (F.expr(f"aggregate(keys, 0L, (a, k) -> if((k & 64) = {half}, a ^ shiftleft(1L, k & 63), a))") for half in (0, 64))
-    contents = stored(alike.select("sid", "doc", "keys", F.size("keys").alias("n"), sig.alias("sig"), sig2.alias("sig2")))
-    discard(wide)
-    return lines, sets, contents
+    sig = F.expr("aggregate(words, 0L, (a, k) -> a ^ shiftleft(1L, k))")
+    half = F.expr("aggregate(words, 0L, (a, k) -> if((k & 64) = 0, a, a ^ shiftleft(1L, k)))")
+    marked = hashed.select("sid", "doc_id", "h", "line", n.alias("n"), F.when(n >= LEAST, sig).alias("sig"), F.when(n >= LONG, half).otherwise(F.lit(0).cast("long")).alias("half"), F.when(n >= LEAST, F.slice(rarest, 1, F.floor(n / 5).cast("int") + 1)).alias("prefix"))
+    # what follows the place of the first line is the same on all lines of a set
+    first = F.min(F.struct("doc_id", "h", "line", "n", "sig", "half", "prefix")).alias("f")
+    grouped = marked.groupBy("sid").agg(first, F.count("*").alias("copies"))
+    return grouped.select("sid", F.struct("f.doc_id", "f.h", "f.line").alias("first"), "copies", "f.n", "f.sig", "f.half", "f.prefix")
 
 
 def _may_match(a: str, b: str) -> Column:
     """Length filter, and that the signatures differ in no more bits than the sets may differ in words: a ninth of both sizes."""
     na, nb = F.col(f"{a}n"), F.col(f"{b}n")
-    bits = sum((F.bit_count(F.col(f"{a}{sig}").bitwiseXOR(F.col(f"{b}{sig}"))) for sig in ("sig", "sig2")), start=F.lit(0))
+    whole = F.col(f"{a}sig").bitwiseXOR(F.col(f"{b}sig"))
+    half = F.col(f"{a}half").bitwiseXOR(F.col(f"{b}half"))
+    bits = F.when((na >= LONG) & (nb >= LONG), F.bit_count(half) + F.bit_count(whole.bitwiseXOR(half))).otherwise(F.bit_count(whole))
     return (5 * na >= 4 * nb) & (5 * nb >= 4 * na) & (9 * bits <= na + nb)
 
 
+def _contents(sets: DataFrame) -> DataFrame:
+    return sets.where(F.col("n") >= LEAST).select("sid", F.coalesce("first.doc_id", F.lit(-(1 << 63))).alias("doc"), "n", "sig", "half", "prefix")
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def _tried(contents: DataFrame) -> DataFrame:
-    """Pairs (sid, other): each set with the earliest set in parts of its words' groups, and with those just before it.
+    """Pairs (sid, other): each set with the earliest set in parts of its words' large groups, and with those just before it.
 
     Words at the end of the prefix serve, as the rarest are often a copy's own misprints.
     """
-    last = F.greatest(F.lit(1), F.floor(F.col("n") / 5).cast("int") + 2 - TRIED_WORDS)
-    rare = contents.select("sid", "doc", "n", "sig", "sig2", F.explode(F.slice("keys", last, TRIED_WORDS)).alias("word"))
-    by = Window.partitionBy("word", F.pmod("sid", F.lit(TRIED_PARTS))).orderBy("doc", "sid")
-    one = F.struct(F.col("sid").alias("other"), F.col("n").alias("o_n"), F.col("sig").alias("o_sig"), F.col("sig2").alias("o_sig2"))
+    last = F.greatest(F.lit(1), F.size("prefix") + 1 - TRIED_WORDS)
+    rare = contents.select("sid", "doc", "n", "sig", "half", F.explode(F.slice("prefix", last, TRIED_WORDS)).alias("word"))
+    large = stored(rare.groupBy("word").agg(F.count("*").alias("sets")).where(F.col("sets") >= TRIED_GROUP))
+    rare = rare.join(_small(large), "word").withColumn("part", F.pmod("sid", F.ceil(F.col("sets") / TRIED_PART)))
+    by = Window.partitionBy("word", "part").orderBy("doc", "sid")
+    one = F.struct(F.col("sid").alias("other"), F.col("n").alias("o_n"), F.col("sig").alias("o_sig"), F.col("half").alias("o_half"))
     before = F.array(F.first(one).over(by), *(F.lag(one, i + 1).over(by) for i in range(TRIED_BEFORE)))
-    met = rare.select("sid", "n", "sig", "sig2", before.alias("others")).select("sid", "n", "sig", "sig2", F.inline("others"))
-    return met.where(F.col("other").isNotNull() & (F.col("other") != F.col("sid")) & _may_match("", "o_")).select("sid", "other").distinct()
+    met = rare.select("sid", "n", "sig", "half", before.alias("others")).select("sid", "n", "sig", "half", F.inline("others"))
+    out = stored(met.where(F.col("other").isNotNull() & (F.col("other") != F.col("sid")) & _may_match("", "o_")).select("sid", "other").distinct())
+    discard(large)
+    return out
 
 
 def _left(contents: DataFrame, matched: DataFrame, share: int) -> DataFrame:
@@ -110,10 +133,10 @@ def _left(contents: DataFrame, matched: DataFrame, share: int) -> DataFrame:
     matched = matched.withColumn("done", F.lit(True))
     marked = contents.join(F.broadcast(matched) if matched.count() <= BROADCAST_ROWS else matched, "sid", "left")
     marked = marked.withColumn("done", F.coalesce("done", F.lit(False)))
-    fields = "sid", "doc", "n", "sig", "sig2"
-    prefix, mine = F.floor(F.col("n") / 5).cast("int") + 1, F.col("word") % PASSES == share
-    longer = marked.select(*fields, "done", F.posexplode(F.slice("keys", 1, prefix)).alias("pos", "word")).where(mine)
-    shorter = marked.select(*fields, "done", F.posexplode(F.slice("keys", 1, F.floor(F.col("n") / 9).cast("int") + 1)).alias("pos", "word")).where(mine)
+    fields = "sid", "doc", "n", "sig", "half"
+    mine = F.pmod("word", F.lit(PASSES)) == share
+    longer = marked.select(*fields, "done", F.posexplode("prefix").alias("pos", "word")).where(mine)
+    shorter = marked.select(*fields, "done", F.posexplode(F.slice("prefix", 1, F.floor(F.col("n") / 9).cast("int") + 1)).alias("pos", "word")).where(mine)
     shorter = shorter.select(*(F.col(c).alias(f"o_{c}") for c in shorter.columns))
     n, m, p, q = F.col("n"), F.col("o_n"), F.col("pos"), F.col("o_pos")
     ordered = (m < n) | ((m == n) & (F.col("o_sid") < F.col("sid")))
@@ -122,38 +145,59 @@ def _left(contents: DataFrame, matched: DataFrame, share: int) -> DataFrame:
     may = (F.col("word") == F.col("o_word")) & ordered & _may_match("", "o_") & placed
     undone = longer.where(~F.col("done")).drop("done")
     first = undone.join(shorter, may & ((F.col("doc") >= F.col("o_doc")) | ~F.col("o_done")))
-    done, rows = longer.where("done").drop("done"), marked.where("done").agg(F.sum(prefix)).first()[0] or 0
+    done, rows = longer.where("done").drop("done"), marked.where("done").agg(F.sum(F.size("prefix"))).first()[0] or 0
     second = (F.broadcast(done) if rows <= BROADCAST_ROWS else done).join(shorter.where("not o_done"), may & (F.col("doc") <= F.col("o_doc")))
     return first.select("sid", F.col("o_sid").alias("other")).union(second.select("sid", "o_sid")).distinct()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, contents: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     """Of pairs (sid, other) with a similarity of 0.8 or more, the later sets."""
     wanted = pairs.select("sid").union(pairs.select("other")).distinct()
-    wanted = F.broadcast(wanted) if pairs.count() <= BROADCAST_ROWS else wanted
-    at = stored(contents.select("sid", "keys").join(wanted, "sid", "left_semi").join(sets, "sid"))
+    places = sets.select("sid", "first").join(_small(wanted), "sid").select("sid", F.col("first.doc_id").alias("d"), F.col("first.h").alias("dh"), F.col("first.line").alias("line"))
+    # the lines wanted of one document, which is split once for all of them
+    asked = stored(places.groupBy("d", "dh").agg(F.collect_list(F.struct("sid", "line")).alias("asked")))
+    at = docs.join(_small(asked), F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("dh"))).select(_lines(F.col("text")).alias("lines"), "asked")
+    at = at.select("lines", F.explode("asked").alias("a")).select("a.sid", F.array_distinct(_words(F.get("lines", F.col("a.line")))).alias("words"))
+    at = stored(at.groupBy("sid").agg(F.first("words").alias("words")).join(sets.select("sid", "first"), "sid"))
     mine, theirs = at.toDF("sid", "mine", "first"), at.toDF("other", "theirs", "o_first")
     both = pairs.join(mine, "sid").join(theirs, "other")
     shared = F.size(F.array_intersect("mine", "theirs"))
     both = both.where(9 * shared >= 4 * (F.size("mine") + F.size("theirs")))
     out = stored(both.select(F.when(F.col("o_first") < F.col("first"), F.col("sid")).otherwise(F.col("other")).alias("sid")).distinct())
-    discard(at)
+    discard(asked, at)
     return out
 
 
+def _gone(lines: DataFrame, judged: DataFrame) -> DataFrame:
+    """Lines of the sets judged that go. No task gets all lines of a set that many lines are."""
+    few = judged.count() <= BROADCAST_ROWS
+    if few:
+        met = lines.join(F.broadcast(judged), "sid")
+    else:
+        heavy = judged.where(F.col("copies") > F.lit(HEAVY_SHARE) * F.lit(lines.count()))  # 1 / HEAVY_SHARE rows at most
+        light = judged.join(F.broadcast(heavy.select("sid")), "sid", "left_anti")
+        met = lines.join(F.broadcast(heavy), "sid").unionByName(lines.join(F.broadcast(heavy.select("sid")), "sid", "left_anti").join(light, "sid"))
+    return met.where(F.col("near") | (F.struct("doc_id", "h", "line") != F.col("first"))).select("doc_id", "h", "line")
+
+
 def later_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, h, removed): of documents that lose lines, the hash of the text and the line numbers, from 0, in order."""
     docs = docs.select("doc_id", "text")
-    lines, sets, contents = _sets(docs, _levels(docs))
-    tried = stored(_tried(contents))
-    early = _verified(tried, sets, contents)
+    hashed = stored(_hashed(docs))
+    lines = stored(hashed.select("doc_id", "h", "line", "sid"))
+    sets = stored(_sets(hashed, _levels(hashed)))
+    discard(hashed)
+    contents = _contents(sets)
+    tried = _tried(contents)
+    early = _verified(tried, sets, docs)
     left = [stored(_left(contents, early, share)) for share in range(PASSES)]
-    late = _verified(reduce(DataFrame.union, left), sets, contents)
-    discard(tried, *left, contents)
-    judged = sets.join(early.union(late).withColumn("near", F.lit(True)), "sid", "left")
-    gone = lines.join(judged, "sid").where(F.col("near").isNotNull() | (F.struct("doc_id", "h", "line") != F.col("first")))
-    out = stored(gone.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("line")).alias("removed")))
-    discard(lines, sets, early, late)
+    late = _verified(reduce(DataFrame.union, left), sets, docs)
+    discard(tried, *left)
+    near = early.union(late).distinct().withColumn("near", F.lit(True))
+    judged = sets.select("sid", "first", "copies").join(near, "sid", "left").withColumn("near", F.coalesce("near", F.lit(False)))
+    judged = stored(judged.where(F.col("near") | (F.col("copies") > 1)))
+    out = stored(_gone(lines, judged).groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("line")).alias("removed")))
+    discard(lines, sets, early, late, judged)
     return out
 
 
