@@ -1,11 +1,15 @@
 """Byte-level BPE, encoded and decoded as a monoid tree reduction.
 
-A piece of text is cut into halves down to short leaves. Two neighbours are
+A piece of text is cut into halves down to single bytes. Two neighbours are
 joined by encoding anew a window around their boundary, which grows until the
 tokens outside it are stable: a token sequence is the encoding of its bytes
 exactly if every two neighbouring tokens, encoded together, give themselves
 again, so the join is right as soon as the pairs at the window's two edges do.
 Decoding concatenates the tokens' bytes.
+
+What two neighbouring tokens give and what short halves and pieces give is
+remembered by a worker, in two generations of bounded size: all of it comes from
+joins, and forgetting costs time alone.
 """
 
 from __future__ import annotations
@@ -14,7 +18,8 @@ import base64
 import hashlib
 import heapq
 import re
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -24,22 +29,41 @@ from pyspark.sql import functions as F
 
 from witnesslake.llm.common import small_batches
 
-#: Bytes that are encoded at once; longer pieces are halved.
-LEAF = 24
-#: Pieces remembered by a worker, and the length of the longest one remembered.
-REMEMBERED, REMEMBERED_CHARS = 400_000, 40
+#: Bytes of a window that are searched pair by pair; longer ones by a heap.
+SHORT = 96
+#: Pieces, halves and pairs of tokens remembered by a worker in each of two generations, and the bytes of the longest piece remembered.
+REMEMBERED, REMEMBERED_BYTES = 250_000, 40
+Ids = Sequence[int]
 #: Stands for the rank of two tokens that don't merge.
 NONE = 1 << 62
 #: A vocabulary file is broadcast; larger ones are refused.
 VOCABULARY_BYTES = 64 << 20
 
 
+class Kept(dict):
+    """Results of make by key: those of the latest REMEMBERED keys at least, of twice as many at most."""
+
+    def __init__(self, make: Callable) -> None:
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, key):  # noqa: ANN001, ANN204
+        if (got := self.old.get(key)) is None:
+            got = self.make(key)
+        if len(self) >= REMEMBERED:
+            self.old = self.copy()
+            self.clear()
+        self[key] = got
+        return got
+
+
 class Codec:
     """ranks: token bytes to id; a lower id merges first."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks, self.token = ranks, {i: b for b, i in ranks.items()}
-        self.stable_pairs: dict[tuple[int, int], bool] = {}
+        self.pairs = Kept(lambda ab: tuple(self.leaf(self.token[ab[0]] + self.token[ab[1]])))
+        self.halves = Kept(self._halved)
 
     def leaf(self, data: bytes) -> list[int]:
         """The merges in order of rank, leftmost first, searched one by one."""
@@ -56,7 +80,7 @@ class Codec:
 
     def window(self, data: bytes) -> list[int]:
         """Like leaf, in n log n steps: a heap of pairs over a linked list."""
-        if len(data) <= 4 * LEAF:
+        if len(data) <= SHORT:
             return self.leaf(data)
         get, n = self.ranks.get, len(data)
         part = [data[i : i + 1] for i in range(n)]
@@ -77,56 +101,56 @@ class Codec:
         return [self.ranks[p] for p in part if p]
 
     def stable(self, a: int, b: int) -> bool:
-        known = self.stable_pairs.get((a, b))
-        if known is None:
-            if len(self.stable_pairs) > REMEMBERED:
-                self.stable_pairs.clear()
-            known = self.stable_pairs[a, b] = self.leaf(self.token[a] + self.token[b]) == [a, b]
-        return known
-
-    def join(self, left: list[int], right: list[int]) -> list[int]:
+        return self.pairs[a, b] == (a, b)
+
+    def join(self, left: Ids, right: Ids) -> Ids:
+        """The ids of two neighbours' bytes from the ids of each."""
         if not left or not right:
             return left or right
-        k = 1
+        mid, k = self.pairs[left[-1], right[0]], 1
+        if mid == (left[-1], right[0]):
+            return left + right
         while True:
             a, b = max(0, len(left) - k), min(len(right), k)
-            mid = self.window(self.decode(left[a:]) + self.decode(right[:b]))
             if (not a or self.stable(left[a - 1], mid[0])) and (b == len(right) or self.stable(mid[-1], right[b])):
                 return left[:a] + mid + right[b:]
             k *= 2
+            mid = tuple(self.window(self.decode(left[-k:]) + self.decode(right[:k])))
 
-    def tree(self, data: bytes) -> list[int]:
-        if len(data) <= LEAF:
-            return self.leaf(data)
+    def tree(self, data: bytes) -> Ids:
+        return self.halves[data] if len(data) <= REMEMBERED_BYTES else self._halved(data)
+
+    def _halved(self, data: bytes) -> Ids:
+        if len(data) < 2:
+            return (self.ranks[data],) if data else ()
         half = len(data) // 2
         return self.join(self.tree(data[:half]), self.tree(data[half:]))
 
-    def encode(self, piece: bytes) -> list[int]:
+    def encode(self, piece: bytes) -> Ids:
         """A match of the pattern that is a token as a whole is that token."""
         whole = self.ranks.get(piece)
-        return self.tree(piece) if whole is None else [whole]
+        return self.tree(piece) if whole is None else (whole,)
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids: Ids) -> bytes:
         if len(ids) <= 1 << 12:
             return b"".join(map(self.token.__getitem__, ids))
         half = len(ids) // 2
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
 
-class Packed(dict):
-    """Pieces to their ids as little-endian 32-bit integers; forgets all when full."""
+class Packed(Kept):
+    """Pieces to their ids as little-endian 32-bit integers."""
 
     def __init__(self, codec: Codec) -> None:
-        super().__init__()
+        super().__init__(lambda piece: self.of(piece.encode()))
         self.codec = codec
 
+    def of(self, piece: bytes) -> bytes:
+        ids = self.codec.encode(piece)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def __missing__(self, piece: str) -> bytes:
-        packed = np.array(self.codec.encode(piece.encode()), "<u4").tobytes()
-        if len(piece) <= REMEMBERED_CHARS:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[piece] = packed
-        return packed
+        return super().__missing__(piece) if len(piece) <= REMEMBERED_BYTES else self.make(piece)
 
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:

@@ -1,19 +1,26 @@
 """Main text of web pages by minimum-cut labelling of their blocks.
 
-A page becomes blocks of text. What a classifier finds costs either label of a
-block: those are the capacities to the two terminals. Blocks that follow each
-other or share a parent, the more so the nearer they stand in the tree, are tied
-by smoothness capacities. The minimum cut labels all blocks of a page at once.
+A page becomes blocks of text. A logistic classifier of a block's own text (its
+length, links, last mark and element) costs either label of the block: those are
+the capacities to the two terminals. It is fitted on the pages themselves, where
+blocks of articles and of menus, footers and the like show what both look like.
+Elements that say what they hold are nodes of the graph too, tied to their label
+and, by smoothness capacities, to the blocks in them; blocks that follow each
+other or share a parent are tied as well, the more so the nearer they stand in
+the tree. The minimum cut labels all blocks of a page at once, so a short line
+amid an article stays and a fluent advert goes, against their own looks.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,9 +47,19 @@ WITHIN = {"article", "main"}
 HAS = re.compile(r"(?:(?<=[\s_-])|^)(?:has|no|with)[_-]\S*")
 WITHIN_NAMES = set("article content entry post story body text main".split())
 
-#: Costs: what speaks for the text (above zero) or against it, and the smoothness capacities.
-START, IN_MAIN, NAMED_MAIN, BESIDE_COST, LINKS, WORDS_EACH, WORDS_MOST, SENTENCE, HEADING = -1.0, 5.0, 1.5, -12.0, -4.0, 0.1, 4.0, 0.5, 0.5
-FOLLOWS, PARENT = 0.4, 0.4
+HEADINGS, LISTED = set("h1 h2 h3 h4 h5 h6".split()), set("li dd dt td th option".split())
+#: The classifier's costs are cut off here; a holder's ties outweigh them.
+MOST = 2.0
+#: Capacities: of a holder to its label (one that only its name makes part of the text may be overruled), and of the ties of a block to its holder.
+SEED, NAMED_SEED, HELD, NAMED_HELD = 1e6, 4.0, 3.0, 1.5
+#: Capacities of ties between blocks: those that follow each other, by their distance in the tree, and neighbours of one parent; steps that lie between two holders.
+FOLLOWS, PARENT, BOUNDARY = 1.5, 1.0, 8
+#: Weights where pages show no blocks of one kind: none, words, links, sentence, heading, list item.
+DEFAULT = (-2.0, 1.0, -4.0, 0.7, 1.0, -1.0)
+#: The fit: weight of all blocks of a kind, penalty and steps.
+KIND_WEIGHT, RIDGE, STEPS = 100.0, 1.0, 30
+#: What holds a block.
+NOTHING, NAMED, MAIN, BESIDE_TEXT = 0, 1, 2, 3
 
 
 @dataclass
@@ -51,9 +68,8 @@ class Block:
     path: tuple[int, ...]
     linked: float
     tag: str
-    main: bool
-    named: bool
-    beside: bool
+    holder: int
+    kind: int
 
 
 class Reader:
@@ -61,8 +77,8 @@ class Reader:
 
     def __init__(self, page: str) -> None:
         self.blocks: list[Block] = []
-        # (tag, number, in main, named so, beside, named beside)
-        self.stack: list[tuple[str, int, bool, bool, bool, bool]] = [("", 0, False, False, False, False)]
+        # (tag, number, in main, named so, beside, named beside, the holder's number)
+        self.stack: list[tuple[str, int, bool, bool, bool, bool, int]] = [("", 0, False, False, False, False, 0)]
         self.number = 0
         self.parts: list[str] = []
         self.linked = 0
@@ -98,10 +114,9 @@ class Reader:
         raw, linked = "".join(self.parts), self.linked
         self.parts, self.linked = [], 0
         if text := " ".join(raw.split()):
-            tag, _, main, named, beside, by_name = self.stack[-1]
-            path = tuple(s[1] for s in self.stack)
+            holder, path = self.stack[-1][6], tuple(s[1] for s in self.stack)
             block = next((s[0] for s in reversed(self.stack) if s[0] in BLOCKS), "")
-            self.blocks.append(Block(text, path, linked / max(1, len(raw)), block, main, named, beside or by_name))
+            self.blocks.append(Block(text, path, linked / max(1, len(raw)), block, holder, kind(*self.stack[-1][2:6])))
 
     def begin(self, name: str, rest: str) -> None:
         if name in BLOCKS:
@@ -113,8 +128,8 @@ class Reader:
             self.parts.append(" ")
         if name in VOID:
             return
-        _, _, main, named, beside, by_name = self.stack[-1]
-        within = name in WITHIN
+        _, _, main, named, beside, by_name, holder = self.stack[-1]
+        was, within = kind(main, named, beside, by_name), name in WITHIN
         if rest and name not in ("html", "body"):
             given = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(rest)}
             said = f"{given.get('class', '')} {given.get('id', '')}".lower()
@@ -127,7 +142,10 @@ class Reader:
         if within and not main:
             by_name = False
         self.number += 1
-        self.stack.append((name, self.number, main or within, named, beside or name in BESIDE or name == "head", by_name))
+        main, beside = main or within, beside or name in BESIDE or name == "head"
+        if kind(main, named, beside, by_name) != was:
+            holder = self.number
+        self.stack.append((name, self.number, main, named, beside, by_name, holder))
 
     def shut(self, name: str) -> None:
         """Closes an open `name` in the innermost block, as its next like does."""
@@ -149,26 +167,67 @@ class Reader:
                 return
 
 
-def lean(b: Block) -> float:
-    """What labelling the block as boilerplate costs more than labelling it as text."""
-    cost = START + IN_MAIN * b.main + NAMED_MAIN * b.named + BESIDE_COST * b.beside + LINKS * b.linked
-    cost += min(WORDS_MOST, WORDS_EACH * (b.text.count(" ") + 1))
-    return cost + SENTENCE * (b.text[-1] in ".!?…") + HEADING * (b.tag in ("h1", "h2", "h3"))
+def kind(main: bool, named: bool, beside: bool, by_name: bool) -> int:
+    return BESIDE_TEXT if beside or by_name else MAIN if main else NAMED if named else NOTHING
+
+
+Cell = tuple[int, int, bool, bool, bool]
+
+
+def cell(b: Block) -> Cell:
+    """What the classifier sees of a block, in few values: its holder isn't of it."""
+    return (min(14, int(2 * math.log2(2 + b.text.count(" ")))), round(4 * b.linked), b.text[-1] in ".!?…", b.tag in HEADINGS, b.tag in LISTED)
+
+
+def _row(c: Cell) -> tuple[float, ...]:
+    return (1.0, c[0] / 4, c[1] / 4, float(c[2]), float(c[3]), float(c[4]))
+
+
+def learn(cells: dict[tuple[Cell, bool], int]) -> tuple[float, ...]:
+    """Weights of a logistic regression on counted blocks of the text (True) and beside it, both kinds of equal weight."""
+    of_kind = [sum(n for (_, y), n in cells.items() if y == k) for k in (False, True)]
+    if not all(of_kind):
+        return DEFAULT
+    x = np.array([_row(c) for c, _ in cells])
+    y = np.array([float(k) for _, k in cells])
+    weight = np.array([KIND_WEIGHT * n / of_kind[k] for (_, k), n in cells.items()])
+    w = np.zeros(x.shape[1])
+    for _ in range(STEPS):
+        p = 1 / (1 + np.exp(-x @ w))
+        w = w + np.linalg.solve(x.T * (weight * p * (1 - p)) @ x + RIDGE * np.eye(len(w)), x.T @ (weight * (y - p)) - RIDGE * w)
+    return tuple(w.tolist())
+
+
+def lean(b: Block, weights: tuple[float, ...]) -> float:
+    """What labelling the block as boilerplate costs more than labelling it as text: the classifier's log odds, cut off."""
+    return max(-MOST, min(MOST, sum(w * v for w, v in zip(weights, _row(cell(b)), strict=True))))
 
 
 def ties(blocks: list[Block]) -> list[tuple[int, int, float]]:
     out, last = [], {}
     for i, b in enumerate(blocks):
         if i:
-            a = blocks[i - 1].path
-            shared = next((k for k, (x, y) in enumerate(zip(a, b.path, strict=False)) if x != y), min(len(a), len(b.path)))
-            out.append((i - 1, i, FOLLOWS / (1 + len(a) + len(b.path) - 2 * shared)))
-        if (before := last.get(b.path[:-1])) is not None:
+            a = blocks[i - 1]
+            shared = next((k for k, (x, y) in enumerate(zip(a.path, b.path, strict=False)) if x != y), min(len(a.path), len(b.path)))
+            out.append((i - 1, i, FOLLOWS / (1 + len(a.path) + len(b.path) - 2 * shared + BOUNDARY * (a.holder != b.holder))))
+        if (before := last.get((b.path[:-1], b.holder))) is not None:
             out.append((before, i, PARENT))
-        last[b.path[:-1]] = i
+        last[b.path[:-1], b.holder] = i
     return out
 
 
+def graph(blocks: list[Block], weights: tuple[float, ...]) -> tuple[list[float], list[tuple[int, int, float]]]:
+    """Leans and ties of the blocks and, behind them, of their holders."""
+    leans, edges, at = [lean(b, weights) for b in blocks], ties(blocks), {}
+    for i, b in enumerate(blocks):
+        if b.kind != NOTHING:
+            if b.holder not in at:
+                at[b.holder] = len(leans)
+                leans.append({NAMED: NAMED_SEED, MAIN: SEED, BESIDE_TEXT: -SEED}[b.kind])
+            edges.append((i, at[b.holder], NAMED_HELD if b.kind == NAMED else HELD))
+    return leans, edges
+
+
 def minimum_cut(leans: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """True for each node on the source's side of a minimum cut; of several, the one with fewest there.
 
@@ -234,10 +293,25 @@ def _flow(leans: list[float], near: list[dict[int, float]]) -> list[bool]:
             room[a][b] = room[a].get(b, 0) + much
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, weights: tuple[float, ...] = DEFAULT) -> str:
     blocks = Reader(page or "").blocks
-    keep = minimum_cut([lean(b) for b in blocks], ties(blocks))
-    return "\n".join(b.text for b, k in zip(blocks, keep, strict=True) if k)
+    return "\n".join(b.text for b, k in zip(blocks, minimum_cut(*graph(blocks, weights)), strict=False) if k)
+
+
+def fit(pages: DataFrame) -> tuple[float, ...]:
+    """The classifier's weights, from the counts of what blocks of all pages look like inside main text and beside it."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: Counter[tuple[Cell, bool]] = Counter()
+        for batch in batches:
+            for page in batch["html"]:
+                seen.update((cell(b), b.kind == MAIN) for b in Reader(page or "").blocks if b.kind in (MAIN, BESIDE_TEXT))
+        yield pd.DataFrame([(*c, y, n) for (c, y), n in seen.items()], columns=["words", "linked", "sentence", "heading", "listed", "y", "n"])
+
+    keys = ["words", "linked", "sentence", "heading", "listed", "y"]
+    counted = pages.select("html").mapInPandas(count, "words int, linked int, sentence boolean, heading boolean, listed boolean, y boolean, n long")
+    rows = counted.groupBy(*keys).agg(F.sum("n").alias("n")).orderBy(*keys).collect()  # a row a cell, of which there are a few hundred
+    return learn({((r.words, r.linked, r.sentence, r.heading, r.listed), r.y): r.n for r in rows})
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -245,13 +319,16 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Null and empty html, and pages of boilerplate alone, have an empty text.
     Repeated rows stay, an empty table stays empty, other columns are ignored.
+    The classifier is fitted on all pages given; where these show no main text
+    or nothing beside it, fixed weights serve.
     """
     small_batches(pages.sparkSession)
+    weights = fit(pages)
 
     @F.pandas_udf("string")
     def text_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for pages in batches:
-            yield pages.map(main_text, na_action=None)
+            yield pages.map(lambda page: main_text(page, weights), na_action=None)
 
     got = pages.select("page_id", "url", text_of(F.col("html")).alias("text"))
     return got.withColumn("n_chars", F.length("text").cast("long"))

@@ -3,13 +3,19 @@
 Long tokens are read in the encoding their characters suggest. Three tests ask
 whether the characters are uniform and independent over its alphabet: chi-squared,
 runs about the middle, correlation of neighbours. A token is a discovery if none
-of them speaks against randomness and ordinary text would hardly be as even: that
-chance falls with the length, so the Benjamini-Hochberg bound over all tokens of
-all documents asks more of short ones. All of it is DataFrame functions.
+of them speaks against randomness and ordinary text would hardly look like it,
+being as even and changing as often between small letters, capitals and digits.
+That chance falls with the length, and the Benjamini-Hochberg bound is taken over
+all tokens of one encoding and like length in all documents, so that many short
+or ordinary tokens do not hide a long key. All of it is DataFrame functions, each
+linear in a text's length and matches.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,24 +38,39 @@ ENCODINGS = (
 )
 #: Randomness is rejected below this chance; share of discoveries that may be false.
 REJECT, FALSE_SHARE = 0.01, 0.01
-#: Bins of log10 of a chance for the bound: bounds the table it is read from.
-BINS, LOWEST = 20, -40
+#: Share of neighbouring letters and digits of an ordinary token, at most, that are of different kinds.
+TURNS = 0.25
+#: Bins of log10 of a chance and classes of length (by powers of two) for the bounds: bound the table they are read from.
+BINS, LOWEST, LENGTHS = 20, -40, 32
+#: Matches of a text whose places are summed up at once.
+BLOCK = 64
 SPAN = "struct<start:int,`end`:int,token:string,counted:int>"
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value made once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _running(values: Column, zero: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """The array of zero and what the steps through values make of it, in turn. Appends each time, so values must be few."""
+    return F.aggregate(values, F.array(zero), lambda acc, v: F.concat(acc, F.array(step(F.element_at(acc, -1), v))))
+
+
 def spans(text: Column, pattern: str, group: int) -> Column:
     """Leftmost non-overlapping matches with their places in code points, end exclusive."""
     parts = F.arrays_zip(F.split(text, pattern, -1).alias("before"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("token"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("part"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("found"))
+    lengths = F.transform(F.filter(parts, lambda x: x["token"].isNotNull()), lambda x: F.struct(F.length(x["before"]).alias("before"), F.length(x["token"]).alias("long"), x["token"].alias("token"), F.length(x["part"]).alias("counted")))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["before"])
-        end = start + F.length(x["token"])
-        span = F.struct(start.alias("start"), end.alias("end"), x["token"].alias("token"), F.length(x["part"]).alias("counted"))
-        return F.when(x["token"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["found"], F.array(span)).alias("found")))
+    def placed(block: Column, begin: Column) -> Column:
+        ends = F.slice(_running(block, begin, lambda at, x: at + x["before"] + x["long"]), 2, BLOCK)
+        return F.zip_with(block, ends, lambda x, end: F.struct((end - x["long"]).alias("start"), end.alias("end"), x["token"].alias("token"), x["counted"].alias("counted")))
 
-    none = F.array().cast(f"array<{SPAN}>")
-    return F.when(text.rlike(pattern), F.aggregate(parts, zero, step)["found"]).otherwise(none)
+    def blocked(found: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / BLOCK).cast("int")), lambda i: F.slice(found, i * BLOCK + 1, F.lit(BLOCK)))
+        return _let(blocks, lambda b: F.flatten(F.zip_with(b, _running(F.transform(b, lambda x: F.aggregate(x, F.lit(0), lambda acc, m: acc + m["before"] + m["long"])), F.lit(0), lambda at, n: at + n), lambda block, at: F.when(block.isNotNull(), placed(block, at)).otherwise(F.array().cast(f"array<{SPAN}>")))))
+
+    return F.when(text.rlike(pattern), _let(lengths, blocked)).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def _upper(z: Column) -> Column:
@@ -59,53 +80,80 @@ def _upper(z: Column) -> Column:
     return F.when(z > 3, far).when(z < -30, F.lit(1.0)).otherwise(near)
 
 
+def _changes(text: Column) -> Column:
+    """How many neighbouring characters differ."""
+    return F.regexp_count(text, F.lit(r"(?s)(.)(?!\1|\z)")).cast("double")
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
+
+
 def _tests(token: Column, alphabet: str, squares: float, cubes: float) -> Column:
-    """The chance that uniform text is as uneven, and that ordinary text is as even."""
-    k, n = float(len(alphabet)), F.length(token).cast("double")
-    x = F.transform(F.sequence(F.lit(1), F.length(token)), lambda i: F.position(F.substring(token, i, F.lit(1)), F.lit(alphabet)).cast("double") - 1)
-    return F.transform(F.array(x), lambda x: _battery(x, k, n, squares, cubes))[0]
-
-
-def _battery(x: Column, k: float, n: Column, squares: float, cubes: float) -> Column:
-    square = F.aggregate(F.array_distinct(x), F.lit(0.0), lambda acc, v: acc + F.pow(F.size(F.filter(x, lambda e: e == v)).cast("double"), F.lit(2.0)))
-    chi = square * (k / n) - n
-    df = k - 1
-    p_chi = _upper((F.pow(chi / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / (2 / (9 * df)) ** 0.5)
-    ones = F.size(F.filter(x, lambda e: e >= k / 2)).cast("double")
-    size = F.size(x)
-    pairs = F.zip_with(F.slice(x, 1, size - 1), F.slice(x, 2, size - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    runs = F.size(F.filter(pairs, lambda p: (p["a"] >= k / 2) != (p["b"] >= k / 2))).cast("double") + 1
+    """The chance that uniform text is as uneven, and that ordinary text looks as random."""
+    place = lambda c: F.position(c, F.lit(alphabet)).cast("double") - 1
+    half = len(alphabet) // 2
+    products = _let(F.transform(F.split(token, ""), place), lambda x: _total(F.zip_with(F.slice(x, 1, F.size(x) - 1), F.slice(x, 2, F.size(x) - 1), lambda a, b: a * b)))
+    plain = F.regexp_replace(token, r"[+/_-]", "")
+    kinds = F.translate(plain, DIGITS + LOW + UP, "0" * len(DIGITS) + "a" * len(LOW) + "A" * len(UP))
+    seen = F.struct(
+        F.length(token).cast("double").alias("n"), F.length(plain).cast("double").alias("plain"), _changes(kinds).alias("turns"),
+        F.transform(F.array(*map(F.lit, alphabet)), lambda c: (F.length(token) - F.length(F.replace(token, c, F.lit("")))).cast("double")).alias("counts"),
+        (_changes(F.translate(token, alphabet, "0" * half + "1" * (len(alphabet) - half))) + 1).alias("runs"),
+        products.alias("products"), (place(F.left(token, F.lit(1))) + place(F.right(token, F.lit(1)))).alias("ends"),
+    )
+    return _let(seen, lambda t: _let(_sums(t, half), lambda m: _battery(t, m, float(len(alphabet)), squares, cubes)))
+
+
+def _sums(t: Column, half: int) -> Column:
+    counts = t["counts"]
+    weighted = lambda power: _total(F.transform(counts, lambda c, i: c * F.pow(i.cast("double"), F.lit(float(power)))))
+    ones = _total(F.transform(counts, lambda c, i: F.when(i >= half, c).otherwise(F.lit(0.0))))
+    return F.struct(_total(F.transform(counts, lambda c: c * c)).alias("square"), ones.alias("ones"), weighted(1).alias("first"), weighted(2).alias("second"))
+
+
+def _battery(t: Column, m: Column, k: float, squares: float, cubes: float) -> Column:
+    n, square, ones, df = t["n"], m["square"], m["ones"], k - 1
+    p_chi = _upper((F.pow((square * (k / n) - n) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / (2 / (9 * df)) ** 0.5)
     mean = 1 + 2 * ones * (n - ones) / n
-    p_runs = F.when((ones == 0) | (ones == n), F.lit(0.0)).otherwise(2 * _upper(F.abs(runs - mean) / F.sqrt(F.greatest((mean - 1) * (mean - 2) / (n - 1), F.lit(1e-9)))))
-    middle = F.aggregate(x, F.lit(0.0), lambda acc, e: acc + e) / n
-    spread = F.aggregate(x, F.lit(0.0), lambda acc, e: acc + (e - middle) * (e - middle))
-    serial = F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc + (p["a"] - middle) * (p["b"] - middle)) / F.greatest(spread, F.lit(1e-9))
-    p_serial = 2 * _upper(F.abs(serial + 1 / n) * F.sqrt(n))
+    p_runs = F.when((ones == 0) | (ones == n), F.lit(0.0)).otherwise(2 * _upper(F.abs(t["runs"] - mean) / F.sqrt(F.greatest((mean - 1) * (mean - 2) / (n - 1), F.lit(1e-9)))))
+    middle = m["first"] / n
+    spread = m["second"] - n * middle * middle
+    beside = t["products"] - middle * (2 * m["first"] - t["ends"]) + (n - 1) * middle * middle
+    p_serial = 2 * _upper(F.abs(beside / F.greatest(spread, F.lit(1e-9)) + 1 / n) * F.sqrt(n))
     expected = n + n * (n - 1) * squares
     varied = 2 * n * (n - 1) * (squares - squares**2) + 4 * n * (n - 1) * (n - 2) * (cubes - squares**2)
-    p_text = _upper((expected - square) / F.sqrt(varied))
-    return F.struct(F.least(F.lit(1.0), 3 * F.least(p_chi, p_runs, p_serial)).alias("uniform"), p_text.alias("text"))
+    p_even = _upper((expected - square) / F.sqrt(varied))
+    steps = F.greatest(t["plain"] - 1, F.lit(1.0))
+    p_turns = _upper((t["turns"] - 0.5 - TURNS * steps) / F.sqrt(steps * (TURNS * (1 - TURNS))))
+    both = F.greatest(p_even * p_turns, F.lit(1e-300))  # of two independent chances, by Fisher
+    return F.struct(F.least(F.lit(1.0), 3 * F.least(p_chi, p_runs, p_serial)).alias("uniform"), F.least(F.lit(1.0), both * (1 - F.log(both))).alias("text"))
 
 
 def candidates(text: Column) -> Column:
-    """Tokens in a known encoding with their places and the two chances."""
+    """Tokens in a known encoding with their places, the stratum of encoding and length, and the two chances."""
     tested = None
-    for pattern, alphabet, squares, cubes in reversed(ENCODINGS):
-        use = lambda s, p=pattern, a=alphabet, q=squares, c=cubes: (s["token"].rlike(p), _tests(s["token"], a, q, c))
+    for i, (pattern, alphabet, squares, cubes) in reversed(list(enumerate(ENCODINGS))):
+        stratum = lambda s, i=i: F.least(F.lit(LENGTHS - 1), F.floor(F.log2(F.length(s["token"]))).cast("int")) + i * LENGTHS
+        use = lambda s, p=pattern, a=alphabet, q=squares, c=cubes, of=stratum: (s["token"].rlike(p), F.struct(of(s).alias("stratum"), _tests(s["token"], a, q, c).alias("p")))
         tested = (lambda s, use=use, rest=tested: F.when(*use(s)).otherwise(rest(s) if rest else F.lit(None)))
-    with_tests = F.transform(spans(text, TOKEN, 0), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), tested(s).alias("p")))
-    return F.filter(with_tests, lambda s: s["p"].isNotNull())
-
-
-def bound(tested: DataFrame, share: float = FALSE_SHARE) -> float:
-    """The Benjamini-Hochberg bound on `text` chances of all tokens in tested.cand, read from counts by bin."""
-    bins = tested.select(F.explode("cand.p.text").alias("p")).groupBy(F.greatest(F.lit(LOWEST * BINS), F.ceil(F.log10(F.greatest("p", F.lit(1e-300))) * BINS)).alias("bin")).agg(F.count("*").alias("n"))
-    rows = sorted((r.bin, r.n) for r in bins.collect())  # BINS * -LOWEST + 1 at most
-    total, below, best = sum(n for _, n in rows), 0, 0.0
-    for at, n in rows:
-        below += n
-        if (edge := 10.0 ** (at / BINS)) * total / below <= share:
-            best = edge
+    with_tests = F.transform(spans(text, TOKEN, 0), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), tested(s).alias("t")))
+    flat = F.transform(with_tests, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["t"]["stratum"].alias("stratum"), s["t"]["p"].alias("p")))
+    return F.filter(flat, lambda s: s["p"].isNotNull())
+
+
+def bounds(tested: DataFrame, share: float = FALSE_SHARE) -> list[float]:
+    """By stratum, the Benjamini-Hochberg bound on `text` chances of all its tokens in tested.cand, read from counts by bin."""
+    at = F.greatest(F.lit(LOWEST * BINS), F.ceil(F.log10(F.greatest("c.p.text", F.lit(1e-300))) * BINS))
+    bins = tested.select(F.explode("cand").alias("c")).groupBy(F.col("c.stratum").alias("stratum"), at.alias("bin")).agg(F.count("*").alias("n"))
+    rows = bins.orderBy("stratum", "bin").collect()  # BINS * -LOWEST + 1 a stratum at most
+    total, below, best = Counter(), Counter(), [0.0] * (LENGTHS * len(ENCODINGS))
+    for r in rows:
+        total[r.stratum] += r.n
+    for r in rows:
+        below[r.stratum] += r.n
+        if (edge := 10.0 ** (r.bin / BINS)) * total[r.stratum] / below[r.stratum] <= share:
+            best[r.stratum] = edge
     return best
 
 
@@ -116,7 +164,9 @@ def scan(docs: DataFrame) -> DataFrame:
     that overlap none of them. Null text counts as empty: no spans, the digest
     of no bytes. Repeated rows stay, an empty table stays empty, other columns
     are ignored. Equal texts get equal spans; as the bound is over all
-    documents, what is found beyond the base may change with the corpus.
+    documents, what is found beyond the base may change with the corpus: where
+    random tokens are rare among many ordinary ones of the same encoding and
+    like length, short ones (below some 30 characters) stay below the bound.
     """
     text = F.coalesce("text", F.lit(""))
     long_enough = lambda least: lambda s: s["counted"] >= least
@@ -124,10 +174,10 @@ def scan(docs: DataFrame) -> DataFrame:
     found = docs.select("doc_id", *base, candidates(text).alias("cand"))
     narrow = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
     found = cut(found.select("doc_id", *(narrow(F.col(k)).alias(k) for k, *_ in BASE), "cand"))
-    most = bound(found)
+    most = F.array(*map(F.lit, bounds(found)))
     named = lambda i, k: lambda s: F.struct(s["start"].alias("start"), F.lit(i).alias("kind"), s["end"].alias("end"), F.lit(k).alias("name"))
     every = F.concat(*(F.transform(k, named(i, k)) for i, (k, *_) in enumerate(BASE)))
-    new = F.filter("cand", lambda s: (s["p"]["uniform"] >= REJECT) & (s["p"]["text"] <= most) & ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    new = F.filter("cand", lambda s: (s["p"]["uniform"] >= REJECT) & (s["p"]["text"] <= F.get(most, s["stratum"])) & ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     random = F.transform(new, named(len(BASE), "random"))
     said = lambda c: F.array_join(F.transform(F.array_sort(c), lambda s: F.concat_ws(":", s["name"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     with_base = found.withColumn("base", every).withColumn("random", random)
