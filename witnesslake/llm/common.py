@@ -44,16 +44,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, random: bool = False) -> DataFrame:
     """Like cut, for wide or large tables: as Parquet, which is smaller and read by column.
 
-    Once it is written nothing asks for the shuffles behind it, so their files go at once.
+    Of `random` values, such as hashes, no dictionary is tried and nothing is compressed. Once it is written nothing asks for the shuffles behind it, so their files go at once.
     """
     spark = df.sparkSession
     path, before = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}", spark.conf.get(FREE_SHUFFLES)
     spark.conf.set(FREE_SHUFFLES, "true")
     try:
-        df.write.parquet(path)
+        df.write.options(**({"parquet.enable.dictionary": "false", "compression": "none"} if random else {})).parquet(path)
     finally:
         spark.conf.set(FREE_SHUFFLES, before)
     out = spark.read.parquet(path)

@@ -36,7 +36,7 @@ LEAST, SHORT = 4, 9
 #: Sets from which on the signature has 128 bits.
 LONG = 48
 #: Words of a set, the last of its prefix, in whose groups it is tried first if they have as many sets as TRIED_GROUP, how many sets before it there, and sets of a part of such a group, which bound the rows of one task. None affects the result.
-TRIED_WORDS, TRIED_GROUP, TRIED_BEFORE, TRIED_PART = 3, 64, 12, 4096
+TRIED_WORDS, TRIED_GROUP, TRIED_BEFORE, TRIED_PART = 3, 256, 12, 4096
 #: Passes of the last join, each over its share of words: bounds what is shuffled, and so on disk, at once.
 PASSES = 2
 #: Rows of a set or line that may be broadcast; more are joined by a shuffle.
@@ -90,9 +90,8 @@ def _sets(hashed: DataFrame, levels: Column) -> DataFrame:
     return grouped.select("sid", F.struct("f.doc_id", "f.h", "f.line").alias("first"), "copies", "f.n", "f.sig", "f.half", "f.prefix")
 
 
-def _may_match(a: str, b: str) -> Column:
+def _may_match(a: str, b: str, na: Column, nb: Column) -> Column:
     """Length filter, and that the signatures differ in no more bits than the sets may differ in words: a ninth of both sizes."""
-    na, nb = F.col(f"{a}n"), F.col(f"{b}n")
     whole = F.col(f"{a}sig").bitwiseXOR(F.col(f"{b}sig"))
     half = F.col(f"{a}half").bitwiseXOR(F.col(f"{b}half"))
     bits = F.when((na >= LONG) & (nb >= LONG), F.bit_count(half) + F.bit_count(whole.bitwiseXOR(half))).otherwise(F.bit_count(whole))
@@ -120,7 +119,7 @@ def _tried(contents: DataFrame) -> DataFrame:
     one = F.struct(F.col("sid").alias("other"), F.col("n").alias("o_n"), F.col("sig").alias("o_sig"), F.col("half").alias("o_half"))
     before = F.array(F.first(one).over(by), *(F.lag(one, i + 1).over(by) for i in range(TRIED_BEFORE)))
     met = rare.select("sid", "n", "sig", "half", before.alias("others")).select("sid", "n", "sig", "half", F.inline("others"))
-    out = stored(met.where(F.col("other").isNotNull() & (F.col("other") != F.col("sid")) & _may_match("", "o_")).select("sid", "other").distinct())
+    out = stored(met.where(F.col("other").isNotNull() & (F.col("other") != F.col("sid")) & _may_match("", "o_", F.col("n"), F.col("o_n"))).select("sid", "other").distinct())
     discard(large)
     return out
 
@@ -133,32 +132,39 @@ def _left(contents: DataFrame, matched: DataFrame, share: int) -> DataFrame:
     matched = matched.withColumn("done", F.lit(True))
     marked = contents.join(F.broadcast(matched) if matched.count() <= BROADCAST_ROWS else matched, "sid", "left")
     marked = marked.withColumn("done", F.coalesce("done", F.lit(False)))
-    fields = "sid", "doc", "n", "sig", "half"
     mine = F.pmod("word", F.lit(PASSES)) == share
-    longer = marked.select(*fields, "done", F.posexplode("prefix").alias("pos", "word")).where(mine)
-    shorter = marked.select(*fields, "done", F.posexplode(F.slice("prefix", 1, F.floor(F.col("n") / 9).cast("int") + 1)).alias("pos", "word")).where(mine)
-    shorter = shorter.select(*(F.col(c).alias(f"o_{c}") for c in shorter.columns))
-    n, m, p, q = F.col("n"), F.col("o_n"), F.col("pos"), F.col("o_pos")
+    # size and place of a word in one column: fewer and smaller rows to shuffle
+    packed = (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("place")
+
+    def at_words(rows: DataFrame, prefix: Column, doc: Column) -> DataFrame:
+        return rows.select("sid", "n", "sig", "half", doc.alias("doc"), F.posexplode(prefix).alias("pos", "word")).where(mine).select("word", "sid", packed, "sig", "half", "doc")
+
+    short, first_doc = F.slice("prefix", 1, F.floor(F.col("n") / 9).cast("int") + 1), F.lit(-(1 << 63)).cast("long")
+    undone, done = marked.where(~F.col("done")), marked.where("done")
+    of_all = at_words(marked, short, F.when(F.col("done"), F.col("doc")).otherwise(first_doc))
+    n, m, p, q = ((F.shiftright(c, 32) if high else c.bitwiseAND((1 << 32) - 1)) for high in (True, False) for c in (F.col("place"), F.col("o_place")))
     ordered = (m < n) | ((m == n) & (F.col("o_sid") < F.col("sid")))
     # what is shared before, here and behind must reach 9 * overlap >= 4 * (n + m)
     placed = 9 * (1 + F.least(p, q) + F.least(n - 1 - p, m - 1 - q)) >= 4 * (n + m)
-    may = (F.col("word") == F.col("o_word")) & ordered & _may_match("", "o_") & placed
-    undone = longer.where(~F.col("done")).drop("done")
-    first = undone.join(shorter, may & ((F.col("doc") >= F.col("o_doc")) | ~F.col("o_done")))
-    done, rows = longer.where("done").drop("done"), marked.where("done").agg(F.sum(F.size("prefix"))).first()[0] or 0
-    second = (F.broadcast(done) if rows <= BROADCAST_ROWS else done).join(shorter.where("not o_done"), may & (F.col("doc") <= F.col("o_doc")))
+    may = (F.col("word") == F.col("o_word")) & ordered & _may_match("", "o_", n, m) & placed
+    other = lambda rows: rows.select(*(F.col(c).alias(f"o_{c}") for c in rows.columns))
+    first = at_words(undone, F.col("prefix"), F.col("doc")).join(other(of_all), may & (F.col("doc") >= F.col("o_doc")))
+    rows = done.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    later = at_words(done, F.col("prefix"), F.col("doc"))
+    second = (F.broadcast(later) if rows <= BROADCAST_ROWS else later).join(other(at_words(undone, short, F.col("doc"))), may & (F.col("doc") <= F.col("o_doc")))
     return first.select("sid", F.col("o_sid").alias("other")).union(second.select("sid", "o_sid")).distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     """Of pairs (sid, other) with a similarity of 0.8 or more, the later sets."""
     wanted = pairs.select("sid").union(pairs.select("other")).distinct()
-    places = sets.select("sid", "first").join(_small(wanted), "sid").select("sid", F.col("first.doc_id").alias("d"), F.col("first.h").alias("dh"), F.col("first.line").alias("line"))
+    places = sets.select("sid", "first").join(_small(wanted), "sid")
     # the lines wanted of one document, which is split once for all of them
-    asked = stored(places.groupBy("d", "dh").agg(F.collect_list(F.struct("sid", "line")).alias("asked")))
+    asked = stored(places.groupBy(F.col("first.doc_id").alias("d"), F.col("first.h").alias("dh")).agg(F.collect_list(F.struct("sid", "first")).alias("asked")))
     at = docs.join(_small(asked), F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("dh"))).select(_lines(F.col("text")).alias("lines"), "asked")
-    at = at.select("lines", F.explode("asked").alias("a")).select("a.sid", F.array_distinct(_words(F.get("lines", F.col("a.line")))).alias("words"))
-    at = stored(at.groupBy("sid").agg(F.first("words").alias("words")).join(sets.select("sid", "first"), "sid"))
+    at = at.select("lines", F.explode("asked").alias("a")).select("a.sid", F.array_distinct(_words(F.get("lines", F.col("a.first.line")))).alias("words"), "a.first")
+    # documents may be repeated
+    at = stored(at.groupBy("sid").agg(F.first("words").alias("words"), F.first("first").alias("first")))
     mine, theirs = at.toDF("sid", "mine", "first"), at.toDF("other", "theirs", "o_first")
     both = pairs.join(mine, "sid").join(theirs, "other")
     shared = F.size(F.array_intersect("mine", "theirs"))
@@ -183,9 +189,9 @@ def _gone(lines: DataFrame, judged: DataFrame) -> DataFrame:
 def later_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, h, removed): of documents that lose lines, the hash of the text and the line numbers, from 0, in order."""
     docs = docs.select("doc_id", "text")
-    hashed = stored(_hashed(docs))
+    hashed = stored(_hashed(docs), random=True)
     lines = stored(hashed.select("doc_id", "h", "line", "sid"))
-    sets = stored(_sets(hashed, _levels(hashed)))
+    sets = stored(_sets(hashed, _levels(hashed)), random=True)
     discard(hashed)
     contents = _contents(sets)
     tried = _tried(contents)
