@@ -12,7 +12,7 @@ from witnesslake.operators import evaluation, incidents, log, rules, spatial, st
 from witnesslake.streaming import stateful
 
 ATTRS = "object_id string, attr_key string, attr_value string, observed_at_ns long, valid_until_ns long"
-RULE = rules.Rule("r", "high", ("person",), (rules.Condition("g", "eq", "on", guard=True), rules.Condition("a", "eq", "worn", ("hidden",)), rules.Condition("b", "gte", 2)))
+RULE = rules.Rule("r", "high", ("person",), (rules.Condition("g", "eq", "on", guard=True), rules.Condition("a", "eq", "worn", ("hidden",)), rules.Condition("b", "in", ("2", "3"))))
 
 
 def _state(spark, held):
@@ -31,7 +31,7 @@ def _state(spark, held):
         ([("g", "on", None), ("a", "none", None)], "VIOLATION"),
         ([("g", "on", None), ("a", "hidden", None), ("b", "3", None)], "UNKNOWN"),
         ([("g", "on", None), ("a", "worn", 9), ("b", "3", None)], "UNKNOWN"),
-        ([("g", "on", None), ("a", "worn", 10), ("b", "three", None)], "UNKNOWN"),
+        ([("g", "on", None), ("a", "worn", 10), ("b", "three", None)], "VIOLATION"),
         ([("g", "on", None), ("a", None, None), ("b", "2", None)], "UNKNOWN"),
     ],
 )

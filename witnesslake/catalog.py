@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from witnesslake.functions import geometry, text
-from witnesslake.operators import attention, evaluation, incidents, log, rules, spatial, state
+from witnesslake.operators import attention, evaluation, exposure, incidents, log, rules, spatial, state
 from witnesslake.sources import jsonlog, views
 from witnesslake.sources.views import table
 from witnesslake.streaming import stateful
@@ -305,7 +305,7 @@ def truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select event_id as t, case when value <= 0 then 'no_area' when value < 48 then 'too_small' when (k % 11) / 10.0 > 0.5 then 'truncated' when (k % 7) / 6.0 > 0.7 then 'occluded' when (k % 13) / 12.0 > 0.85 then 'blurred' else 'pass' end as reason from obs")
 def quality_gate_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
     graded = _obs(spark, sf_dir).select(F.col("event_id").alias("t"), "value", *((F.col("k") % (n + 1) / n).alias(c) for c, n in (("tr", 10), ("oc", 6), ("bl", 12))))
-    return graded.select("t", evaluation.quality_reason("value", "tr", "oc", "bl").alias("reason"))
+    return graded.select("t", evaluation.quality_reason(F.col("value"), F.col("tr"), F.col("oc"), F.lit(None).cast("double"), F.col("bl"), F.lit(None).cast("string"), F.lit(None).cast("string")).alias("reason"))
 
 
 _PAIRS = "select 'quality' as attribute, case quality when 1 then 'PRESENT' else 'ABSENT' end as truth, case when doc_id % 13 = 0 then null when n_chars > 900 then 'PRESENT' when doc_id % 7 = 0 then 'UNKNOWN' else 'ABSENT' end as predicted, source from labels join documents using (doc_id)"
@@ -345,10 +345,8 @@ _P = "list_sort(list(value))"
 
 @query(f"select event_type, count(*) as n, min(value) as least, {_P}[least(count(*), cast(floor(0.5 * count(*)) as bigint) + 1)] as p50, {_P}[least(count(*), cast(floor(0.95 * count(*)) as bigint) + 1)] as p95, max(value) as most from events group by 1")
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact index rule: ranks by a window, so no group is gathered into one row."""
-    ranked = table(spark, sf_dir, "events").select("event_type", "value", F.expr("row_number() over (partition by event_type order by value)").alias("r"), F.expr("count(*) over (partition by event_type)").alias("n"))
-    at = lambda f: F.max(F.when(F.col("r") == F.least(F.col("n"), F.floor(F.lit(f) * F.col("n")) + 1), F.col("value")))
-    return ranked.groupBy("event_type").agg(F.max("n").alias("n"), F.min("value").alias("least"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.max("value").alias("most"))
+    """Exact index rule; only the values of the ranges that hold the ranks are sorted."""
+    return exposure.summary(table(spark, sf_dir, "events"), "event_type", "value")
 
 
 @query("select 't' || (c_nationkey % 2) as organization_id, count(*) as n from customer group by 1")
@@ -578,3 +576,6 @@ def dataset_quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select l_returnflag as class_id, count(*) as n, round(median(l_quantity), 6) as med, min(l_discount) as least, round(median(l_quantity * l_discount), 6) as med_area from lineitem group by 1")
 def geometry_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("class_id")).agg(F.count("*").alias("n"), F.round(F.median("l_quantity"), 6).alias("med"), F.min("l_discount").alias("least"), F.round(F.median(F.col("l_quantity") * F.col("l_discount")), 6).alias("med_area"))
+
+
+from witnesslake import queries  # noqa: E402, F401 (they add themselves to QUERIES and ORACLES)

@@ -33,14 +33,12 @@ class Rule:
 
 
 def compare(operator: str, held: Column, value: object) -> Column:
-    """True, false or, where the two have no order, null."""
-    if operator in ("in", "not_in"):
-        inside = held.isin(list(value))
-        return inside if operator == "in" else ~inside
-    if operator in ("eq", "ne"):
-        return held == value if operator == "eq" else held != value
-    number = F.try_to_number(held, F.lit("999999.999")) if isinstance(value, str) else held.try_cast("double")
-    return {"gt": number > value, "gte": number >= value, "lt": number < value, "lte": number <= value}[operator]
+    """True, false or, where the two have no order, null. `held` is a text column, so no number equals it or has an order with it; values of all kinds are compared in functions/values.py."""
+    if operator in ("gt", "gte", "lt", "lte"):
+        return F.lit(None).cast("boolean")
+    wanted = [v for v in (value if operator in ("in", "not_in") else (value,)) if isinstance(v, str)]
+    found = held.isin(wanted) if wanted else F.when(held.isNotNull(), F.lit(False))
+    return found if operator in ("eq", "in") else ~found
 
 
 def rule_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
