@@ -129,9 +129,8 @@ def _left(contents: DataFrame, matched: DataFrame, share: int) -> DataFrame:
 
     Longer sets without a match meet all shorter ones, matched ones only those without a match: no two matched sets meet.
     """
-    matched = matched.withColumn("done", F.lit(True))
-    marked = contents.join(F.broadcast(matched) if matched.count() <= BROADCAST_ROWS else matched, "sid", "left")
-    marked = marked.withColumn("done", F.coalesce("done", F.lit(False)))
+    matched = _small(matched)
+    undone, done = contents.join(matched, "sid", "left_anti"), contents.join(matched, "sid", "left_semi")
     mine = F.pmod("word", F.lit(PASSES)) == share
     # size and place of a word in one column: fewer and smaller rows to shuffle
     packed = (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("place")
@@ -140,8 +139,7 @@ def _left(contents: DataFrame, matched: DataFrame, share: int) -> DataFrame:
         return rows.select("sid", "n", "sig", "half", doc.alias("doc"), F.posexplode(prefix).alias("pos", "word")).where(mine).select("word", "sid", packed, "sig", "half", "doc")
 
     short, first_doc = F.slice("prefix", 1, F.floor(F.col("n") / 9).cast("int") + 1), F.lit(-(1 << 63)).cast("long")
-    undone, done = marked.where(~F.col("done")), marked.where("done")
-    of_all = at_words(marked, short, F.when(F.col("done"), F.col("doc")).otherwise(first_doc))
+    of_all = at_words(undone, short, first_doc).union(at_words(done, short, F.col("doc")))
     n, m, p, q = ((F.shiftright(c, 32) if high else c.bitwiseAND((1 << 32) - 1)) for high in (True, False) for c in (F.col("place"), F.col("o_place")))
     ordered = (m < n) | ((m == n) & (F.col("o_sid") < F.col("sid")))
     # what is shared before, here and behind must reach 9 * overlap >= 4 * (n + m)
@@ -199,9 +197,9 @@ def later_lines(docs: DataFrame) -> DataFrame:
     left = [stored(_left(contents, early, share)) for share in range(PASSES)]
     late = _verified(reduce(DataFrame.union, left), sets, docs)
     discard(tried, *left)
-    near = early.union(late).distinct().withColumn("near", F.lit(True))
-    judged = sets.select("sid", "first", "copies").join(near, "sid", "left").withColumn("near", F.coalesce("near", F.lit(False)))
-    judged = stored(judged.where(F.col("near") | (F.col("copies") > 1)))
+    near, told = _small(early.union(late).distinct()), sets.select("sid", "first", "copies")
+    repeated = told.where("copies > 1").join(near, "sid", "left_anti").withColumn("near", F.lit(False))
+    judged = stored(told.join(near, "sid", "left_semi").withColumn("near", F.lit(True)).unionByName(repeated))
     out = stored(_gone(lines, judged).groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("line")).alias("removed")))
     discard(lines, sets, early, late, judged)
     return out
