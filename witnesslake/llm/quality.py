@@ -107,11 +107,15 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> np.nda
     """Weights learnt from `labels` (doc_id, quality) of documents that aren't held out.
 
     Null labels and labels without a document teach nothing; a label repeated
-    counts as often as it stands there. Without any label all weights are zero.
+    counts as often as it stands there. Of a doc_id with several texts that of
+    the smallest hash teaches. Without any label all weights are zero.
     """
     chosen = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where(F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(rows)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # `rows` rows at most
+    # one text of each doc_id, so that documents repeated do not swell what is learnt from: `rows` rows at most
+    asked = F.broadcast(chosen.select("doc_id").distinct())
+    texts = docs.select("doc_id", "text").join(asked, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    texts = texts.join(F.broadcast(chosen), "doc_id")
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
