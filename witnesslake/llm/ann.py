@@ -70,9 +70,15 @@ def _stack(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64) if len(column) else np.zeros((0, 0))
 
 
+def _stored_as(embeddings: DataFrame) -> str:
+    """Single precision is kept where it is given, which halves what is shuffled; scores are always in double."""
+    given = embeddings.schema["embedding"].dataType.simpleString()
+    return given if given == "array<float>" else "array<double>"
+
+
 def vectors(embeddings: DataFrame) -> DataFrame:
     """(vec_id, x) of rows that take part: no null, zero or non-finite vector or component, no null id, and the commonest dimension."""
-    x = F.col("embedding").cast("array<double>")
+    x = F.col("embedding").cast(_stored_as(embeddings))
     odd = lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
     good = embeddings.select("vec_id", x.alias("x")).where(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & ~F.coalesce(F.exists("x", odd), F.lit(True)) & F.exists("x", lambda v: v != 0))
     common = good.groupBy(F.size("x").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("dim")).first()
@@ -96,13 +102,14 @@ def search(embeddings: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     Nearness is the inner product in double precision; ties go to the smaller
     vec_id; a query isn't its own neighbour. Equal vectors are searched once and
     give their smallest ids. Rows that take no part (see vectors) neither ask nor
-    answer; with fewer candidates than k all are returned. A vec_id repeated with
-    the same vector counts once. An empty table gives an empty result.
+    answer; with fewer candidates than k all are returned. A vec_id repeated
+    counts once, with that of its vectors whose hash is smallest. An empty table
+    gives an empty result.
     """
     spark = embeddings.sparkSession
     small_batches(spark)
     good = vectors(embeddings)
-    ids = cut(good.select("vec_id", F.xxhash64("x").alias("uid"), "x").distinct())
+    ids = cut(good.groupBy("vec_id").agg(F.min_by("x", F.xxhash64("x")).alias("x")).select("vec_id", F.xxhash64("x").alias("uid"), "x"))
     # of equal vectors no more than k + 1 ids can be among the nearest
     ranked = ids.selectExpr("*", "row_number() over (partition by uid order by vec_id) as nth").where(f"nth <= {k + 1}")
     unique = cut(ranked.groupBy("uid").agg(F.first("x").alias("x"), F.array_sort(F.collect_list("vec_id")).alias("ids")))
@@ -111,7 +118,7 @@ def search(embeddings: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     result = "query_id long, rank int, vec_id long, score double"
     if not total or asked.isEmpty():
         return spark.createDataFrame([], result)
-    placed = cut(_placed(unique, asked))
+    placed = _placed(unique, asked)
     window = _window(unique, placed, k)
     found = _compare(placed, window, total, k)
     best = found.groupBy("q", "uid", "least").agg(F.max("score").alias("score")).selectExpr("*", "row_number() over (partition by q order by score desc, least) as nth").where(f"nth <= {k + 1}")
@@ -141,7 +148,8 @@ def _placed(unique: DataFrame, asked: DataFrame) -> DataFrame:
 
     asks = asked.select(F.col("q").alias("uid")).distinct().withColumn("asks", F.lit(True))
     rows = unique.select("uid", "x", F.element_at("ids", 1).alias("least")).join(asks, "uid", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
-    keyed = rows.mapInPandas(curves, "uid long, x array<double>, least long, asks boolean, curve int, place long")
+    kind = rows.schema["x"].dataType.simpleString()
+    keyed = rows.mapInPandas(curves, f"uid long, x {kind}, least long, asks boolean, curve int, place long")
     n = int(unique.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = keyed.repartitionByRange(n, "curve", "place", "uid").sortWithinPartitions("curve", "place", "uid")
 
@@ -151,7 +159,7 @@ def _placed(unique: DataFrame, asked: DataFrame) -> DataFrame:
             yield batch.drop(columns="place").assign(part=part, nth=np.arange(before, before + len(batch)))
             before += len(batch)
 
-    numbered = cut(ordered.mapInPandas(number, "uid long, x array<double>, least long, asks boolean, curve int, part int, nth long"))
+    numbered = cut(ordered.mapInPandas(number, f"uid long, x {kind}, least long, asks boolean, curve int, part int, nth long"))
     sizes = numbered.groupBy("part", "curve").agg(F.count("*").alias("n"), F.min("nth").alias("first")).orderBy("curve", "part").collect()  # partitions and curves
     at, offsets = {}, []
     for r in sizes:

@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,8 +22,8 @@ from witnesslake.llm.common import LOWER, cut, free_name, small_batches
 
 WINDOW = 13
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-#: UTF-8 bytes of item words that are broadcast at a time; a larger benchmark is joined in that many blocks.
-BLOCK_BYTES = 1 << 20
+#: UTF-8 bytes of item words that are broadcast at a time, whose index takes some 40 times as much in a worker; a larger benchmark is joined in that many blocks.
+BLOCK_BYTES = 1 << 22
 #: Words of an item that stay together in a block; neighbouring parts overlap by a window less a word.
 PART_WORDS = 2000
 SHARE = 20
@@ -150,14 +151,14 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK
         out = docs.withColumn(found, _finder(docs, rows)(F.col("text")))
         return out.select(*docs.columns, f"{found}.n_words", _covered(f"{found}.starts", f"{found}.ends").alias("n_hit"), f"{found}.items")
     key, of, hits = F.xxhash64("text", F.sha2(F.coalesce("text", F.lit("")), 256)), *free_name(docs, "of", "hits")
-    table = None
+    tables = []
     for b in range(blocks):
         mine = parts.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(blocks)) == b)
         if not (rows := [(r.item_id, r.words.split(" ")) for r in mine.collect()]):
             continue
         got = docs.select(key.alias(of), _finder(docs, rows)(F.col("text")).alias(hits)).where(F.size(f"{hits}.starts") > 0).dropDuplicates([of])
-        table = cut(got if table is None else table.union(got))
-    table = table.groupBy(of).agg(*(F.flatten(F.collect_list(f"{hits}.{c}")).alias(c) for c in ("starts", "ends", "items")))  # a list a block
+        tables.append(cut(got))
+    table = reduce(DataFrame.union, tables).groupBy(of).agg(*(F.flatten(F.collect_list(f"{hits}.{c}")).alias(c) for c in ("starts", "ends", "items")))  # a list a block
     empty = lambda c: F.coalesce(c, F.array().cast("array<long>"))
     n_words = _finder(docs.limit(0), [])(F.col("text"))
     out = docs.withColumn(found, n_words).withColumn(hits, key).join(table, F.col(hits) == F.col(of), "left")

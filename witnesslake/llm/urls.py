@@ -22,6 +22,8 @@ from witnesslake.llm.common import lower_ascii, small_batches
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 OTHERWISE = "allow"
 SLASH = ord("/")
+#: Characters after which subjects that are settled are left out.
+SWEEP = 16
 
 
 @dataclass
@@ -66,6 +68,13 @@ def compile_globs(globs: list[str]) -> Automaton:
     return Automaton(enter, stay, start, [(e // 64, np.uint64(1 << e % 64)) for e in ends])
 
 
+def _before(states: np.ndarray) -> np.ndarray:
+    """The states from which those given are entered."""
+    out = states >> np.uint64(1)
+    out[:-1] |= states[1:] << np.uint64(63)
+    return out
+
+
 def match(automaton: Automaton, subjects: list[str]) -> np.ndarray:
     """A row a subject, a column a glob: whether the glob matches the whole subject."""
     data = [s.encode() for s in subjects]
@@ -74,12 +83,19 @@ def match(automaton: Automaton, subjects: list[str]) -> np.ndarray:
     flat = np.frombuffer(b"".join(data[i] for i in order), np.uint8)
     begin = np.concatenate(([0], np.cumsum(lengths)))[:-1]
     state = np.repeat(automaton.start[None], len(data), 0)
+    settled = np.bitwise_and.reduce(automaton.stay)  # states that every character keeps
+    final = settled & ~_before(np.bitwise_or.reduce(automaton.enter))
+    live = np.arange(len(data))
     for t in range(int(lengths[0]) if len(lengths) else 0):
-        n = int(np.searchsorted(-lengths, -t, "left"))  # those longer than t come first
-        c, now = flat[begin[:n] + t], state[:n]
+        live = live[lengths[live] > t]
+        if t % SWEEP == 0:  # subjects of which nothing but final states is left do not change any more
+            live = live[(state[live] & ~final).any(axis=1)]
+        if not len(live):
+            break
+        c, now = flat[begin[live] + t], state[live]
         moved = now << np.uint64(1)
         moved[:, 1:] |= now[:, :-1] >> np.uint64(63)
-        state[:n] = (moved & automaton.enter[c]) | (now & automaton.stay[c])
+        state[live] = (moved & automaton.enter[c]) | (now & automaton.stay[c])
     out = np.zeros((len(data), len(automaton.accept)), bool)
     for k, (word, bit) in enumerate(automaton.accept):
         out[order, k] = (state[:, word] & bit) != 0
