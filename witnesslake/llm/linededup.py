@@ -98,8 +98,8 @@ def _may_match(a: str, b: str, na: Column, nb: Column) -> Column:
     return (5 * na >= 4 * nb) & (5 * nb >= 4 * na) & (9 * bits <= na + nb)
 
 
-def _contents(sets: DataFrame) -> DataFrame:
-    return sets.where(F.col("n") >= LEAST).select("sid", F.coalesce("first.doc_id", F.lit(-(1 << 63))).alias("doc"), "n", "sig", "half", "prefix")
+def _contents(sets: DataFrame, *more: str) -> DataFrame:
+    return sets.where(F.col("n") >= LEAST).select("sid", F.coalesce("first.doc_id", F.lit(-(1 << 63))).alias("doc"), "n", "sig", "half", "prefix", *more)
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -124,13 +124,12 @@ def _tried(contents: DataFrame) -> DataFrame:
     return out
 
 
-def _left(contents: DataFrame, matched: DataFrame, share: int) -> DataFrame:
-    """Pairs (sid, other) that meet at a word of one share of PASSES, pass the filters and whose later set is not among those matched.
+def _left(contents: DataFrame, share: int) -> DataFrame:
+    """Pairs (sid, other) that meet at a word of one share of PASSES, pass the filters and whose later set is not `done`, that is matched.
 
     Longer sets without a match meet all shorter ones, matched ones only those without a match: no two matched sets meet.
     """
-    matched = _small(matched)
-    undone, done = contents.join(matched, "sid", "left_anti"), contents.join(matched, "sid", "left_semi")
+    undone, done = contents.where("not done"), contents.where("done")
     mine = F.pmod("word", F.lit(PASSES)) == share
     # size and place of a word in one column: fewer and smaller rows to shuffle
     packed = (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("place")
@@ -139,7 +138,7 @@ def _left(contents: DataFrame, matched: DataFrame, share: int) -> DataFrame:
         return rows.select("sid", "n", "sig", "half", doc.alias("doc"), F.posexplode(prefix).alias("pos", "word")).where(mine).select("word", "sid", packed, "sig", "half", "doc")
 
     short, first_doc = F.slice("prefix", 1, F.floor(F.col("n") / 9).cast("int") + 1), F.lit(-(1 << 63)).cast("long")
-    of_all = at_words(undone, short, first_doc).union(at_words(done, short, F.col("doc")))
+    of_all = at_words(contents, short, F.when(F.col("done"), F.col("doc")).otherwise(first_doc))
     n, m, p, q = ((F.shiftright(c, 32) if high else c.bitwiseAND((1 << 32) - 1)) for high in (True, False) for c in (F.col("place"), F.col("o_place")))
     ordered = (m < n) | ((m == n) & (F.col("o_sid") < F.col("sid")))
     # what is shared before, here and behind must reach 9 * overlap >= 4 * (n + m)
@@ -191,17 +190,19 @@ def later_lines(docs: DataFrame) -> DataFrame:
     lines = stored(hashed.select("doc_id", "h", "line", "sid"))
     sets = stored(_sets(hashed, _levels(hashed)), random=True)
     discard(hashed)
-    contents = _contents(sets)
-    tried = _tried(contents)
+    tried = _tried(_contents(sets))
     early = _verified(tried, sets, docs)
-    left = [stored(_left(contents, early, share)) for share in range(PASSES)]
-    late = _verified(reduce(DataFrame.union, left), sets, docs)
-    discard(tried, *left)
-    near, told = _small(early.union(late).distinct()), sets.select("sid", "first", "copies")
-    repeated = told.where("copies > 1").join(near, "sid", "left_anti").withColumn("near", F.lit(False))
-    judged = stored(told.join(near, "sid", "left_semi").withColumn("near", F.lit(True)).unionByName(repeated))
+    told = stored(sets.join(_small(early.withColumn("done", F.lit(True))), "sid", "left").withColumn("done", F.coalesce("done", F.lit(False))), random=True)
+    discard(sets, tried)
+    left = [stored(_left(_contents(told, "done"), share)) for share in range(PASSES)]
+    late = _verified(reduce(DataFrame.union, left), told, docs)
+    discard(*left)
+    near = _small(early.union(late).distinct())
+    said = "sid", "first", "copies"
+    repeated = told.where("copies > 1").select(*said).join(near, "sid", "left_anti").withColumn("near", F.lit(False))
+    judged = stored(told.select(*said).join(near, "sid", "left_semi").withColumn("near", F.lit(True)).unionByName(repeated))
     out = stored(_gone(lines, judged).groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("line")).alias("removed")))
-    discard(lines, sets, early, late, judged)
+    discard(lines, told, early, late, judged)
     return out
 
 
