@@ -49,6 +49,11 @@ def query(sql: str | None = None):  # noqa: ANN201
 
 
 def _obs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.observations(spark, sf_dir, placed=False)
+
+
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The observations with their positions."""
     return views.observations(spark, sf_dir)
 
 
@@ -111,7 +116,7 @@ def rule_unproducible(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select * from objs")
 def state_current(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.objects(_obs(spark, sf_dir)).drop("box")
+    return state.objects(_log(spark, sf_dir)).drop("box")
 
 
 @query("select * from held")
@@ -126,7 +131,7 @@ def trajectory_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select object_id, attr_key, back - 1 as depth, attr_value, t_ns from (select *, row_number() over (partition by object_id, attr_key order by t_ns desc) as back from (select distinct on (object_id, attr_key, t_ns) * from attrs order by object_id, attr_key, t_ns, log_position desc)) where back between 2 and 9")
 def attribute_history_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.attribute_ring(_attrs(spark, sf_dir))
+    return state.attribute_ring(views.attributes(_log(spark, sf_dir)))
 
 
 @query("select object_id, depth, before, attr_value, t_ns from (select *, row_number() over (partition by object_id order by t_ns desc, event_id desc) as depth from (select *, lag(attr_value) over (partition by object_id order by t_ns, event_id) as before from attrs) where before is null or before <> attr_value) where depth <= 16")
@@ -155,7 +160,7 @@ def history_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select observation_id, camera_id, log_position from obs where camera_id = 'cam-3' and log_position >= 10 and log_position < 200")
 def log_range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return log.range_scan(_obs(spark, sf_dir), "cam-3", 10, 200).select("observation_id", "camera_id", "log_position")
+    return log.range_scan(_log(spark, sf_dir), "cam-3", 10, 200).select("observation_id", "camera_id", "log_position")
 
 
 @query("select observation_id, t_ns from obs order by t_ns, observation_id limit 100")
@@ -178,14 +183,14 @@ def history_of_object(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select camera_id, observation_id, coalesce(last, 0) + row_number() over (partition by camera_id order by t_ns, observation_id) as log_position from obs left join (select camera_id, max(log_position) as last from obs where event_id % 3 > 0 group by 1) using (camera_id) where event_id % 3 = 0")
 def idempotent_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A batch that repeats some of the log, and itself."""
-    obs = _obs(spark, sf_dir)
+    obs = _log(spark, sf_dir)
     batch = obs.where("event_id % 3 = 0 or event_id % 5 = 0")
     return log.append_idempotent(obs.where("event_id % 3 > 0"), batch.unionByName(batch)).select("camera_id", "observation_id", "log_position")
 
 
 @query(f"select observation_id from obs where t_ns >= {START + 5 * views.DAY_NS}")
 def log_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return log.truncate_prefix(_obs(spark, sf_dir), START + 5 * views.DAY_NS).select("observation_id")
+    return log.truncate_prefix(_log(spark, sf_dir), START + 5 * views.DAY_NS).select("observation_id")
 
 
 @query("select camera_id, count(*) as n from obs where event_id not in (select event_id - 7 from obs where event_id % 50 = 7) group by 1")
@@ -197,7 +202,7 @@ def superseded_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""select camera_id, sha256(string_agg(d, chr(10) order by run)) as digest, count(*) as n_runs from (select camera_id, (log_position - 1) // 256 as run, sha256(string_agg(concat_ws('|', observation_id, kind, cast(t_ns as varchar), object_id, class_id), chr(10) order by log_position)) as d from obs group by 1, 2) group by 1""")
 def log_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return log.digest_by_camera(_obs(spark, sf_dir))
+    return log.digest_by_camera(_log(spark, sf_dir))
 
 
 _GAPS = f"""
@@ -293,7 +298,7 @@ _PAIR = "select a.observation_id as a_id, b.observation_id as b_id, a.x1 as ax1,
 def box_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each box with its camera's next."""
     order = "over (partition by camera_id order by log_position)"
-    pairs = _obs(spark, sf_dir).select("observation_id", *(F.col(c).alias(f"a{c}") for c in ("x1", "y1", "x2", "y2")), F.expr(f"lead(observation_id) {order}").alias("b_id"), *(F.expr(f"lead({c}) {order}").alias(f"b{c}") for c in ("x1", "y1", "x2", "y2"))).where("b_id is not null")
+    pairs = _log(spark, sf_dir).select("observation_id", *(F.col(c).alias(f"a{c}") for c in ("x1", "y1", "x2", "y2")), F.expr(f"lead(observation_id) {order}").alias("b_id"), *(F.expr(f"lead({c}) {order}").alias(f"b{c}") for c in ("x1", "y1", "x2", "y2"))).where("b_id is not null")
     return pairs.select(F.col("observation_id").alias("a_id"), "b_id", F.round(geometry.iou("a", "b"), 6).alias("iou"), F.round(geometry.centre_distance("a", "b"), 6).alias("distance"), F.round(geometry.scale_penalty("a", "b"), 6).alias("penalty"))
 
 
@@ -401,16 +406,14 @@ def ulid_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timed.select("event_id", text.ulid_ms(text.ulid_of(F.expr("ns div 1000000"), F.col("event_id"))).alias("ms"))
 
 
-@query("select count(*) as n from obs where false")
+@query(""", lost as (select object_id || '/' || attr_key as id, arg_max(attr_value, (t_ns, event_id)) as a, max(t_ns) as b, arg_max(valid_until_ns, (t_ns, event_id)) as c from attrs where event_id % 17 > 0 group by 1),
+    j as (select coalesce(x.id, y.id) as id, x.id is null or y.id is null as one_side, x.a as xa, y.a as ya, x.b as xb, y.b as yb, x.c as xc, y.c as yc from (select object_id || '/' || attr_key as id, attr_value as a, observed_at_ns as b, valid_until_ns as c from held) x full join lost y on x.id = y.id)
+    select id, 'presence' as field from j where one_side union all select id, 'attr_value' from j where xa is distinct from ya union all select id, 'observed_at_ns' from j where xb is distinct from yb union all select id, 'valid_until_ns' from j where xc is distinct from yc""")
 def live_vs_replay_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """State folded at once against state folded from two halves: no field differs."""
-    attrs = _attrs(spark, sf_dir)
-    cols = ["object_id", "attr_key", "attr_value", "t_ns", "valid_until_ns", "event_id"]
-    halves = [state.current_attributes(attrs.where(c)).select("object_id", "attr_key", "attr_value", F.col("observed_at_ns").alias("t_ns"), "valid_until_ns", F.lit(i).cast("long").alias("event_id")) for i, c in enumerate(("log_position <= 300", "log_position > 300"))]
-    replayed = state.current_attributes(halves[0].select(cols).union(halves[1].select(cols)))
-    key = F.concat_ws("/", "object_id", "attr_key")
-    found = state.differences(state.current_attributes(attrs).withColumn("id", key), replayed.withColumn("id", key), "id", ["attr_value", "observed_at_ns", "valid_until_ns"])
-    return found.agg(F.count("*").alias("n"))
+    """State folded from the whole log against state replayed from one that lost rows: where they differ."""
+    attrs, key = _attrs(spark, sf_dir), F.concat_ws("/", "object_id", "attr_key")
+    live, replayed = (state.current_attributes(a).withColumn("id", key) for a in (attrs, attrs.where("event_id % 17 > 0")))
+    return state.differences(live, replayed, "id", ["attr_value", "observed_at_ns", "valid_until_ns"])
 
 
 def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -449,17 +452,24 @@ def circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def overlap_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _obs(spark, sf_dir).select(F.concat_ws("/", "camera_id", F.floor(F.col("log_position") / 25)).alias("frame"), F.col("event_id").alias("det_index"), "class_id", F.col("value").alias("score"), "x1", "y1", "x2", "y2")
+    found = _log(spark, sf_dir).select(F.concat_ws("/", "camera_id", F.floor(F.col("log_position") / 25)).alias("frame"), F.col("event_id").alias("det_index"), "class_id", F.col("value").alias("score"), "x1", "y1", "x2", "y2")
     return spatial.suppress_overlaps(found)
 
 
 @query()
 def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    boxes = _obs(spark, sf_dir).select(F.concat_ws("/", "camera_id", F.floor(F.col("log_position") / 40)).alias("frame"), F.col("observation_id").alias("subject"), "x1", "y1", "x2", "y2", "kind")
+    boxes = _log(spark, sf_dir).select(F.concat_ws("/", "camera_id", F.floor(F.col("log_position") / 40)).alias("frame"), F.col("observation_id").alias("subject"), "x1", "y1", "x2", "y2", "kind")
     return spatial.greedy_match(boxes.where("kind = 'spatial'").drop("kind"), boxes.where("kind = 'presence'").drop("kind"))
 
 
-@query()
+_APART = "sqrt(pow(l.x - s.x, 2) + pow(l.y - s.y, 2))"
+
+
+@query(f""", cut as (select object_id, camera_id, class_id, t_ns, (x1 + x2) / 2 as x, y2 as y, t_ns - lag(t_ns) over w as since, lead(t_ns) over w - t_ns as until from obs window w as (partition by object_id order by t_ns, event_id)),
+    p as (select s.object_id, l.object_id as lost_id, s.t_ns as first_ns, {_APART} as d, (1 - {_APART} / 0.25::double) * (1 - (s.t_ns - l.t_ns)::double / {views.DAY_NS // 4}) as score
+        from cut l join cut s on l.camera_id = s.camera_id and l.class_id = s.class_id and l.object_id <> s.object_id and s.t_ns > l.t_ns and s.t_ns - l.t_ns <= {views.DAY_NS // 4} where coalesce(l.until > {views.DAY_NS}, true) and coalesce(s.since > {views.DAY_NS}, true)),
+    r as (select *, row_number() over o as rank, score - lead(score) over o as margin from p where d <= 0.25 and score >= 0.3 window o as (partition by object_id, first_ns order by score desc, lost_id))
+    select object_id, first_ns, case when not coalesce(margin < 0.15, false) then lost_id end as matched, coalesce(margin < 0.15, false) as ambiguous, round(score, 6) as score, round(margin, 6) as margin from r where rank = 1""")
 def reentry_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visits of an object are cut where it is unseen for a day; an ended visit may go on as another object's."""
     obs = _obs(spark, sf_dir)
@@ -532,7 +542,7 @@ def motion_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select observation_id, kind, object_id, class_id, t_ns, round(value, 9) as value from obs")
 def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each observation encoded as a JSON line and decoded again."""
-    got = jsonlog.decode(jsonlog.encode(_obs(spark, sf_dir)).select("line")).where("not bad")
+    got = jsonlog.decode(jsonlog.encode(_log(spark, sf_dir)).select("line")).where("not bad")
     return got.select("observation_id", "kind", "object_id", "class_id", "t_ns", F.round("value", 9).alias("value"))
 
 
@@ -549,14 +559,14 @@ def tallies_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select camera_id, observation_id, round(avg(case when kind = 'coverage' then 1 else 0 end) over (partition by camera_id order by log_position rows between 99 preceding and current row), 9) as rate from obs")
 def trailing_rejection_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rate = F.expr("avg(case when kind = 'coverage' then 1 else 0 end) over (partition by camera_id order by log_position rows between 99 preceding and current row)")
-    return _obs(spark, sf_dir).select("camera_id", "observation_id", F.round(rate, 9).alias("rate"))
+    return _log(spark, sf_dir).select("camera_id", "observation_id", F.round(rate, 9).alias("rate"))
 
 
 @query("select camera_id, t_ns, streak from (select *, row_number() over (partition by camera_id, island order by log_position) as streak from (select *, sum(case when before is null or before <> k % 2 then 1 else 0 end) over (partition by camera_id order by log_position) as island from (select *, lag(k % 2) over (partition by camera_id order by log_position) as before from obs))) where streak = 4")
 def frozen_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suspicion exactly when a camera's digest has been the same four times."""
     order = "over (partition by camera_id order by log_position)"
-    marked = _obs(spark, sf_dir).select("camera_id", "t_ns", "log_position", (F.col("k") % 2).alias("digest")).withColumn("before", F.expr(f"lag(digest) {order}"))
+    marked = _log(spark, sf_dir).select("camera_id", "t_ns", "log_position", (F.col("k") % 2).alias("digest")).withColumn("before", F.expr(f"lag(digest) {order}"))
     islands = marked.withColumn("island", F.expr(f"sum(case when before is null or before <> digest then 1 else 0 end) {order}"))
     return islands.withColumn("streak", F.expr("row_number() over (partition by camera_id, island order by log_position)").cast("long")).where("streak = 4").select("camera_id", "t_ns", "streak")
 

@@ -1,4 +1,4 @@
-"""What to look at: demands, triggers, verification floors, priority, grouping."""
+"""What to look at: demands, triggers, priority, grouping; how objects move."""
 
 from __future__ import annotations
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from witnesslake.functions import geometry
+from witnesslake.functions import boxes, geometry
+from witnesslake.operators import ordered
 
 TOLERANCE_NS = 30 * 10**9
 
@@ -29,8 +31,9 @@ def occupancy(inside: DataFrame, regions: DataFrame, now_ns: int) -> DataFrame:
 
 def region_visits(obs: DataFrame, regions: DataFrame, region_id: str) -> DataFrame:
     """An object's stays in a region: runs of observations inside, with entry, exit (the next outside) and dwell."""
-    mine = in_regions(obs, regions.where(F.col("region_id") == region_id)).select("observation_id", F.lit(True).alias("inside"))
-    marked = obs.select("observation_id", "object_id", "t_ns").join(mine, "observation_id", "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
+    one = F.broadcast(regions.where(F.col("region_id") == region_id).select("region_id", "vertices").limit(1))  # a row
+    within = geometry.in_polygon((F.col("x1") + F.col("x2")) / 2, F.col("y2"), F.col("vertices"))
+    marked = obs.select("observation_id", "object_id", "t_ns", "x1", "x2", "y2", F.lit(region_id).alias("region_id")).join(one, "region_id", "left").select("observation_id", "object_id", "t_ns", F.coalesce(within, F.lit(False)).alias("inside"))
     order = "over (partition by object_id order by t_ns, observation_id)"
     edges = marked.withColumn("before", F.expr(f"lag(inside) {order}")).where("inside <> coalesce(before, false)")
     return edges.withColumn("exit_ns", F.expr(f"lead(t_ns) {order}")).where("inside").select("object_id", F.col("t_ns").alias("enter_ns"), "exit_ns", (F.col("exit_ns") - F.col("t_ns")).alias("dwell_ns"))
@@ -44,73 +47,74 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], tolerance_ns: int
     """
     carried = F.struct(F.col("t_ns").alias("t_ns"), F.col("ref").alias("ref"))
     both = left.select(*keys, "t_ns", F.col("ref").alias("l_ref"), F.lit(None).cast("struct<t_ns:bigint,ref:string>").alias("r")).withColumn("side", F.lit(1)).unionByName(right.select(*keys, "t_ns", F.lit(None).cast("string").alias("l_ref"), carried.alias("r")).withColumn("side", F.lit(0)))
-    by = ", ".join(keys)
-    held = both.withColumn("found", F.expr(f"last(r, true) over (partition by {by} order by t_ns, side, r.ref rows between unbounded preceding and current row)")).where("side = 1")
+    both = both.withColumn("r_ref", F.col("r.ref"))
+    held = ordered.carried(both, keys, ["side", "r_ref"], "r").where("side = 1")
     near = F.lit(True) if tolerance_ns is None else F.col("t_ns") - F.col("found.t_ns") <= tolerance_ns
     return held.select(*keys, "t_ns", F.col("l_ref").alias("ref"), F.when(near, F.col("found.ref")).alias("found_ref"))
 
 
 def frame_neighbours(obs: DataFrame) -> DataFrame:
-    order = "over (partition by camera_id order by t_ns, observation_id)"
-    return obs.select("camera_id", "observation_id", F.expr(f"lag(observation_id) {order}").alias("previous"), F.expr(f"lead(observation_id) {order}").alias("next"))
+    """Each observation with those of its camera just before and after it."""
+    return ordered.neighbours(obs.select("camera_id", "t_ns", "observation_id"), "camera_id", "observation_id", "observation_id").select("camera_id", "observation_id", "previous", "next")
+
+
+#: Least score of a re-entry, and the margin below which the best one is ambiguous: fixed values.
+REENTRY_SCORE, REENTRY_MARGIN = 0.3, 0.15
 
 
 def reentries(lost: DataFrame, seen: DataFrame, most_ns: int, most_distance: float) -> DataFrame:
-    """Lost objects that an arrival may continue: same camera and class, near in time and space, best first with its margin.
+    """Arrivals that may continue a lost object of the same camera and class, near in time and space: the best one with its score and margin.
 
-    Time is cut into steps of `most_ns`, so an arrival meets only its own step and the one before.
+    Without a score of REENTRY_SCORE there is none; one that is hardly better
+    than the next is ambiguous and matches nothing. Time is cut into steps of
+    `most_ns`, so an arrival meets only its own step and the one before.
     """
     step = lambda c: F.floor(F.col(c) / most_ns)
     l = lost.select(F.col("object_id").alias("lost_id"), "camera_id", "class_id", F.col("last_ns").alias("lost_ns"), F.col("x").alias("lx"), F.col("y").alias("ly"), F.explode(F.array(step("last_ns"), step("last_ns") + 1)).alias("step"))
     s = seen.withColumn("step", step("first_ns"))
     pairs = l.join(s, ["camera_id", "class_id", "step"]).where((F.col("first_ns") > F.col("lost_ns")) & (F.col("first_ns") - F.col("lost_ns") <= most_ns) & (F.col("lost_id") != F.col("object_id")))
     distance = F.sqrt(F.pow(F.col("lx") - F.col("x"), 2) + F.pow(F.col("ly") - F.col("y"), 2))
-    scored = pairs.withColumn("d", distance).where(F.col("d") <= most_distance).withColumn("score", (1 - F.col("d") / most_distance) * (1 - (F.col("first_ns") - F.col("lost_ns")).cast("double") / most_ns))
-    order = "over (partition by object_id order by score desc, lost_id)"
-    return scored.withColumn("rank", F.expr(f"row_number() {order}")).withColumn("margin", F.col("score") - F.coalesce(F.expr(f"lead(score) {order}"), F.lit(0.0))).where("rank = 1").select("object_id", "lost_id", F.round("score", 6).alias("score"), F.round("margin", 6).alias("margin"))
+    scored = pairs.withColumn("d", distance).where(F.col("d") <= most_distance).withColumn("score", (1 - F.col("d") / most_distance) * (1 - (F.col("first_ns") - F.col("lost_ns")).cast("double") / most_ns)).where(F.col("score") >= REENTRY_SCORE)
+    order = "over (partition by object_id, first_ns order by score desc, lost_id)"
+    best = scored.withColumn("rank", F.expr(f"row_number() {order}")).withColumn("margin", F.col("score") - F.expr(f"lead(score) {order}")).where("rank = 1")
+    ambiguous = F.coalesce(F.col("margin") < REENTRY_MARGIN, F.lit(False))
+    return best.select("object_id", "first_ns", F.when(~ambiguous, F.col("lost_id")).alias("matched"), ambiguous.alias("ambiguous"), F.round("score", 6).alias("score"), F.round("margin", 6).alias("margin"))
 
 
 def greedy_match(truth: DataFrame, predicted: DataFrame, least: float = 0.5) -> DataFrame:
     """In each frame every truth, in order, takes the free prediction of strictly largest IoU, if that reaches `least`.
 
-    The choice depends on those before, so a frame (bounded by what one image
-    holds) is matched in a grouped function.
+    The choice depends on those before, so frames are gone through one by one.
     """
-
-    def match(t: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        free, rows = list(p.sort_values("subject").itertuples(index=False)), []
-        for a in t.sort_values("subject").itertuples(index=False):
-            best, most = None, 0.0
-            for b in free:
-                w, h = min(a.x2, b.x2) - max(a.x1, b.x1), min(a.y2, b.y2) - max(a.y1, b.y1)
-                shared = max(w, 0) * max(h, 0)
-                union = (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - shared
-                if union > 0 and shared / union > most:
-                    best, most = b, shared / union
-            if best is not None and most >= least:
-                free.remove(best)
-            rows.append((a.frame, a.subject, best.subject if best is not None and most >= least else None, most))
-        return pd.DataFrame(rows, columns=["frame", "subject", "matched", "iou"])
-
-    return truth.groupBy("frame").cogroup(predicted.groupBy("frame")).applyInPandas(match, "frame string, subject string, matched string, iou double")
+    fields = ["frame", "subject", *boxes.CORNERS]
+    both = truth.select(*fields, F.lit(0).alias("side")).unionByName(predicted.select(*fields, F.lit(1).alias("side")))
+
+    def match(frame: pd.DataFrame) -> pd.DataFrame:
+        t, p = frame[frame["side"] == 0], frame[frame["side"] == 1]
+        iou, names = boxes.iou_matrix(t[boxes.CORNERS].to_numpy(), p[boxes.CORNERS].to_numpy()), p["subject"].to_numpy()
+        free, matched, most = np.ones(len(p), bool), [], []
+        for row in iou:
+            left = np.where(free, row, 0.0)
+            j = int(left.argmax()) if len(left) else -1
+            most.append(float(left[j]) if j >= 0 else 0.0)
+            hit = j >= 0 and most[-1] > 0 and most[-1] >= least
+            matched.append(names[j] if hit else None)
+            if hit:
+                free[j] = False
+        return pd.DataFrame({"frame": t["frame"], "subject": t["subject"], "matched": pd.Series(matched, index=t.index, dtype=object), "iou": pd.Series(most, index=t.index, dtype=float)})
+
+    return boxes.by_frame(both, ["side", "subject"], match, "frame string, subject string, matched string, iou double")
 
 
 def suppress_overlaps(detections: DataFrame, most: float = 0.45) -> DataFrame:
     """Greedy class-wise non-maximum suppression in each frame: by score, then index; what overlaps a kept one by `most` or more goes."""
 
-    def keep(batch: pd.DataFrame) -> pd.DataFrame:
-        kept: list = []
-        for a in batch.sort_values(["score", "det_index"], ascending=[False, True]).itertuples(index=False):
-            for b in kept:
-                if a.class_id == b.class_id:
-                    shared = max(min(a.x2, b.x2) - max(a.x1, b.x1), 0) * max(min(a.y2, b.y2) - max(a.y1, b.y1), 0)
-                    union = (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - shared
-                    if union > 0 and shared / union >= most:
-                        break
-            else:
-                kept.append(a)
-        return pd.DataFrame([(k.frame, k.det_index) for k in kept], columns=["frame", "det_index"])
-
-    return detections.groupBy("frame").applyInPandas(keep, "frame string, det_index long")
-
+    def keep(frame: pd.DataFrame) -> pd.DataFrame:
+        near = boxes.iou_matrix(*[frame[boxes.CORNERS].to_numpy()] * 2) >= most
+        near &= frame["class_id"].to_numpy()[:, None] == frame["class_id"].to_numpy()[None]
+        kept = np.zeros(len(frame), bool)
+        for i in range(len(frame)):
+            kept[i] = not (near[i] & kept).any()
+        return frame.loc[kept, ["frame", "det_index"]]
 
+    return boxes.by_frame(detections.select("frame", "det_index", "class_id", "score", *boxes.CORNERS), [F.desc("score"), "det_index"], keep, "frame string, det_index long")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from witnesslake.operators import ordered
+
 RING, ATTRIBUTE_RING, CLASS_RING = 64, 8, 16
 
 
@@ -13,7 +15,7 @@ def objects(obs: DataFrame) -> DataFrame:
     seen = obs.where("kind <> 'coverage'")
     measured = F.when(F.col("kind") == "spatial", F.col("t_ns"))
     last = F.max_by(F.struct("x1", "y1", "x2", "y2"), F.struct("t_ns", "event_id"))
-    return seen.groupBy("object_id", "camera_id", "tenant_id", "class_id").agg(F.min("t_ns").alias("first_seen_ns"), F.max("t_ns").alias("last_seen_ns"), F.max(measured).alias("last_confirmed_ns"), F.count("*").alias("observation_count"), F.max("log_position").alias("log_position"), last.alias("box"))
+    return seen.groupBy("object_id", "camera_id", "tenant_id", "class_id").agg(F.min("t_ns").alias("first_seen_ns"), F.max("t_ns").alias("last_seen_ns"), F.max(measured).alias("last_confirmed_ns"), F.count("*").alias("observation_count"), *(F.max(c).alias(c) for c in obs.columns if c == "log_position"), last.alias("box"))
 
 
 def current_attributes(attrs: DataFrame) -> DataFrame:
@@ -45,8 +47,8 @@ def value_changes(attrs: DataFrame, size: int = CLASS_RING) -> DataFrame:
 def coverage_gaps(obs: DataFrame, since: int, until: int) -> DataFrame:
     """Each camera's blind intervals clipped to a window: an error opens one, the next other fact closes it."""
     status = obs.select("camera_id", "t_ns", "event_id", (F.col("kind") == "coverage").alias("blind"))
-    edges = status.withColumn("before", F.expr("lag(blind) over (partition by camera_id order by t_ns, event_id)")).where("before is null or before <> blind")
-    spans = edges.withColumn("until_ns", F.expr("lead(t_ns) over (partition by camera_id order by t_ns, event_id)")).where("blind")
+    edges = ordered.neighbours(status, "camera_id", "event_id", "blind").where("previous is null or previous <> blind").drop("previous", "next")
+    spans = ordered.neighbours(edges, "camera_id", "event_id", "t_ns").where("blind").withColumnRenamed("next", "until_ns")
     clipped = spans.select("camera_id", F.greatest("t_ns", F.lit(since)).alias("since_ns"), F.least(F.coalesce("until_ns", F.lit(until)), F.lit(until)).alias("until_ns"))
     return clipped.where("until_ns > since_ns")
 

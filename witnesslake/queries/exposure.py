@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from witnesslake.catalog import NOW, START, _attrs, _obs, query
+from witnesslake.catalog import NOW, START, _attrs, _log, _obs, query
 from witnesslake.functions import text
 from witnesslake.operators import documents, exposure, state
 from witnesslake.sources import views
@@ -26,7 +26,7 @@ _PARTS = ", parts as (select camera_id, camera_id <> 'cam-1' as healthy from (se
 
 
 def _partitions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    objects = state.objects(_obs(spark, sf_dir)).select("object_id", "camera_id", "log_position")
+    objects = state.objects(_log(spark, sf_dir)).select("object_id", "camera_id", "log_position")
     parts = objects.select("camera_id").distinct().withColumn("healthy", F.col("camera_id") != "cam-1")
     return objects, parts, spark.createDataFrame([("cam-0",), ("cam-1",), ("cam-2",), ("cam-9",)], "camera_id string")
 

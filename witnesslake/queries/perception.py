@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from witnesslake.catalog import _obs, query
+from witnesslake.catalog import _log, _obs, query
 from witnesslake.functions import geometry
 from witnesslake.operators import perception
 from witnesslake.sources.views import table
@@ -18,7 +18,7 @@ def _detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame = F.concat(F.col("camera_id"), F.lit("/"), F.expr("log_position div 25"))
     found = F.when(k % 9 == 0, "unheard").when(k % 9 == 1, "lorry").otherwise(F.col("class_id"))
     over = F.when(k % 10 == 3, 0.0005).when(k % 10 == 7, 0.2).otherwise(0.0)
-    return _obs(spark, sf_dir).select(frame.alias("frame"), F.col("event_id").alias("det_index"), found.alias("class_id"), (k % 20 / F.lit(20.0)).alias("score"), "x1", "y1", (F.col("x2") + over).alias("x2"), "y2")
+    return _log(spark, sf_dir).select(frame.alias("frame"), F.col("event_id").alias("det_index"), found.alias("class_id"), (k % 20 / F.lit(20.0)).alias("score"), "x1", "y1", (F.col("x2") + over).alias("x2"), "y2")
 
 
 def _taxonomy(spark: SparkSession) -> DataFrame:
@@ -124,7 +124,7 @@ def association_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cost of taking a camera's next box for this one, and how sure that is beside the one after it."""
     order = "over (partition by camera_id order by log_position)"
     cols = ("x1", "y1", "x2", "y2")
-    p = _obs(spark, sf_dir).select("observation_id", *(F.col(c).alias(f"a{c}") for c in cols), *(F.expr(f"lead({c}, {n}) {order}").alias(f"{s}{c}") for s, n in (("b", 1), ("c", 2)) for c in cols)).where("bx1 is not null")
+    p = _log(spark, sf_dir).select("observation_id", *(F.col(c).alias(f"a{c}") for c in cols), *(F.expr(f"lead({c}, {n}) {order}").alias(f"{s}{c}") for s, n in (("b", 1), ("c", 2)) for c in cols)).where("bx1 is not null")
     p = p.select(F.col("observation_id").alias("a_id"), geometry.association_cost("a", "b").alias("cost"), F.when(F.col("cx1").isNotNull(), geometry.association_cost("a", "c")).alias("other"))
     return p.select("a_id", F.round("cost", 6).alias("cost"), F.round(perception.association_confidence(F.col("cost"), F.col("other")), 6).alias("confidence"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from witnesslake.catalog import NOW, START, _obs, query
+from witnesslake.catalog import NOW, START, _log, _obs, query
 from witnesslake.operators import exposure, state
 from witnesslake.sources import views
 from witnesslake.streaming import tracker
@@ -14,7 +14,7 @@ from witnesslake.streaming import tracker
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of eight observations of a camera are a frame; frames are a second apart."""
     frame = F.expr("log_position div 8")
-    return _obs(spark, sf_dir).select("camera_id", (frame * 10**9).alias("t_ns"), F.col("event_id").alias("det_index"), "x1", "y1", "x2", "y2")
+    return _log(spark, sf_dir).select("camera_id", (frame * 10**9).alias("t_ns"), F.col("event_id").alias("det_index"), "x1", "y1", "x2", "y2")
 
 
 @query()

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from witnesslake.operators import ordered
+
 #: An attribute value stays valid for a day.
 DAY_NS = 86_400 * 10**9
 KINDS = {"view": "presence", "click": "spatial", "purchase": "attribute", "signup": "lifecycle", "error": "coverage"}
@@ -26,8 +28,8 @@ def _pick(values: tuple[str, ...], at: Column) -> Column:
     return F.element_at(F.array(*(F.lit(v) for v in values)), (at % len(values) + 1).cast("int"))
 
 
-def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The log: position within its camera, identity, time, class, box and attribute of each observation."""
+def observations(spark: SparkSession, sf_dir: str, placed: bool = True) -> DataFrame:
+    """The log: identity, time, class, box and attribute of each observation and, if `placed`, its position within its camera."""
     events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", F.regexp_extract("props", r"(\d+)", 1).cast("int").alias("k"))
     u = F.col("user_id")
     x1, y1 = (F.col("k") % 10).cast("double") / 12, F.floor(F.col("k") / 10).cast("double") / 12
@@ -38,12 +40,13 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         x1.alias("x1"), y1.alias("y1"), (x1 + 0.05 + F.least("value", F.lit(400.0)) / 4000).alias("x2"), (y1 + 0.1).alias("y2"),
         F.concat(F.lit("a"), F.col("k") % 5).alias("attr_key"), _pick(STATES, F.col("k")).alias("attr_value"), "event_id",
     )
-    return facts.withColumn("log_position", F.expr("row_number() over (partition by camera_id order by t_ns, event_id)").cast("long")).withColumn("valid_until_ns", F.col("t_ns") + DAY_NS)
+    facts = facts.withColumn("valid_until_ns", F.col("t_ns") + DAY_NS)
+    return ordered.numbered(facts, "camera_id", "event_id", "log_position") if placed else facts
 
 
 def attributes(obs: DataFrame) -> DataFrame:
     """Attribute observations alone."""
-    return obs.where(F.col("kind") == "attribute").select("object_id", "camera_id", "class_id", "attr_key", "attr_value", "t_ns", "valid_until_ns", "event_id", "log_position")
+    return obs.where(F.col("kind") == "attribute").select("object_id", "camera_id", "class_id", "attr_key", "attr_value", "t_ns", "valid_until_ns", "event_id", *(c for c in obs.columns if c == "log_position"))
 
 
 REGIONS = {"dock": ((0.0, 0.0), (0.5, 0.0), (0.5, 0.6), (0.0, 0.6)), "bay": ((0.4, 0.2), (0.9, 0.2), (0.9, 0.9), (0.65, 0.5), (0.4, 0.9)), "far": ((0.95, 0.95), (1.0, 0.95), (1.0, 1.0))}

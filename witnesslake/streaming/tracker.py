@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from witnesslake.functions.boxes import iou_matrix
+
 # Weights and limits of association, frames of the track's life, the table's size.
 IOU_WEIGHT, DISTANCE_WEIGHT, SCALE_WEIGHT = 0.6, 0.25, 0.15
 MOST_COST, LEAST_IOU, GATE, MARGIN = 0.7, 0.1, 3.0, 0.05
@@ -50,13 +52,9 @@ class Track:
 
 def costs(predicted: np.ndarray, boxes: np.ndarray, gates: np.ndarray) -> np.ndarray:
     """Association costs of tracks (rows) and boxes; infinite beyond the gate."""
-    a, b = predicted[:, None], boxes[None]
-    width = np.minimum(a[..., 2], b[..., 2]) - np.maximum(a[..., 0], b[..., 0])
-    height = np.minimum(a[..., 3], b[..., 3]) - np.maximum(a[..., 1], b[..., 1])
-    shared = np.maximum(width, 0) * np.maximum(height, 0)
+    a, b, overlap = predicted[:, None], boxes[None], iou_matrix(predicted, boxes)
     p, q = ((x[..., 2] - x[..., 0]) * (x[..., 3] - x[..., 1]) for x in (a, b))
     with np.errstate(divide="ignore", invalid="ignore"):
-        overlap = np.where(p + q - shared > 0, shared / (p + q - shared), 0.0)
         scale = np.where((p > 0) & (q > 0), 1 - np.minimum(p, q) / np.maximum(p, q), 1.0)
     apart = np.hypot(a[..., 0] + a[..., 2] - b[..., 0] - b[..., 2], a[..., 1] + a[..., 3] - b[..., 1] - b[..., 3]) / 2
     apart = np.minimum(1.0, apart / math.sqrt(2))
