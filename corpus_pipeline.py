@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from witnesslake.llm import bpe, decontam, linededup, quality, simhash
-from witnesslake.llm.common import shared_folder, table
+from witnesslake.llm.common import discard, shared_folder, table
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,11 +49,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on `documents`; each result is written to the shared folder as Parquet and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages on `documents`; each result is written to the shared folder as Parquet and read again, and deleted when the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), []
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        discard(*before)
         docs = spark.read.parquet(f"{folder}/{name}")
+        docs.stored_at = f"{folder}/{name}"
+        before = [docs]
     return docs
-
