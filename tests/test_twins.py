@@ -46,6 +46,23 @@ def test_token_bucket(calls):
     assert sorted(map(tuple, stateful.token_bucket(df, 2, 25).collect())) == want
 
 
+def test_rate_limit(calls):
+    rows, df = calls
+    want, state = [], {}
+    for c, t, i, _ in rows:
+        held = state[c] = [x for x in state.get(c, []) if x > t - 30]
+        want.append((c, t, i, len(held) < 4))
+        if len(held) < 4:
+            held.append(t)
+    assert sorted(map(tuple, stateful.rate_limited(df, 4, 30).collect())) == want
+
+
+def test_corrections_are_always_published(spark):
+    rows = [("a", 0, 0, "x", False), ("a", 1, 1, "x", True), ("a", 2, 2, "x", None), ("a", 9, 3, "x", False), ("b", 0, 4, "x", True)]
+    got = stateful.suppress(spark.createDataFrame(rows, "subject string, t_ns long, ordinal long, digest string, always boolean"), 7).collect()
+    assert sorted(r.ordinal for r in got) == [0, 1, 3, 4]
+
+
 def test_breaker(calls):
     rows, df = calls
     want, state = [], {}

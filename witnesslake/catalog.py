@@ -445,6 +445,11 @@ def token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stateful.token_bucket(_frames(spark, sf_dir), 3, 3600 * 10**9)
 
 
+@query()
+def rate_limiter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stateful.rate_limited(_frames(spark, sf_dir), 20, views.DAY_NS)
+
+
 @query()
 def circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stateful.breaker(_frames(spark, sf_dir), 3, 7200 * 10**9)

@@ -6,6 +6,7 @@ batches, so a hot key is bounded in memory by one batch and its state.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -41,14 +42,15 @@ def _folded(df: DataFrame, key: str, order: list[str], schema: str, start: Calla
 
 
 def suppress(facts: DataFrame, heartbeat_ns: int = HEARTBEAT_NS) -> DataFrame:
-    """(subject, t_ns, ordinal, digest) to those published."""
+    """(subject, t_ns, ordinal, digest) to those published; where a column `always` is true, as for corrections, the fact is in any case."""
 
     def step(last, row):  # noqa: ANN001, ANN202
-        if admit(last, row.t_ns, row.digest, heartbeat_ns):
+        if row.always or admit(last, row.t_ns, row.digest, heartbeat_ns):
             return (row.t_ns, row.digest), (row.subject, row.t_ns, row.ordinal)
         return last, None
 
-    return _folded(facts.select("subject", "t_ns", "ordinal", "digest"), "subject", ["t_ns", "ordinal"], "subject string, t_ns long, ordinal long", lambda: None, step)
+    always = F.coalesce("always", F.lit(False)) if "always" in facts.columns else F.lit(False)
+    return _folded(facts.select("subject", "t_ns", "ordinal", "digest", always.alias("always")), "subject", ["t_ns", "ordinal"], "subject string, t_ns long, ordinal long", lambda: None, step)
 
 
 def sample_frames(frames: DataFrame, fps: float) -> DataFrame:
@@ -77,6 +79,20 @@ def token_bucket(calls: DataFrame, allowance: float, window_ns: int) -> DataFram
     return _folded(calls.select("camera_id", "t_ns", "ordinal"), "camera_id", ["t_ns", "ordinal"], "camera_id string, t_ns long, ordinal long", lambda: None, step)
 
 
+def rate_limited(calls: DataFrame, most: int = 600, window_ns: int = 60 * 10**9) -> DataFrame:
+    """Calls with whether they were admitted: fewer than `most` admitted ones lie within the window before it. Holds `most` times a caller."""
+
+    def step(admitted, row):  # noqa: ANN001, ANN202
+        while admitted and admitted[0] <= row.t_ns - window_ns:
+            admitted.popleft()
+        passed = len(admitted) < most
+        if passed:
+            admitted.append(row.t_ns)
+        return admitted, (row.camera_id, row.t_ns, row.ordinal, passed)
+
+    return _folded(calls.select("camera_id", "t_ns", "ordinal"), "camera_id", ["t_ns", "ordinal"], "camera_id string, t_ns long, ordinal long, passed boolean", deque, step)
+
+
 def breaker(calls: DataFrame, failures: int = 3, cooldown_ns: int = 30 * 10**9) -> DataFrame:
     """Calls with whether the circuit let them through: it opens after `failures` in a row, for the cooldown."""
 
