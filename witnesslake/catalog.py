@@ -514,10 +514,10 @@ def demand_required_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attention.required_attributes(_matched(spark, sf_dir))
 
 
-@query(f"""select object_id, attr_key, case when attr_value in ('unknown') then 'ATTRIBUTE_MISSING' when {NOW} - observed_at_ns > {15 * views.DAY_NS} then 'STALE' when n_seen > 6 then 'LIFECYCLE' when n_seen % 5 >= 4 then 'APPEARANCE' when n_seen % 3 = 0 then 'LOW_CONFIDENCE' when {NOW} - observed_at_ns >= 300000000000 then 'PERIODIC' else 'FRESH_ENOUGH' end as reason from held""")
+@query(f"""select object_id, attr_key, case when attr_value in ('unknown') then 'ATTRIBUTE_MISSING' when n_seen % 7 = 0 then 'QUALITY_IMPROVED' when {NOW} - observed_at_ns > {15 * views.DAY_NS} then 'STALE' when n_seen > 6 then 'LIFECYCLE' when n_seen % 5 >= 4 then 'APPEARANCE' when n_seen % 3 = 0 then 'LOW_CONFIDENCE' when {NOW} - observed_at_ns >= 300000000000 then 'PERIODIC' else 'FRESH_ENOUGH' end as reason from held""")
 def trigger_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("n_seen")
-    reason = attention.trigger(F.col("attr_value") == "unknown", F.lit(True), F.lit(NOW) - F.col("observed_at_ns"), F.lit(15 * views.DAY_NS), n > 6, (n % 5) / 16.0, (n % 3) * 0.5)
+    reason = attention.trigger(F.col("attr_value") == "unknown", F.lit(True), F.lit(NOW) - F.col("observed_at_ns"), F.lit(15 * views.DAY_NS), n > 6, (n % 5) / 16.0, (n % 3) * 0.5, n % 7 == 0)
     return state.current_attributes(_attrs(spark, sf_dir)).select("object_id", "attr_key", reason.alias("reason"))
 
 

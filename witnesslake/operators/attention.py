@@ -26,10 +26,10 @@ def required_attributes(matched: DataFrame) -> DataFrame:
     return each.groupBy("object_id", "attribute").agg(F.min("freshness_ms").alias("freshness_ms"), F.array_join(F.array_sort(F.collect_set("demand")), ",").alias("demands"))
 
 
-def trigger(missing: Column, seen_before: Column, age_ns: Column, freshness_ns: Column, changed: Column, appearance: Column, confidence: Column) -> Column:
-    """The first reason to look again, cheapest first."""
+def trigger(missing: Column, seen_before: Column, age_ns: Column, freshness_ns: Column, changed: Column, appearance: Column, confidence: Column, improved: Column) -> Column:
+    """The first reason to look again, cheapest first. `improved`: a gate refused the last crop, and conditions are now good enough."""
     return (
-        F.when(freshness_ns.isNull(), "NO_DEMAND").when(missing & ~seen_before, "FIRST_SIGHT").when(missing, "ATTRIBUTE_MISSING").when(age_ns > freshness_ns, "STALE").when(changed, "LIFECYCLE")
+        F.when(freshness_ns.isNull(), "NO_DEMAND").when(missing & ~seen_before, "FIRST_SIGHT").when(missing, "ATTRIBUTE_MISSING").when(improved, "QUALITY_IMPROVED").when(age_ns > freshness_ns, "STALE").when(changed, "LIFECYCLE")
         .when(appearance >= APPEARANCE, "APPEARANCE").when(confidence < LOW_CONFIDENCE, "LOW_CONFIDENCE").when(age_ns >= PERIODIC_NS, "PERIODIC").otherwise("FRESH_ENOUGH")
     )
 
