@@ -43,7 +43,8 @@ def test_joins_of_hard_pieces(monkeypatch):
     with open(PATH, "rb") as f:
         ranks = bpe.parse_ranks(f.read())
     known = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
-    monkeypatch.setattr(bpe, "REMEMBERED", 50)  # forgetting changes nothing
+    for name in ("PIECES", "HALVES", "PAIRS"):
+        monkeypatch.setattr(bpe, name, 50)  # forgetting changes nothing
     codec, rnd = bpe.Codec(ranks), random.Random(11)
     for letters in ("a", "ab", " ", "the ", "0", "=-", "é日", "aAbB"):
         for n in (2, 3, 17, 64, 257, 2000):

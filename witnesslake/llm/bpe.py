@@ -31,8 +31,10 @@ from witnesslake.llm.common import small_batches
 
 #: Bytes of a window that are searched pair by pair; longer ones by a heap.
 SHORT = 96
-#: Pieces, halves and pairs of tokens remembered by a worker in each of two generations, and the bytes of the longest piece remembered.
-REMEMBERED, REMEMBERED_BYTES = 250_000, 40
+#: Pieces, halves and pairs of tokens that a worker remembers in each of two generations (some 100 to 200 bytes each), and the bytes of the longest piece remembered.
+PIECES, HALVES, PAIRS, REMEMBERED_BYTES = 100_000, 60_000, 150_000, 40
+#: Bits of a token id: two make the key of a pair. Stands for a pair that gives itself again.
+ID_BITS, ITSELF = 32, ()
 Ids = Sequence[int]
 #: Stands for the rank of two tokens that don't merge.
 NONE = 1 << 62
@@ -41,16 +43,16 @@ VOCABULARY_BYTES = 64 << 20
 
 
 class Kept(dict):
-    """Results of make by key: those of the latest REMEMBERED keys at least, of twice as many at most."""
+    """Results of make by key: those of the latest `most` keys at least, of twice as many at most."""
 
-    def __init__(self, make: Callable) -> None:
+    def __init__(self, make: Callable, most: int) -> None:
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key):  # noqa: ANN001, ANN204
         if (got := self.old.get(key)) is None:
             got = self.make(key)
-        if len(self) >= REMEMBERED:
+        if len(self) >= self.most:
             self.old = self.copy()
             self.clear()
         self[key] = got
@@ -62,8 +64,8 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks, self.token = ranks, {i: b for b, i in ranks.items()}
-        self.pairs = Kept(lambda ab: tuple(self.leaf(self.token[ab[0]] + self.token[ab[1]])))
-        self.halves = Kept(self._halved)
+        self.pairs = Kept(self._together, PAIRS)
+        self.halves = Kept(self._halved, HALVES)
 
     def leaf(self, data: bytes) -> list[int]:
         """The merges in order of rank, leftmost first, searched one by one."""
@@ -100,15 +102,21 @@ class Codec:
                     heapq.heappush(heap, (r, a, len(both)))
         return [self.ranks[p] for p in part if p]
 
+    def _together(self, pair: int) -> Ids:
+        """What two tokens' bytes are encoded to."""
+        a, b = pair >> ID_BITS, pair & (1 << ID_BITS) - 1
+        both = tuple(self.leaf(self.token[a] + self.token[b]))
+        return ITSELF if both == (a, b) else both
+
     def stable(self, a: int, b: int) -> bool:
-        return self.pairs[a, b] == (a, b)
+        return self.pairs[a << ID_BITS | b] is ITSELF
 
     def join(self, left: Ids, right: Ids) -> Ids:
         """The ids of two neighbours' bytes from the ids of each."""
         if not left or not right:
             return left or right
-        mid, k = self.pairs[left[-1], right[0]], 1
-        if mid == (left[-1], right[0]):
+        mid, k = self.pairs[left[-1] << ID_BITS | right[0]], 1
+        if mid is ITSELF:
             return left + right
         while True:
             a, b = max(0, len(left) - k), min(len(right), k)
@@ -142,7 +150,7 @@ class Packed(Kept):
     """Pieces to their ids as little-endian 32-bit integers."""
 
     def __init__(self, codec: Codec) -> None:
-        super().__init__(lambda piece: self.of(piece.encode()))
+        super().__init__(lambda piece: self.of(piece.encode()), PIECES)
         self.codec = codec
 
     def of(self, piece: bytes) -> bytes:

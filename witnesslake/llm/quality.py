@@ -27,7 +27,7 @@ EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.002, 0.002
 THRESHOLD = 0.3
 #: Words hashed at once, and hashes a worker remembers.
-AT_ONCE, REMEMBERED = 1 << 16, 300_000
+AT_ONCE, REMEMBERED = 1 << 16, 150_000
 WORD = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
