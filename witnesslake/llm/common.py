@@ -61,12 +61,17 @@ def stored(df: DataFrame, random: bool = False) -> DataFrame:
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever store it is."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()  # noqa: SLF001
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(conf).delete(folder, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that stored() made, once all that was read from them is itself written."""
     for df in tables:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()  # noqa: SLF001
-        folder = jvm.org.apache.hadoop.fs.Path(df.stored_at)
-        folder.getFileSystem(conf).delete(folder, True)
+        delete(df.sparkSession, df.stored_at)
 
 
 def lower_ascii(text: Column) -> Column:
