@@ -213,12 +213,18 @@ def test_alignment_on_odd_rows(spark, monkeypatch, part):
 def test_tokens_equal_the_libraries():
     with open(JSON, encoding="utf-8") as f, open(MODEL, "rb") as g:
         aligner = align.Aligner(f.read(), public.PATTERN, g.read())
-    assert aligner.a.fast is not None and aligner.b.by_word
+    assert aligner.by_word
     with open(public.path("byte_bpe_50k.tiktoken"), "rb") as f:
         assert {base64.b64decode(x): int(i) for x, i in map(bytes.split, f)} == {b: i for i, b in enumerate(aligner.a.bytes[:50256])}
     draw = random.Random(5)
     for _ in range(3000):
-        text = "".join(draw.choice(["a", "b", "the", " ", "  ", "\n", "\t", ".", "'s", "é", "中", "😀", "0", "<s>", "A"]) for _ in range(draw.randint(0, 40)))
+        text = "".join(draw.choice(["a", "b", "the", " ", " ", "  ", "\n", "\t", "\n ", "\xa0", ".", "'s", "é", "中", "😀", "0", "<s>", "A"]) for _ in range(draw.randint(0, 40)))
         if text:
             assert aligner.a.encode(" " + text) == aligner.a.library.encode(" " + text, add_special_tokens=False).ids
-            assert aligner.b.encode(text) == aligner.b.model.encode(text)
+            found, whole = aligner.tokens(text), (aligner.a.library.encode(" " + text, add_special_tokens=False).ids, aligner.b.model.encode(text))
+            assert tuple(x.tolist() for x in found) == whole
+    # every character, in the midst and at the ends of words
+    for lo in range(0, 0x110000, 4096):
+        text = " ".join(f"a{chr(c)}b {chr(c)} 1{chr(c)}" for c in range(lo, lo + 4096) if not 0xD800 <= c < 0xE000 and not 0x1C <= c < 0x20 and chr(c) != align.BAR)
+        if text:
+            assert tuple(x.tolist() for x in aligner.tokens(text)) == (aligner.a.library.encode(" " + text, add_special_tokens=False).ids, aligner.b.model.encode(text))

@@ -33,13 +33,24 @@ from witnesslake.llm.common import cut, discard, small_batches, stored
 B_BITS = 20
 #: A ids are dealt to so many buckets; a document contributes one row of each at most. Pairs of documents in a part of a bucket, at about; documents in a run, which stays in one part.
 BUCKETS, PART, RUN = 64, 2_000_000, 1024
-#: Pairs whose counts one task holds before it passes them on, and words whose tokens a worker remembers twice over.
-HELD, WORDS = 4_000_000, 200_000
+#: Pairs whose counts one task holds before it passes them on, and words whose tokens a worker remembers at once.
+HELD, WORDS = 4_000_000, 150_000
 #: Runs of white space that tiktoken's pattern can't pass; texts with one are left to the other library.
 LONG_SPACE = re.compile(r"\s{5000}")
 #: White space of piece models.
 BAR = "▁"
-CHUNK = re.compile(" *[^ ]+| +")
+#: What the two sides' patterns or pieces see otherwise; texts with these, and with words of so many characters, are encoded whole.
+ODD, LONG_WORD = (BAR, *map(chr, range(0x1C, 0x20))), 1000
+#: Words end where a space follows what is no white space: no token of either side lies across. At each space, unless white space stands before one.
+WORD = re.compile(r"\s*\S+(?:[^\S ]\s*\S+)*(?:[^\S ]\s*)?|\s+")
+SPACED = [f"{chr(c)} " for c in range(0x3001) if chr(c).isspace()]
+
+
+def _words(text: str) -> list[str]:
+    """The words of a space and the text, each without the space that it begins with."""
+    if any(x in text for x in SPACED) or text[0] == " ":
+        return [w[1:] for w in WORD.findall(f" {text}")]
+    return text.split(" ")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -77,38 +88,19 @@ class ByteLevel:
 
 
 class Pieces:
-    """A sentencepiece model, which puts a space before each text.
-
-    Where no piece goes on past a word's end and nothing is normalised away,
-    words are encoded one by one and remembered.
-    """
+    """A sentencepiece model, which puts a space before each text."""
 
     def __init__(self, model: bytes) -> None:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.bytes = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace(BAR, " ").encode() for i, p in enumerate(pieces)]
+        self.space = [self.model.piece_to_id(BAR)]
         probe = " a  b "
+        #: No piece goes on past a word's end and spaces stay as they are: words can be encoded one by one.
         self.by_word = not any(BAR in p.lstrip(BAR) for p in pieces) and b"".join(self.bytes[i] for i in self.model.encode(probe)) == f" {probe}".encode()
-        self.space = [self.model.piece_to_id(BAR)]
-        self.now: dict[str, list[int]] = {}
-        self.before: dict[str, list[int]] = {}
-
-    def word(self, word: str) -> list[int]:
-        ids = self.before.get(word)
-        if ids is None:
-            ids = self.model.encode(word[1:]) if len(word) > 1 else self.space
-        if len(self.now) >= WORDS:
-            self.now, self.before = {}, self.now
-        self.now[word] = ids
-        return ids
 
     def encode(self, text: str) -> list[int]:
-        if not self.by_word:
-            return self.model.encode(text)
-        out: list[int] = []
-        for word in CHUNK.findall(f" {text}"):
-            out += self.now.get(word) or self.word(word)
-        return out
+        return self.model.encode(text)
 
 
 @dataclass
@@ -133,28 +125,73 @@ class Aligner:
         self.a_size, self.b_size = (np.array([len(x) for x in side.bytes], np.int64) for side in (self.a, self.b))
         # each id with what follows it within a group and at its end; last of all without anything
         self.words = np.array([f"{i}{mark}" for side, marks in ((self.a, ",|"), (self.b, ",;")) for mark in marks for i in range(len(side.bytes))], dtype=object)
+        self.by_word = self.a.fast is not None and self.b.by_word
+        #: Both sides' ids of words, packed, and words that one side doesn't give back.
+        self.a_ids: dict[str, bytes] = {}
+        self.b_ids: dict[str, bytes] = {}
+        self.odd: set[str] = set()
+
+    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """Both sides' ids; None if a side's bytes aren't the text's."""
+        words = _words(text) if self.by_word and not any(c in text for c in ODD) else []
+        if not words or max(map(len, words)) > LONG_WORD:
+            return self.whole(text)
+        if new := set(words).difference(self.a_ids):
+            self.learn([w for w in new if w and not w[-1].isspace()])
+            for word in new.difference(self.a_ids):
+                self.learn([word])
+        out = None if self.odd and not self.odd.isdisjoint(words) else tuple(np.frombuffer(b"".join(map(ids.__getitem__, words)), "<i4").astype(np.int64) for ids in (self.a_ids, self.b_ids))
+        if len(self.a_ids) > WORDS:
+            self.a_ids, self.b_ids, self.odd = {}, {}, set()
+        return out
+
+    def whole(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        a, b, want = self.a.encode(f" {text}"), self.b.encode(text) if text else self.b.space, f" {text}".encode()
+        good = all(b"".join(map(side.bytes.__getitem__, ids)) == want for side, ids in ((self.a, a), (self.b, b)))
+        return (np.array(a, np.int64), np.array(b, np.int64)) if good else None
+
+    def learn(self, words: list[str]) -> None:
+        """Encodes new words as one text, which is cut where words end; one by one where a side doesn't give it back."""
+        found = self.whole(" ".join(words)) if words else None
+        if found is None:
+            for word in words if len(words) > 1 else []:
+                self.learn([word])
+            if len(words) == 1:
+                self.odd.add(words[0])
+                self.a_ids[words[0]] = self.b_ids[words[0]] = b""
+            return
+        ends = np.cumsum([len(w.encode()) + 1 for w in words])
+        for known, size, ids in ((self.a_ids, self.a_size, found[0]), (self.b_ids, self.b_size, found[1])):
+            packed, cuts = ids.astype("<i4").tobytes(), [0, *(4 * size[ids].cumsum().searchsorted(ends, "right")).tolist()]
+            known.update(zip(words, map(packed.__getitem__, map(slice, cuts, cuts[1:])), strict=False))
 
     def align(self, text: str | None) -> Alignment:
         """The tokens of a text; nothing where it has none or one side's bytes aren't the text's."""
-        if not text:
-            return NOTHING
-        a, b, want = self.a.encode(f" {text}"), self.b.encode(text), f" {text}".encode()
-        if b"".join(map(self.a.bytes.__getitem__, a)) != want or b"".join(map(self.b.bytes.__getitem__, b)) != want:
+        found = self.tokens(text) if text else None
+        if found is None:
             return NOTHING
-        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        a, b = found
         a_end, b_end = self.a_size[a].cumsum(), self.b_size[b].cumsum()
-        both, every = np.intersect1d(a_end, b_end), np.union1d(a_end, b_end)
-        return Alignment(a, b, both.searchsorted(a_end), both.searchsorted(b_end), len(both), a_end.searchsorted(every), b_end.searchsorted(every))
+        ends = np.zeros(a_end[-1] + 1, np.uint8)
+        ends[a_end] = 1
+        ends[b_end] |= 2
+        every = np.flatnonzero(ends)
+        ends = ends[every]
+        # at every end, how many tokens of each side, and groups, end before it
+        is_a, is_b, both = ends & 1 > 0, ends & 2 > 0, ends == 3
+        a_link, b_link, group = (np.cumsum(x) - x for x in (is_a, is_b, both))
+        return Alignment(a, b, group[is_a], group[is_b], int(both.sum()), a_link, b_link)
 
     def groups(self, x: Alignment) -> str:
         """`a1,a2|b1;a3|b2,b3`: the ids of each group."""
         if not x.n_groups:
             return ""
         a_last, b_last = (np.append(g[1:] != g[:-1], True) for g in (x.a_group, x.b_group))
+        a_count, b_count = (np.bincount(g, minlength=x.n_groups) for g in (x.a_group, x.b_group))
         out = np.empty(len(x.a) + len(x.b), dtype=object)
         # before a token stand its side's tokens and the other side's of earlier groups (of B's also those of A in its own)
-        out[np.arange(len(x.a)) + x.b_group.searchsorted(x.a_group)] = self.words[x.a + len(self.a.bytes) * a_last]
-        out[np.arange(len(x.b)) + x.a_group.searchsorted(x.b_group, "right")] = self.words[2 * len(self.a.bytes) + x.b + len(self.b.bytes) * b_last]
+        out[np.arange(len(x.a)) + (np.cumsum(b_count) - b_count)[x.a_group]] = self.words[x.a + len(self.a.bytes) * a_last]
+        out[np.arange(len(x.b)) + np.cumsum(a_count)[x.b_group]] = self.words[2 * len(self.a.bytes) + x.b + len(self.b.bytes) * b_last]
         return "".join(out.tolist())[:-1]
 
 
