@@ -178,8 +178,8 @@ def records(data: bytes) -> Iterator[tuple[int, dict[str, object]]]:
         yield at, {"problem": str(e)}
 
 
-def revisits(pages: DataFrame) -> tuple[DataFrame, int]:
-    """(of, refers_to): the key of each page whose payload another page holds, and that page; and the bytes of all payloads.
+def revisits(pages: DataFrame) -> tuple[DataFrame, int, str]:
+    """(of, refers_to): the key of each page whose payload another page holds, and that page; the bytes of all payloads; and the greatest of the SAMPLE_PAGES smallest digests.
 
     Of equal payloads of REVISIT_BYTES and more the largest page_id holds it.
     A page without a page_id can refer to another but can't be referred to;
@@ -192,8 +192,9 @@ def revisits(pages: DataFrame) -> tuple[DataFrame, int]:
     found = large.join(holders, F.col("digest") == F.col("held")).where(~F.col("page_id").eqNullSafe(F.col("latest")))
     out = stored(found.select(_key(F.col("digest")).alias("of"), F.col("latest").cast("string").alias("refers_to")).distinct())
     total = narrow.agg(F.sum("bytes")).first()[0] or 0
+    digests = narrow.select("digest").distinct().orderBy("digest").limit(SAMPLE_PAGES).collect()
     discard(narrow, holders)
-    return out, total
+    return out, total, digests[-1].digest if digests else ""
 
 
 def _payload() -> Column:
@@ -205,9 +206,10 @@ def _key(digest: Column) -> Column:
     return F.concat_ws("/", digest, F.col("page_id").cast("string"))
 
 
-def train(pages: DataFrame) -> bytes | None:
-    """A dictionary from a bounded sample of pages, the same for the same pages; None where there are too few."""
-    sample = pages.select(F.substring(_payload(), 1, SAMPLE_CHARS).alias("s"), F.xxhash64(_payload()).alias("h")).orderBy("h", "s").limit(SAMPLE_PAGES).collect()
+def train(pages: DataFrame, most: str) -> bytes | None:
+    """A dictionary from the pages whose digests are at most `most`, one of each digest: the same for the same pages; None where there are too few."""
+    digest = F.sha2(_payload(), 256)
+    sample = pages.where(digest <= most).groupBy(digest.alias("digest")).agg(F.first(F.substring(_payload(), 1, SAMPLE_CHARS)).alias("s")).orderBy("digest").collect()  # SAMPLE_PAGES rows
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, [r.s.encode() for r in sample if r.s]).as_bytes()
     except (zstandard.ZstdError, ValueError):
@@ -223,8 +225,8 @@ def write(pages: DataFrame, folder: str, date: str = DATE) -> None:
     """
     spark = pages.sparkSession
     small_batches(spark)
-    again, total = revisits(pages)
-    n, dictionary = max(1, -(-total // ARCHIVE_BYTES)), train(pages)
+    again, total, most = revisits(pages)
+    n, dictionary = max(1, -(-total // ARCHIVE_BYTES)), train(pages, most)
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         options = {} if dictionary is None else {"dict_data": zstandard.ZstdCompressionDict(dictionary)}
