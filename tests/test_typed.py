@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from witnesslake.functions import values
 from witnesslake.operators import documents, exposure, perception, rules
 
-HELD = [True, False, 0, 1, 1.0, -7, 2.5, "worn", "1", "", [1], ["worn", True], [], None]
+HELD = [True, False, 0, 1, 1.0, -7, 2.5, "worn", "1", "", [1], ["worn", True], [], None, 10**7, 1e7, 0.0001, 1e-4 + 1e-20, 1e22, 10**22, 2**53, 2**53 + 1, float(2**53), -0.0, 1e300, 2.0**70, 2**70, 2**70 + 1, 1e37, 10**37]
+HELD += [["a,t:b"], ["a", "b"], [[1, 2.0], [3]], [[1.0, 2], [3]], [[1], [2.0, 3]], [None], [[]], ["1:n"], "null", {"a": 1}, {"b": 1}]
 NUMBERS = lambda v: isinstance(v, int | float) and not isinstance(v, bool)
 
 
@@ -26,12 +27,15 @@ def said(op, held, expected):
 
 
 def test_compare_matrix(spark):
-    df = spark.createDataFrame([(i, json.dumps(v)) for i, v in enumerate(HELD)], "i int, j string").select("i", values.of_json(F.col("j")).alias("v"))
-    asked = [(op, x) for op in ("eq", "ne", "gt", "gte", "lt", "lte") for x in (True, 0, 1, 2.5, "worn", "1", "-7")] + [(op, x) for op in ("in", "not_in") for x in ((1, "worn"), (False, None), ())]
-    got = df.select("i", *(values.compare(op, F.col("v"), values.of_python(x)).alias(f"c{k}") for k, (op, x) in enumerate(asked))).collect()
-    for r in got:
-        for k, (op, x) in enumerate(asked):
-            assert r[f"c{k}"] == said(op, HELD[r.i], x), (op, HELD[r.i], x)
+    large = (10**7, 1e-4, 1e22, 2**53, 2**53 + 1, float(2**53 + 2), -0.0, 2**70, 2.0**70, 1e300, 10**37, ["a", "b"], ["a,t:b"], [[1, 2], [3]], [None], "null", {"a": 1})
+    asked = [(op, x) for op in ("eq", "ne", "gt", "gte", "lt", "lte") for x in (True, 0, 1, 2.5, "worn", "1", "-7", *large)] + [(op, [10**7, 1e-4, [1.0, 2], ["a,t:b"]]) for op in ("in", "not_in")] + [(op, x) for op in ("in", "not_in") for x in ((1, "worn"), (False, None), ())]
+    rows = [(i, k, op, json.dumps(v), json.dumps(x)) for i, v in enumerate(HELD) for k, (op, x) in enumerate(asked)]
+    pairs = spark.createDataFrame(rows, "i int, k int, op string, held string, expected string").select("i", "k", "op", values.of_json(F.col("held")).alias("h"), values.of_json(F.col("expected")).alias("x"))
+    for r in pairs.select("i", "k", values.compare(F.col("op"), F.col("h"), F.col("x")).alias("c")).collect():
+        op, x = asked[r.k]
+        assert r.c == said(op, HELD[r.i], list(x) if isinstance(x, tuple) else x), (op, HELD[r.i], x)
+    literal = spark.range(1).select(values.compare("in", values.of_python(1e7), values.of_python((10**7, "x"))).alias("c"))
+    assert literal.first().c is True
 
 
 @pytest.mark.parametrize(("op", "value", "want"), [("eq", 1, False), ("ne", True, True), ("in", (1, 2), False), ("not_in", (1, "x"), False), ("gt", 0, None), ("lte", "9", None), ("eq", "x", True)])
@@ -51,6 +55,24 @@ def test_type_reasons(spark):
     assert [(r.i, r.got) for r in got] == [(r.i, r.want) for r in got]
 
 
+def test_strict_json(spark):
+    texts = ["1", " 1 \n", "1 trash", "1}", '1,"x":2', '1,"v":2', "{} {}", '{"a":1} and {"b":2}', '[1]]', "", " ", None, "null", '"a"', "tru", "01", '{"a":1,}', '{"a":{"b":[1,2]}} //', '1,"end":0} {', "[1,2", "nan", "'a'"]
+
+    def strictly(t):
+        try:
+            return json.dumps(json.loads(t))
+        except (TypeError, ValueError):
+            return None
+
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", F.to_json(values.strict(F.col("t"))).alias("j")).collect()
+    assert {texts[r.i]: r.j and json.dumps(json.loads(r.j)) for r in got} == {t: strictly(t) for t in texts}
+    said = spark.createDataFrame([('{"a":1} and {"b":2}',), ('so {"a":1} it is',), ('{"a":1}',)], "t string").select(documents.coerce_object(F.col("t")).alias("c")).collect()
+    assert [(r.c.fields, r.c.reparsed, bool(r.c.unparsed)) for r in said] == [(None, False, True), ({"a": "1"}, True, False), ({"a": "1"}, False, False)]
+    refused = spark.createDataFrame([("1 trash",), ("1",)], "j string").select(documents.type_reason(F.col("j"), F.lit("count"), F.array().cast("array<string>"), F.lit(False)).alias("r")).collect()
+    assert [r.r for r in refused] == ["expected_integer", None]
+    assert documents.parse(spark.createDataFrame([(1, '{"rules":[]} x')], "document_id int, body string")).first().reject == "not_json"
+
+
 def test_documents_of_odd_shapes(spark):
     bodies = {0: None, 1: "", 2: "[]", 3: "{}", 4: '{"rules":null}', 5: '{"rules":[{"rule_id":"a","version":"1","require":[{"attribute":"x"}]}]}', 6: '{"rules":[{"rule_id":"a","version":"1","require":[{"attribute":"x","operator":"in","value":"y"}]}]}', 7: '{"rules":[{"version":"1","require":[{"attribute":"x"}]}]}'}
     got = {r.document_id: r.reject for r in documents.parse(spark.createDataFrame(list(bodies.items()), "document_id int, body string")).collect()}

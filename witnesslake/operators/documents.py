@@ -33,7 +33,7 @@ def parse(documents: DataFrame) -> DataFrame:
     requirement, and at last an id used twice. A document without a version is
     1.0.0, one without rules is legal.
     """
-    v = F.try_parse_json("body")
+    v = values.strict(F.col("body"))
     rule = lambda r: F.struct(_text(r, "$.rule_id").alias("rule_id"), _text(r, "$.version").alias("version"), F.coalesce(F.try_variant_get(r, "$.severity", "string"), F.lit("")).alias("severity"), F.transform(_list(r, "$.subject_classes"), lambda c: F.try_variant_get(c, "$", "string")).alias("classes"), F.try_variant_get(r, "$.evidence.max_staleness_ms", "long").alias("max_staleness_ms"), _conditions(r, "$.require").alias("require"), _conditions(r, "$.when").alias("when"))
     parsed = documents.select("document_id", v.alias("v"))
     listed = F.try_variant_get("v", "$.rules", "array<variant>")
@@ -84,7 +84,8 @@ def type_reason(json: Column, value_type: Column, domain: Column, multi: Column)
     fit; a vector is itself a list. Components of a vector must be numbers, and
     booleans are none.
     """
-    v, variant = values.of_json(json), F.try_parse_json(json)
+    variant = values.strict(json)
+    v = values.of_variant(variant)
     items = F.try_variant_get(variant, "$", "array<variant>")
     first = lambda reasons: F.get(F.filter(reasons, lambda x: x.isNotNull()), F.lit(0))
     each = first(F.transform(items, lambda x: _one_reason(values.of_variant(x), value_type, domain)))
@@ -137,7 +138,7 @@ def coerce_object(raw: Column) -> Column:
     """struct(fields: map of JSON texts by key, reparsed, unparsed): a strict JSON object, else the first in prose; nothing is repaired."""
     text = F.trim(F.coalesce(raw, F.lit("")))
     inner = F.regexp_extract(text, r"(?s)\{.*\}", 0)
-    as_map = lambda t: F.when(F.schema_of_variant(F.try_parse_json(t)).startswith("OBJECT"), F.try_variant_get(F.try_parse_json(t), "$", "map<string,variant>"))
+    as_map = lambda t: F.when(F.schema_of_variant(values.strict(t)).startswith("OBJECT"), F.try_variant_get(values.strict(t), "$", "map<string,variant>"))
     whole, within = as_map(text), as_map(inner)
     fields = F.transform_values(F.coalesce(whole, within), lambda _, v: F.to_json(v))
     return F.struct(fields.alias("fields"), (whole.isNull() & within.isNotNull()).alias("reparsed"), F.when(whole.isNull() & within.isNull() & (text != ""), text).alias("unparsed"))

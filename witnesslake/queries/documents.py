@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +28,8 @@ EXPECTED = [("eq", 1), ("eq", True), ("eq", "worn"), ("ne", 1.0), ("ne", "1"), (
 def rule_compare_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All operators over values of all kinds: what each comparison says, and of how many observations."""
     held = _obs(spark, sf_dir).groupBy(F.expr(_HELD).alias("held")).agg(F.count("*").alias("n")).select("held", "n", values.of_json(F.col("held")).alias("v"))
-    wanted = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(op).alias("op"), values.of_python(x).alias("x")) for i, (op, x) in enumerate(EXPECTED)))
+    asked = json.dumps([{"i": i, "op": op, "x": json.dumps(x)} for i, (op, x) in enumerate(EXPECTED)])
+    wanted = F.transform(F.from_json(F.lit(asked), "array<struct<i: int, op: string, x: string>>"), lambda w: F.struct(w["i"].alias("i"), w["op"].alias("op"), values.of_json(w["x"]).alias("x")))
     return held.select("held", "n", "v", F.inline(wanted)).select("i", "held", values.compare(F.col("op"), F.col("v"), F.col("x")).alias("outcome"), "n")
 
 
