@@ -74,9 +74,9 @@ def test_strict_json(spark):
 
 
 def test_documents_of_odd_shapes(spark):
-    bodies = {0: None, 1: "", 2: "[]", 3: "{}", 4: '{"rules":null}', 5: '{"rules":[{"rule_id":"a","version":"1","require":[{"attribute":"x"}]}]}', 6: '{"rules":[{"rule_id":"a","version":"1","require":[{"attribute":"x","operator":"in","value":"y"}]}]}', 7: '{"rules":[{"version":"1","require":[{"attribute":"x"}]}]}'}
+    bodies = {0: None, 1: "", 2: "[]", 3: "{}", 4: '{"rules":null}', 5: '{"rules":[{"rule_id":"a","version":"1","require":[{"attribute":"x"}]}]}', 6: '{"rules":[{"rule_id":"a","version":"1","require":[{"attribute":"x","operator":"in","value":"y"}]}]}', 7: '{"rules":[{"version":"1","require":[{"attribute":"x","operator":"present"}]}]}', 8: '{"rules":[{"rule_id":"a","version":"1","require":[{"operator":"present"}]}]}', 9: '{"rules":[{"rule_id":"a","version":"1","require":[{"attribute":"x","value":0}]}]}'}
     got = {r.document_id: r.reject for r in documents.parse(spark.createDataFrame(list(bodies.items()), "document_id int, body string")).collect()}
-    assert got == {0: "not_json", 1: "not_json", 2: None, 3: None, 4: "rules_not_a_list", 5: None, 6: "in_without_list", 7: "missing_rule_id"}
+    assert got == {0: "not_json", 1: "not_json", 2: None, 3: None, 4: "rules_not_a_list", 5: "missing_value", 6: "in_without_list", 7: "missing_rule_id", 8: "missing_attribute", 9: None}
 
 
 def test_chains_of_merges(spark):
@@ -104,3 +104,11 @@ def test_points_on_the_horizon_have_no_place(spark):
     assert [tuple(r) for r in got] == [(None, None), (1.0, 1.0)]
     none = df.select(perception.projected(F.col("x"), F.col("y"), [[0.0] * 3] * 3)[0].alias("g")).collect()
     assert {r.g for r in none} == {None}
+
+
+def test_summary_of_infinities(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = [("a", v) for v in (1.0, inf, -inf, 2.0, -3.0, 0.0, inf)] + [("b", nan), ("b", 1.0)]
+    got = {r.g: (r.n, r.least, r.p50) for r in exposure.summary(spark.createDataFrame(rows, "g string, v double"), "g", "v").collect()}
+    assert got["a"] == (7, -inf, 1.0)
+    assert got["b"][:2] == (2, 1.0) and got["b"][2] != got["b"][2]

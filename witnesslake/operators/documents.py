@@ -20,21 +20,26 @@ def _list(v: Column, path: str) -> Column:
     return F.coalesce(F.try_variant_get(v, path, "array<variant>"), F.array().cast("array<variant>"))
 
 
+def _texts(v: Column, path: str) -> Column:
+    return F.transform(_list(v, path), lambda c: F.try_variant_get(c, "$", "string"))
+
+
 def _conditions(v: Column, path: str) -> Column:
     """A rule's conditions; the operator is eq where none is given."""
-    return F.transform(_list(v, path), lambda c: F.struct(_text(c, "$.attribute").alias("attribute"), F.lower(F.coalesce(F.try_variant_get(c, "$.operator", "string"), F.lit("eq"))).alias("operator"), values.of_variant(F.try_variant_get(c, "$.value", "variant")).alias("value")))
+    return F.transform(_list(v, path), lambda c: F.struct(_text(c, "$.attribute").alias("attribute"), F.lower(F.coalesce(F.try_variant_get(c, "$.operator", "string"), F.lit("eq"))).alias("operator"), values.of_variant(F.try_variant_get(c, "$.value", "variant")).alias("value"), _texts(c, "$.unknown_values").alias("unknown_values")))
 
 
 def parse(documents: DataFrame) -> DataFrame:
     """documents(document_id, body) with version, rules and reject: why the whole document is refused, or null.
 
     In order: no JSON, `rules` that are no list, then rule by rule an unknown
-    operator, `in` or `not_in` without a list, a rule without id, version or
+    operator, a condition without attribute or, but for `present`, without a
+    value, `in` or `not_in` without a list, a rule without id, version or
     requirement, and at last an id used twice. A document without a version is
     1.0.0, one without rules is legal.
     """
     v = values.strict(F.col("body"))
-    rule = lambda r: F.struct(_text(r, "$.rule_id").alias("rule_id"), _text(r, "$.version").alias("version"), F.coalesce(F.try_variant_get(r, "$.severity", "string"), F.lit("")).alias("severity"), F.transform(_list(r, "$.subject_classes"), lambda c: F.try_variant_get(c, "$", "string")).alias("classes"), F.try_variant_get(r, "$.evidence.max_staleness_ms", "long").alias("max_staleness_ms"), _conditions(r, "$.require").alias("require"), _conditions(r, "$.when").alias("when"))
+    rule = lambda r: F.struct(_text(r, "$.rule_id").alias("rule_id"), _text(r, "$.version").alias("version"), F.coalesce(F.try_variant_get(r, "$.severity", "string"), F.lit("")).alias("severity"), _texts(r, "$.subject_classes").alias("classes"), _texts(r, "$.scope.camera_ids").alias("cameras"), _texts(r, "$.evidence.requires").alias("requires"), F.coalesce(F.try_variant_get(r, "$.evidence.require_full_coverage", "boolean"), F.lit(False)).alias("full_coverage"), F.try_variant_get(r, "$.evidence.max_staleness_ms", "long").alias("max_staleness_ms"), _conditions(r, "$.require").alias("require"), _conditions(r, "$.when").alias("when"))
     parsed = documents.select("document_id", v.alias("v"))
     listed = F.try_variant_get("v", "$.rules", "array<variant>")
     parsed = parsed.select("document_id", "v", listed.alias("listed"), F.try_variant_get("v", "$.rules", "variant").isNull().alias("none"))
@@ -46,7 +51,7 @@ def parse(documents: DataFrame) -> DataFrame:
 
 
 def _refused(r: Column) -> Column:
-    odd = F.filter(F.transform(F.concat(r["require"], r["when"]), lambda c: F.when(~c["operator"].isin(*OPERATORS), "unknown_operator").when(c["operator"].isin("in", "not_in") & (c["value"]["kind"] != "list"), "in_without_list")), lambda x: x.isNotNull())
+    odd = F.filter(F.transform(F.concat(r["require"], r["when"]), lambda c: F.when(~c["operator"].isin(*OPERATORS), "unknown_operator").when(c["attribute"] == "", "missing_attribute").when((c["operator"] != "present") & (c["value"]["kind"] == "null"), "missing_value").when(c["operator"].isin("in", "not_in") & (c["value"]["kind"] != "list"), "in_without_list")), lambda x: x.isNotNull())
     return F.when(F.size(odd) > 0, F.get(odd, F.lit(0))).when(r["rule_id"] == "", "missing_rule_id").when(r["version"] == "", "missing_version").when(F.size(r["require"]) == 0, "empty_require")
 
 

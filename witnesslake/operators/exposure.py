@@ -145,7 +145,8 @@ def summary(rows: DataFrame, by: str, value: str, fractions: dict[str, float] |
     """
     fractions = fractions or {"p50": 0.5, "p95": 0.95}
     v = F.col(value)
-    size = F.floor(64 * F.log2(F.abs(v))) + (1 << 20)
+    # infinities and what is no number have ranges of their own, behind all others
+    size = F.when(F.isnan(v), 1 << 41).when(F.abs(v) == float("inf"), 1 << 40).otherwise(F.floor(64 * F.log2(F.when(F.isnan(v) | (F.abs(v) == float("inf")), 1.0).otherwise(F.abs(v)))) + (1 << 20))
     given = rows.where(v.isNotNull()).select(by, v.alias("v"), F.when(v == 0, 0).when(v > 0, size).otherwise(-size).cast("long").alias("bin"))
     bins = given.groupBy(by, "bin").agg(F.count("*").alias("c"), F.min("v").alias("least"), F.max("v").alias("most"))
     upto = bins.withColumn("upto", F.expr(f"sum(c) over (partition by {by} order by bin)")).withColumn("n", F.expr(f"sum(c) over (partition by {by})"))

@@ -1,5 +1,5 @@
 """Further queries with their SQL, by subject; importing them adds them to the catalog."""
 
-from witnesslake.queries import documents, evaluation, exposure, perception, platform, registry, tracking
+from witnesslake.queries import documents, evaluation, evaluator, exposure, perception, platform, registry, tracking
 
-__all__ = ["documents", "evaluation", "exposure", "perception", "platform", "registry", "tracking"]
+__all__ = ["documents", "evaluation", "evaluator", "exposure", "perception", "platform", "registry", "tracking"]
