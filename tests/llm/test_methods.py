@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -78,19 +79,54 @@ def test_pages_of_known_articles(spark):
     assert len(by[901].text.split()) == 200_000
 
 
-def test_the_cut_decides_against_looks(duck):
-    """Blocks whose label is another than their own looks give: short lines of articles, fluent text beside them."""
-    cells, pages = Counter(), [h for (h,) in duck.sql("select html from pages").fetchall()]
+def test_the_cut_decides_against_leans(duck, monkeypatch):
+    """Blocks whose label is another than their own lean, looks and evidence together; pages that go through max-flow."""
+    flow, flows = htmltext._flow, []  # noqa: SLF001
+    monkeypatch.setattr(htmltext, "_flow", lambda *a: flows.append(1) or flow(*a))
+    cells, pages = Counter(), [htmltext.Reader(h) for (h,) in duck.sql("select html from pages").fetchall()]
     for p in pages:
-        cells.update((htmltext.cell(b), b.kind == htmltext.MAIN) for b in htmltext.Reader(p).blocks if b.kind in (htmltext.MAIN, htmltext.BESIDE_TEXT))
-    weights, blocks, other = htmltext.learn(dict(cells)), 0, 0
+        cells.update((htmltext.cell(b), b.kind == htmltext.MAIN) for b in p.blocks if b.kind in (htmltext.MAIN, *htmltext.BESIDES))
+    weights, other = htmltext.learn(dict(cells)), 0
     for p in pages:
-        found = htmltext.Reader(p).blocks
-        leans, edges = htmltext.graph(found, weights)
-        cut = htmltext.minimum_cut(leans, edges)[: len(found)]
-        blocks, other = blocks + len(found), other + sum((x > 0) != c for x, c in zip(leans, cut, strict=False))
-        assert cut == [b.kind == htmltext.MAIN for b in found]
-    assert other > 0.05 * blocks
+        leans, edges = htmltext.graph(p, weights)
+        cut = htmltext.minimum_cut(leans, edges)
+        other += sum((x > 0) != c for x, c in zip(leans, cut, strict=True))
+    assert other > 0
+    many = "".join(f"<div><p>{'word ' * k}{mark}</p></div>" for k in range(1, 60) for mark in ("", "."))
+    assert htmltext.main_text(f"<main>{many}<div class=comments>{many}</div></main>", weights).count("\n") == 2 * 59 - 1
+    assert flows
+    # no capacity of a holder outweighs what its blocks can bring against it
+    assert max(map(abs, htmltext.EVIDENCE.values())) <= htmltext.MOST
+
+
+def test_misleading_names_are_outvoted():
+    rnd = random.Random(3)
+    for name in ("sidebar", "promo widget", "related comments", "nav-menu", "ad", "x1 y2"):
+        text = [" ".join("".join(rnd.choice("aeinrst") for _ in range(rnd.randint(2, 9))) for _ in range(rnd.randint(25, 60))) + "." for _ in range(rnd.randint(3, 7))]
+        inside = "".join(f"<p>{x}</p>" for x in [text[0], "A short line", *text[1:]])
+        menu = "".join(f"<div class=c{i}><a href='/{i}'>item {i}</a></div>" for i in range(6))
+        page = f"<body><div class='z9'>{menu}</div><div class='{name}'>{inside}</div><footer><p>{text[0]}</footer></body>"
+        assert htmltext.main_text(page) == "\n".join([text[0], "A short line", *text[1:]])
+        # where the page says what its text is, the same name keeps its word
+        page = f"<body><main><p>{text[1]}</p></main><div class='{name}'><p>{text[2]}</p></div></body>"
+        assert htmltext.main_text(page).startswith(text[1]) and (text[2] in htmltext.main_text(page)) == (name == "x1 y2")
+
+
+def test_deep_and_unclosed_pages():
+    began = time.perf_counter()
+    assert htmltext.main_text("<div>w " * 100_000) is not None
+    assert htmltext.main_text("<div>w " * 20_000 + "</section>" * 20_000 + "<i>" * 20_000 + "<p>x" * 20_000 + "</div>" * 20_000) is not None
+    rnd = random.Random(1)
+    parts = ["<p>a b", "<p>" + "word " * 40 + ".", "<li>x", "<div class=ad><p>" + "word " * 30 + ".</div>"]
+    assert htmltext.main_text("<main>" + "".join(rnd.choice(parts) for _ in range(20_000)) + "</main>")
+    assert time.perf_counter() - began < 60
+
+
+def test_long_lists_stay():
+    items = [f"item {i}" for i in range(3000)]
+    assert htmltext.main_text("<article><h1>t</h1><ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul></article>") == "\n".join(["t", *items])
+    comments = "".join(f"<p>{'a long remark of many words ' * 8}.</p>" for _ in range(20))
+    assert htmltext.main_text(f"<article><p>{'text ' * 30}.</p></article><div class=comments>{comments}</div>") == "text " * 30 + "."
 
 
 def test_looks_decide_without_holders():

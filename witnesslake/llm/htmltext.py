@@ -1,14 +1,16 @@
 """Main text of web pages by minimum-cut labelling of their blocks.
 
 A page becomes blocks of text. A logistic classifier of a block's own text (its
-length, links, last mark and element) costs either label of the block: those are
-the capacities to the two terminals. It is fitted on the pages themselves, where
-blocks of articles and of menus, footers and the like show what both look like.
-Elements that say what they hold are nodes of the graph too, tied to their label
-and, by smoothness capacities, to the blocks in them; blocks that follow each
-other or share a parent are tied as well, the more so the nearer they stand in
-the tree. The minimum cut labels all blocks of a page at once, so a short line
-amid an article stays and a fluent advert goes, against their own looks.
+length, links, last mark and element) costs either label of the block, and so
+does, within bounds, what the element that holds it is or is called: those are
+the capacities to the two terminals. The classifier is fitted on the pages
+themselves, where blocks of articles and of menus, footers and the like show
+what both look like. Blocks that follow each other or share a parent are tied by
+smoothness capacities, the more so the nearer they stand in the tree, and so are
+all blocks of a holder, through a node of its own. The minimum cut labels all
+blocks of a page at once: a short line amid an article stays and a fluent advert
+goes, against their own leans, and a holder's name is outvoted where its blocks
+look otherwise.
 """
 
 from __future__ import annotations
@@ -48,38 +50,68 @@ HAS = re.compile(r"(?:(?<=[\s_-])|^)(?:has|no|with)[_-]\S*")
 WITHIN_NAMES = set("article content entry post story body text main".split())
 
 HEADINGS, LISTED = set("h1 h2 h3 h4 h5 h6".split()), set("li dd dt td th option".split())
-#: The classifier's costs are cut off here; a holder's ties outweigh them.
-MOST = 2.0
-#: Capacities: of a holder to its label (one that only its name makes part of the text may be overruled), and of the ties of a block to its holder.
-SEED, NAMED_SEED, HELD, NAMED_HELD = 1e6, 4.0, 3.0, 1.5
+#: The classifier's costs are cut off here. Flows below TINY are none.
+MOST, TINY = 2.0, 1e-9
 #: Capacities of ties between blocks: those that follow each other, by their distance in the tree, and neighbours of one parent; steps that lie between two holders.
 FOLLOWS, PARENT, BOUNDARY = 1.5, 1.0, 8
 #: Weights where pages show no blocks of one kind: none, words, links, sentence, heading, list item.
 DEFAULT = (-2.0, 1.0, -4.0, 0.7, 1.0, -1.0)
 #: The fit: weight of all blocks of a kind, penalty and steps.
 KIND_WEIGHT, RIDGE, STEPS = 100.0, 1.0, 30
-#: What holds a block.
-NOTHING, NAMED, MAIN, BESIDE_TEXT = 0, 1, 2, 3
+#: What holds a block: nothing that says what it is, a name of text, an element of text, an element beside it, a name beside it.
+NOTHING, NAMED, MAIN, BESIDE_TEXT, BESIDE_NAMED = 0, 1, 2, 3, 4
+
+
+BESIDES = (BESIDE_TEXT, BESIDE_NAMED)
+#: What a holder adds to the lean of each block in it, no more than looks may add; what a name beside adds where no element or name on the page says that it holds the text.
+EVIDENCE, LONE_NAME = {NOTHING: 0.0, NAMED: 1.2, MAIN: 2.0, BESIDE_TEXT: -1.2, BESIDE_NAMED: -1.2}, -0.4
+#: What each block adds to its holder's own capacity, the same for a name on such a page, and the capacity of a block's tie to its holder.
+TRUST, LONE_TRUST, HELD = 1.5, 0.2, 2.0
 
 
 @dataclass
 class Block:
     text: str
-    path: tuple[int, ...]
     linked: float
     tag: str
+    #: The innermost element, its place in Reader.above, and the holder: the element that last changed what is held.
+    element: int
     holder: int
     kind: int
 
 
+@dataclass
+class Open:
+    """An element that is not closed yet."""
+
+    name: str
+    number: int
+    #: In main text by element, by name; beside it by element, by name.
+    main: bool
+    named: bool
+    beside: bool
+    by_name: bool
+    holder: int
+    #: The innermost block element.
+    block: str
+
+    def kind(self) -> int:
+        return kind(self.main, self.named, self.beside, self.by_name)
+
+
 class Reader:
-    """Blocks of a page in its order; markup that isn't closed or is cut off is read as far as it goes."""
+    """Blocks of a page in its order; markup that isn't closed or is cut off is read as far as it goes.
+
+    Time grows with the page alone, however deep its elements stand in each other.
+    """
 
     def __init__(self, page: str) -> None:
         self.blocks: list[Block] = []
-        # (tag, number, in main, named so, beside, named beside, the holder's number)
-        self.stack: list[tuple[str, int, bool, bool, bool, bool, int]] = [("", 0, False, False, False, False, 0)]
-        self.number = 0
+        #: By element its parent and depth.
+        self.above, self.depth = [0], [0]
+        self.stack = [Open("", 0, False, False, False, False, 0, "")]
+        #: How many of each name are open.
+        self.open: Counter[str] = Counter()
         self.parts: list[str] = []
         self.linked = 0
         at = 0
@@ -91,7 +123,7 @@ class Reader:
                 name, rest = name.lower(), m["rest"] or m["rest2"] or ""
                 if m["close"] or m["close2"]:
                     self.end(name)
-                elif SELF_CLOSED.search(rest) and (name in FOREIGN or any(s[0] in FOREIGN for s in self.stack)):
+                elif SELF_CLOSED.search(rest) and (name in FOREIGN or any(self.open[x] for x in FOREIGN)):
                     self.parts.append(" ")
                 elif name in UNREAD:
                     found = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
@@ -107,16 +139,15 @@ class Reader:
     def words(self, raw: str) -> None:
         text = html.unescape(raw) if "&" in raw else raw
         self.parts.append(text)
-        if any(s[0] == "a" for s in self.stack):
+        if self.open["a"]:
             self.linked += len(text)
 
     def flush(self) -> None:
         raw, linked = "".join(self.parts), self.linked
         self.parts, self.linked = [], 0
         if text := " ".join(raw.split()):
-            holder, path = self.stack[-1][6], tuple(s[1] for s in self.stack)
-            block = next((s[0] for s in reversed(self.stack) if s[0] in BLOCKS), "")
-            self.blocks.append(Block(text, path, linked / max(1, len(raw)), block, holder, kind(*self.stack[-1][2:6])))
+            top = self.stack[-1]
+            self.blocks.append(Block(text, linked / max(1, len(raw)), top.block, top.number, top.holder, top.kind()))
 
     def begin(self, name: str, rest: str) -> None:
         if name in BLOCKS:
@@ -128,8 +159,8 @@ class Reader:
             self.parts.append(" ")
         if name in VOID:
             return
-        _, _, main, named, beside, by_name, holder = self.stack[-1]
-        was, within = kind(main, named, beside, by_name), name in WITHIN
+        top = self.stack[-1]
+        main, named, beside, by_name, within = top.main, top.named, top.beside, top.by_name, name in WITHIN
         if rest and name not in ("html", "body"):
             given = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(rest)}
             said = f"{given.get('class', '')} {given.get('id', '')}".lower()
@@ -141,34 +172,50 @@ class Reader:
         # the outermost one only: articles inside the main text's comments are comments
         if within and not main:
             by_name = False
-        self.number += 1
         main, beside = main or within, beside or name in BESIDE or name == "head"
-        if kind(main, named, beside, by_name) != was:
-            holder = self.number
-        self.stack.append((name, self.number, main, named, beside, by_name, holder))
+        number = len(self.above)
+        self.above.append(top.number)
+        self.depth.append(self.depth[top.number] + 1)
+        changed = kind(main, named, beside, by_name) != top.kind()
+        self.stack.append(Open(name, number, main, named, beside, by_name, number if changed else top.holder, name if name in BLOCKS else top.block))
+        self.open[name] += 1
+
+    def close(self, at: int) -> None:
+        for x in self.stack[at:]:
+            self.open[x.name] -= 1
+        del self.stack[at:]
 
     def shut(self, name: str) -> None:
         """Closes an open `name` in the innermost block, as its next like does."""
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i][0] == name:
-                del self.stack[i:]
+        for i in range(len(self.stack) - 1, 0, -1) if self.open[name] else ():
+            if self.stack[i].name == name:
+                self.close(i)
                 return
-            if self.stack[i][0] in BLOCKS:
+            if self.stack[i].name in BLOCKS:
                 return
 
     def end(self, name: str) -> None:
         if name in BLOCKS:
             self.flush()
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i][0] == name:
-                del self.stack[i:]
+        for i in range(len(self.stack) - 1, 0, -1) if self.open[name] else ():
+            if self.stack[i].name == name:
+                self.close(i)
                 return
-            if name not in BLOCKS and self.stack[i][0] in BLOCKS:
+            if name not in BLOCKS and self.stack[i].name in BLOCKS:
                 return
 
+    def apart(self, a: int, b: int) -> int:
+        """Steps between two elements in the tree."""
+        steps = 0
+        while a != b:
+            if self.depth[a] < self.depth[b]:
+                a, b = b, a
+            a, steps = self.above[a], steps + 1
+        return steps
+
 
 def kind(main: bool, named: bool, beside: bool, by_name: bool) -> int:
-    return BESIDE_TEXT if beside or by_name else MAIN if main else NAMED if named else NOTHING
+    return BESIDE_TEXT if beside else BESIDE_NAMED if by_name else MAIN if main else NAMED if named else NOTHING
 
 
 Cell = tuple[int, int, bool, bool, bool]
@@ -203,28 +250,41 @@ def lean(b: Block, weights: tuple[float, ...]) -> float:
     return max(-MOST, min(MOST, sum(w * v for w, v in zip(weights, _row(cell(b)), strict=True))))
 
 
-def ties(blocks: list[Block]) -> list[tuple[int, int, float]]:
-    out, last = [], {}
+def evidence(blocks: list[Block]) -> dict[int, tuple[float, float]]:
+    """What each kind of holder adds to each block's lean and each block to the holder's. A name that says beside weighs less on a page where nothing else is called text."""
+    out = {k: (x, math.copysign(TRUST, x)) for k, x in EVIDENCE.items()}
+    return out if any(b.kind in (MAIN, NAMED) for b in blocks) else out | {BESIDE_NAMED: (LONE_NAME, -LONE_TRUST)}
+
+
+def ties(read: Reader) -> list[tuple[int, int, float]]:
+    """Edges between blocks: those that follow each other, by their distance in the tree, and neighbours of one parent."""
+    out, last, blocks = [], {}, read.blocks
     for i, b in enumerate(blocks):
         if i:
             a = blocks[i - 1]
-            shared = next((k for k, (x, y) in enumerate(zip(a.path, b.path, strict=False)) if x != y), min(len(a.path), len(b.path)))
-            out.append((i - 1, i, FOLLOWS / (1 + len(a.path) + len(b.path) - 2 * shared + BOUNDARY * (a.holder != b.holder))))
-        if (before := last.get((b.path[:-1], b.holder))) is not None:
+            out.append((i - 1, i, FOLLOWS / (1 + read.apart(a.element, b.element) + BOUNDARY * (a.holder != b.holder))))
+        if (before := last.get((read.above[b.element], b.holder))) is not None:
             out.append((before, i, PARENT))
-        last[b.path[:-1], b.holder] = i
+        last[read.above[b.element], b.holder] = i
     return out
 
 
-def graph(blocks: list[Block], weights: tuple[float, ...]) -> tuple[list[float], list[tuple[int, int, float]]]:
-    """Leans and ties of the blocks and, behind them, of their holders."""
-    leans, edges, at = [lean(b, weights) for b in blocks], ties(blocks), {}
+def graph(read: Reader, weights: tuple[float, ...]) -> tuple[list[float], list[tuple[int, int, float]]]:
+    """Leans and ties of the blocks and, behind them, of their holders.
+
+    A block leans by its looks and by what holds it. A holder is a node of its
+    own, tied to all blocks in it: what it says of one block can be outvoted by
+    looks, and of all by the looks of all.
+    """
+    blocks, said = read.blocks, evidence(read.blocks)
+    leans, edges, at = [lean(b, weights) + said[b.kind][0] for b in blocks], ties(read), {}
     for i, b in enumerate(blocks):
         if b.kind != NOTHING:
             if b.holder not in at:
                 at[b.holder] = len(leans)
-                leans.append({NAMED: NAMED_SEED, MAIN: SEED, BESIDE_TEXT: -SEED}[b.kind])
-            edges.append((i, at[b.holder], NAMED_HELD if b.kind == NAMED else HELD))
+                leans.append(0.0)
+            leans[at[b.holder]] += said[b.kind][1]
+            edges.append((i, at[b.holder], HELD))
     return leans, edges
 
 
@@ -264,38 +324,65 @@ def _renumbered(rest: list[int], near: list[dict[int, float]]) -> list[dict[int,
 
 
 def _flow(leans: list[float], near: list[dict[int, float]]) -> list[bool]:
-    """Shortest augmenting paths; the source's side is what it still reaches."""
+    """Maximum flow by blocking flows in levels; the source's side is what it still reaches."""
     n = len(leans)
-    room = [dict(x) for x in near]
-    source, sink = [max(0.0, x) for x in leans], [max(0.0, -x) for x in leans]
+    source, sink = n, n + 1
+    # each edge with its reverse behind it
+    to: list[int] = []
+    room: list[float] = []
+    edges: list[list[int]] = [[] for _ in range(n + 2)]
+
+    def join(a: int, b: int, forth: float, back: float) -> None:
+        for x, y, w in ((a, b, forth), (b, a, back)):
+            edges[x].append(len(to))
+            to.append(y)
+            room.append(w)
+
+    for i, x in enumerate(leans):
+        if x:
+            join(*((source, i) if x > 0 else (i, sink)), abs(x), 0.0)
+    for i, ties_of in enumerate(near):
+        for j, w in ties_of.items():
+            if i < j:
+                join(i, j, w, w)
     while True:
-        came: dict[int, int | None] = {i: None for i in range(n) if source[i] > 1e-12}
-        walk, end = deque(came), None
+        level = [-1] * (n + 2)
+        level[source], walk = 0, deque([source])
         while walk:
             i = walk.popleft()
-            if sink[i] > 1e-12:
-                end = i
+            for e in edges[i]:
+                if room[e] > TINY and level[to[e]] < 0:
+                    level[to[e]] = level[i] + 1
+                    walk.append(to[e])
+        if level[sink] < 0:
+            return [x >= 0 for x in level[:n]]
+        # every way along the levels, each dead end left once
+        tried, path, at = [0] * (n + 2), [], source
+        while True:
+            if at == sink:
+                much = min(room[e] for e in path)
+                for e in path:
+                    room[e] -= much
+                    room[e ^ 1] += much
+                full = next(k for k, e in enumerate(path) if room[e] <= TINY)
+                at = to[path[full] ^ 1]
+                del path[full:]
+                continue
+            while tried[at] < len(edges[at]) and not (room[e := edges[at][tried[at]]] > TINY and level[to[e]] == level[at] + 1):
+                tried[at] += 1
+            if tried[at] < len(edges[at]):
+                path.append(edges[at][tried[at]])
+                at = to[path[-1]]
+            elif path:
+                at = to[path.pop() ^ 1]
+                tried[at] += 1
+            else:
                 break
-            for j, w in room[i].items():
-                if w > 1e-12 and j not in came:
-                    came[j] = i
-                    walk.append(j)
-        if end is None:
-            return [i in came for i in range(n)]
-        path, i = [end], end
-        while (i := came[i]) is not None:
-            path.append(i)
-        much = min(sink[end], source[path[-1]], *(room[b][a] for a, b in zip(path, path[1:], strict=False)))
-        sink[end] -= much
-        source[path[-1]] -= much
-        for a, b in zip(path, path[1:], strict=False):
-            room[b][a] -= much
-            room[a][b] = room[a].get(b, 0) + much
 
 
 def main_text(page: str | None, weights: tuple[float, ...] = DEFAULT) -> str:
-    blocks = Reader(page or "").blocks
-    return "\n".join(b.text for b, k in zip(blocks, minimum_cut(*graph(blocks, weights)), strict=False) if k)
+    read = Reader(page or "")
+    return "\n".join(b.text for b, k in zip(read.blocks, minimum_cut(*graph(read, weights)), strict=False) if k)
 
 
 def fit(pages: DataFrame) -> tuple[float, ...]:
@@ -305,7 +392,7 @@ def fit(pages: DataFrame) -> tuple[float, ...]:
         seen: Counter[tuple[Cell, bool]] = Counter()
         for batch in batches:
             for page in batch["html"]:
-                seen.update((cell(b), b.kind == MAIN) for b in Reader(page or "").blocks if b.kind in (MAIN, BESIDE_TEXT))
+                seen.update((cell(b), b.kind == MAIN) for b in Reader(page or "").blocks if b.kind in (MAIN, *BESIDES))
         yield pd.DataFrame([(*c, y, n) for (c, y), n in seen.items()], columns=["words", "linked", "sentence", "heading", "listed", "y", "n"])
 
     keys = ["words", "linked", "sentence", "heading", "listed", "y"]
