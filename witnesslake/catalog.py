@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from witnesslake.functions import geometry, text
-from witnesslake.operators import attention, evaluation, exposure, incidents, log, rules, spatial, state
+from witnesslake.operators import attention, evaluation, exposure, incidents, log, ordered, rules, spatial, state
 from witnesslake.sources import jsonlog, views
 from witnesslake.sources.views import table
 from witnesslake.streaming import stateful
@@ -49,7 +49,7 @@ def query(sql: str | None = None):  # noqa: ANN201
 
 
 def _obs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.observations(spark, sf_dir, placed=False)
+    return views.observations(spark, sf_dir).drop("log_position")
 
 
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -297,8 +297,9 @@ _PAIR = "select a.observation_id as a_id, b.observation_id as b_id, a.x1 as ax1,
     select a_id, b_id, round(i / (p + q - i), 6) as iou, round(least(1, sqrt(pow((ax1 + ax2 - bx1 - bx2) / 2, 2) + pow((ay1 + ay2 - by1 - by2) / 2, 2)) / sqrt(2)), 6) as distance, round(1 - least(p, q) / greatest(p, q), 6) as penalty from m""")
 def box_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each box with its camera's next."""
-    order = "over (partition by camera_id order by log_position)"
-    pairs = _log(spark, sf_dir).select("observation_id", *(F.col(c).alias(f"a{c}") for c in ("x1", "y1", "x2", "y2")), F.expr(f"lead(observation_id) {order}").alias("b_id"), *(F.expr(f"lead({c}) {order}").alias(f"b{c}") for c in ("x1", "y1", "x2", "y2"))).where("b_id is not null")
+    box = F.struct("observation_id", "x1", "y1", "x2", "y2")
+    beside = ordered.neighbours(_obs(spark, sf_dir).select("camera_id", "t_ns", "event_id", box.alias("box")), "camera_id", "event_id", "box").where("next is not null")
+    pairs = beside.select("box.observation_id", F.col("next.observation_id").alias("b_id"), *(F.col(f"{of}.{c}").alias(f"{side}{c}") for side, of in (("a", "box"), ("b", "next")) for c in ("x1", "y1", "x2", "y2")))
     return pairs.select(F.col("observation_id").alias("a_id"), "b_id", F.round(geometry.iou("a", "b"), 6).alias("iou"), F.round(geometry.centre_distance("a", "b"), 6).alias("distance"), F.round(geometry.scale_penalty("a", "b"), 6).alias("penalty"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from witnesslake.operators import ordered
+from witnesslake.sources import store
 
 RING, ATTRIBUTE_RING, CLASS_RING = 64, 8, 16
 
@@ -48,6 +49,8 @@ def coverage_gaps(obs: DataFrame, since: int, until: int) -> DataFrame:
     """Each camera's blind intervals clipped to a window: an error opens one, the next other fact closes it."""
     status = obs.select("camera_id", "t_ns", "event_id", (F.col("kind") == "coverage").alias("blind"))
     edges = ordered.neighbours(status, "camera_id", "event_id", "blind").where("previous is null or previous <> blind").drop("previous", "next")
+    # changes of status are few, so they are stored rather than found anew for each side of the next step
+    edges = store.cut(edges)
     spans = ordered.neighbours(edges, "camera_id", "event_id", "t_ns").where("blind").withColumnRenamed("next", "until_ns")
     clipped = spans.select("camera_id", F.greatest("t_ns", F.lit(since)).alias("since_ns"), F.least(F.coalesce("until_ns", F.lit(until)), F.lit(until)).alias("until_ns"))
     return clipped.where("until_ns > since_ns")

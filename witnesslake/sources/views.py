@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from witnesslake.operators import ordered
+from witnesslake.sources import store
 
 #: An attribute value stays valid for a day.
 DAY_NS = 86_400 * 10**9
@@ -29,7 +30,10 @@ def _pick(values: tuple[str, ...], at: Column) -> Column:
 
 
 def observations(spark: SparkSession, sf_dir: str, placed: bool = True) -> DataFrame:
-    """The log: identity, time, class, box and attribute of each observation and, if `placed`, its position within its camera."""
+    """The log: identity, time, class, box and attribute of each observation and, if `placed`, its position within its camera.
+
+    Positions are assigned once, as by an append, and stored with the log.
+    """
     events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", F.regexp_extract("props", r"(\d+)", 1).cast("int").alias("k"))
     u = F.col("user_id")
     x1, y1 = (F.col("k") % 10).cast("double") / 12, F.floor(F.col("k") / 10).cast("double") / 12
@@ -41,7 +45,15 @@ def observations(spark: SparkSession, sf_dir: str, placed: bool = True) -> DataF
         F.concat(F.lit("a"), F.col("k") % 5).alias("attr_key"), _pick(STATES, F.col("k")).alias("attr_value"), "event_id",
     )
     facts = facts.withColumn("valid_until_ns", F.col("t_ns") + DAY_NS)
-    return ordered.numbered(facts, "camera_id", "event_id", "log_position") if placed else facts
+    if not placed:
+        return facts
+
+    def log() -> DataFrame:
+        # in the log's order, so scans of a camera, its positions or its times skip most row groups
+        numbered = ordered.numbered(facts, "camera_id", "event_id", "log_position")
+        return numbered.repartition("camera_id", F.expr(f"t_ns div {DAY_NS}")).sortWithinPartitions("camera_id", "log_position")
+
+    return store.made_once(spark, f"{sf_dir}/events.parquet", "log", log)
 
 
 def attributes(obs: DataFrame) -> DataFrame:
