@@ -427,7 +427,9 @@ def suppression_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stateful.suppress(_facts(spark, sf_dir), 1 << 62).groupBy("subject").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""select subject, t_ns, ordinal from (with recursive f as (select object_id || '/' || attr_key as subject, t_ns, event_id as ordinal, attr_value as digest, row_number() over (partition by object_id, attr_key order by t_ns, event_id) as rn from attrs),
+    r as (select subject, rn, t_ns, ordinal, t_ns as last, digest, true as sent from f where rn = 1 union all select subject, rn, t_ns, ordinal, case when sends then t_ns else last end, case when sends then now else held end, sends from (
+        select f.subject, f.rn, f.t_ns, f.ordinal, r.last, r.digest as held, f.digest as now, f.digest <> r.digest or f.t_ns - r.last >= {views.DAY_NS} as sends from r join f on f.subject = r.subject and f.rn = r.rn + 1)) select * from r where sent)""")
 def suppression_heartbeat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stateful.suppress(_facts(spark, sf_dir), views.DAY_NS)
 
@@ -436,22 +438,28 @@ def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _obs(spark, sf_dir).select("camera_id", "t_ns", F.col("event_id").alias("ordinal"), (F.col("k") % 3 == 0).alias("failed"))
 
 
-@query()
+@query("""select camera_id, t_ns, ordinal from (with recursive f as (select camera_id, t_ns, event_id as ordinal, k % 3 = 0 as failed, row_number() over (partition by camera_id order by t_ns, event_id) as rn from obs), r as (select camera_id, rn, t_ns, ordinal, t_ns as last, true as kept from f where rn = 1 union all select f.camera_id, f.rn, f.t_ns, f.ordinal, case when f.t_ns - r.last >= 2000000000000 then f.t_ns else r.last end, f.t_ns - r.last >= 2000000000000 from r join f on f.camera_id = r.camera_id and f.rn = r.rn + 1) select * from r where kept)""")
 def frame_sampler(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stateful.sample_frames(_frames(spark, sf_dir), 0.0005)
 
 
-@query()
+@query("""select camera_id, t_ns, ordinal from (with recursive f as (select camera_id, t_ns, event_id as ordinal, k % 3 = 0 as failed, row_number() over (partition by camera_id order by t_ns, event_id) as rn from obs), r as (select camera_id, rn, t_ns, ordinal, t_ns as since, 2.0 as tokens, true as kept from f where rn = 1
+        union all select camera_id, rn, t_ns, ordinal, since, case when tokens >= 1 then tokens - 1 else tokens end, tokens >= 1 from (select f.camera_id, f.rn, f.t_ns, f.ordinal, r.since + w * 3600000000000 as since, case when w > 0 then least(3.0, r.tokens + w * 3.0) else r.tokens end as tokens from r join f on f.camera_id = r.camera_id and f.rn = r.rn + 1, lateral (select (f.t_ns - r.since) // 3600000000000 as w)))
+    select * from r where kept)""")
 def token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stateful.token_bucket(_frames(spark, sf_dir), 3, 3600 * 10**9)
 
 
-@query()
+@query("""select camera_id, t_ns, ordinal, passed from (with recursive f as (select camera_id, t_ns, event_id as ordinal, k % 3 = 0 as failed, row_number() over (partition by camera_id order by t_ns, event_id) as rn from obs), r as (select camera_id, rn, t_ns, ordinal, [t_ns] as held, true as passed from f where rn = 1
+        union all select camera_id, rn, t_ns, ordinal, case when len(held) < 20 then list_append(held, t_ns) else held end, len(held) < 20 from (select f.camera_id, f.rn, f.t_ns, f.ordinal, list_filter(r.held, lambda x: x > f.t_ns - 86400000000000) as held from r join f on f.camera_id = r.camera_id and f.rn = r.rn + 1))
+    select * from r)""")
 def rate_limiter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stateful.rate_limited(_frames(spark, sf_dir), 20, views.DAY_NS)
 
 
-@query()
+@query("""select camera_id, t_ns, ordinal, passed from (with recursive f as (select camera_id, t_ns, event_id as ordinal, k % 3 = 0 as failed, row_number() over (partition by camera_id order by t_ns, event_id) as rn from obs), r as (select camera_id, rn, t_ns, ordinal, cast(failed as int) as failures, cast(0 as bigint) as open_until, true as passed from f where rn = 1
+        union all select camera_id, rn, t_ns, ordinal, case when not through then failures when n >= 3 then 0 else n end, case when through and n >= 3 then t_ns + 7200000000000 else open_until end, through from (select f.camera_id, f.rn, f.t_ns, f.ordinal, r.failures, r.open_until, f.t_ns >= r.open_until as through, case when f.failed then r.failures + 1 else 0 end as n from r join f on f.camera_id = r.camera_id and f.rn = r.rn + 1))
+    select * from r)""")
 def circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stateful.breaker(_frames(spark, sf_dir), 3, 7200 * 10**9)
 
