@@ -11,7 +11,7 @@ import pytest
 from tests.conftest import SF, rows_of
 from witnesslake import catalog
 from witnesslake.operators import automaton, motion
-from witnesslake.streaming import lifecycle, registry
+from witnesslake.streaming import lifecycle, registry, stateful
 
 S = 10**9
 COLUMNS = [c.split()[0] for c in registry.FACTS.split(", ")]
@@ -261,6 +261,23 @@ def test_lives_stream_equals_batch(spark, rocks, tmp_path):
     assert {x[4] for x in got} == {"provisional", "active", "occluded", "dormant", "departed", "expired"}
 
 
+def test_timed_suppression_equals_batch(spark, rocks, tmp_path):
+    draw = random.Random(8)
+    rows = [(f"s{i % 4}", draw.randint(1, 90) * S // 2, i, draw.choice("aab"), draw.random() < 0.1) for i in range(160)]
+    schema = "subject string, t_ns long, ordinal long, digest string, always boolean"
+    frame = lambda x: spark.createDataFrame(x, schema)
+    late = sorted(rows, key=lambda r: r[1] + draw.randint(0, 4 * S))
+    files = [late[:80], late[80:], [("z", 5000 * S, 0, "a", False)], [("z", 9000 * S, 1, "a", False)]]
+    got = [tuple(r) for r in drained(spark, frame, tmp_path, lambda s: stateful.timed_suppression(s, 5 * S, "6 seconds"), files) if r.subject != "z"]
+    last, want = {}, []
+    for sub, t, n, d, always in sorted(rows, key=lambda r: (r[1], r[2])):
+        if always or sub not in last or last[sub][1] != d or t - last[sub][0] >= 5 * S:
+            last[sub] = (t, d)
+            want.append((sub, t, n))
+    assert sorted(got) == sorted(want) and len(want) < len(rows)
+    assert sorted(map(tuple, stateful.suppress(frame(rows), 5 * S).collect())) == sorted(want)
+
+
 def test_automaton_in_any_spans(spark):
     draw = random.Random(7)
     rows = [(g, t * S, i, draw.choice([0, 1, None])) for g in ("hot", "hot", "hot", "cold", None) for i, t in enumerate(range(200))]

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 HEARTBEAT_NS = 30 * 10**9
@@ -107,20 +108,70 @@ def breaker(calls: DataFrame, failures: int = 3, cooldown_ns: int = 30 * 10**9)
 
 
 def suppress_stream(facts: DataFrame, heartbeat_ns: int = HEARTBEAT_NS) -> DataFrame:
-    """suppress on a stream: the last published fact of each subject is its state."""
+    """suppress on a stream that arrives in order: the last published fact of each subject is its state, for good. timed_suppression() needs neither."""
+    always = F.coalesce("always", F.lit(False)) if "always" in facts.columns else F.lit(False)
 
     def publish(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).sort_values(["t_ns", "ordinal"])
         last, out = (state.get if state.exists else None), []
         for row in rows.itertuples(index=False):
-            if admit(last, row.t_ns, row.digest, heartbeat_ns):
+            if row.always or admit(last, row.t_ns, row.digest, heartbeat_ns):
                 last = (row.t_ns, row.digest)
                 out.append((key[0], row.t_ns, row.ordinal))
         if last is not None:
             state.update(last)
         yield pd.DataFrame(out, columns=["subject", "t_ns", "ordinal"])
 
-    return facts.groupBy("subject").applyInPandasWithState(publish, "subject string, t_ns long, ordinal long", "t_ns long, digest string", "append", GroupStateTimeout.NoTimeout)
+    given = facts.select("subject", "t_ns", "ordinal", "digest", always.alias("always"))
+    return given.groupBy("subject").applyInPandasWithState(publish, "subject string, t_ns long, ordinal long", "t_ns long, digest string", "append", GroupStateTimeout.NoTimeout)
+
+
+class _Suppression(StatefulProcessor):
+    """Facts wait until the watermark has passed them. What was last published is forgotten a heartbeat later: from then on the next fact is published in any case."""
+
+    def __init__(self, heartbeat_ns: int) -> None:
+        self.heartbeat_ns = heartbeat_ns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "t_ns long, ordinal long", "digest string, always boolean")
+        self.last = handle.getValueState("last", "t_ns long, digest string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803, ARG002
+        for batch in rows:
+            for r in batch.itertuples(index=False):
+                self.waiting.updateValue((int(r.t_ns), int(r.ordinal)), (r.digest, bool(r.always)))
+            for at in {-(-int(t) // 10**6) for t in batch["t_ns"].unique()}:
+                self.handle.registerTimer(at)
+        yield pd.DataFrame([], columns=["subject", "t_ns", "ordinal"])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        until = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) * 10**6
+        last, out = self.last.get() if self.last.exists() else None, []
+        for (t_ns, ordinal), (digest, always) in sorted((tuple(k), tuple(v)) for k, v in self.waiting.iterator() if k[0] <= until):
+            if always or admit(last, t_ns, digest, self.heartbeat_ns):
+                last = (t_ns, digest)
+                out.append((key[0], t_ns, ordinal))
+            self.waiting.removeKey((t_ns, ordinal))
+        if last is not None and last[0] + self.heartbeat_ns > until:
+            self.last.update(tuple(last))
+            self.handle.registerTimer(-(-(last[0] + self.heartbeat_ns) // 10**6))
+        else:
+            self.last.clear()
+        yield pd.DataFrame(out, columns=["subject", "t_ns", "ordinal"])
+
+    def close(self) -> None:
+        pass
+
+
+def timed_suppression(facts: DataFrame, heartbeat_ns: int = HEARTBEAT_NS, late: str = "10 seconds") -> DataFrame:
+    """suppress on a stream in any order of arrival within `late`; a subject that is silent for a heartbeat holds no state.
+
+    An ordinal must be one of its kind within a subject and time. The state store must be one that transformWithState takes (RocksDB).
+    """
+    always = F.coalesce("always", F.lit(False)) if "always" in facts.columns else F.lit(False)
+    given = facts.where("subject is not null and t_ns is not null").select("subject", "t_ns", "ordinal", "digest", always.alias("always"), F.timestamp_micros(F.expr("t_ns div 1000")).alias("ts"))
+    return given.withWatermark("ts", late).groupBy("subject").transformWithStateInPandas(_Suppression(heartbeat_ns), "subject string, t_ns long, ordinal long", "append", "EventTime")
 
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
