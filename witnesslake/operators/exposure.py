@@ -156,3 +156,10 @@ def summary(rows: DataFrame, by: str, value: str, fractions: dict[str, float] |
     ranked = counts.withColumn("upto", F.expr(f"sum(c) over (partition by {by}, name order by v)"))
     found = ranked.where(F.col("upto") >= F.col("within")).groupBy(by).pivot("name", list(fractions)).agg(F.min("v"))
     return upto.groupBy(by).agg(F.max("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most")).join(found, by)
+
+
+def first_medians(samples: DataFrame) -> DataFrame:
+    """samples(name, series, value) to name and p50: the median, by the index rule, of the name's first series in order that has samples."""
+    series = samples.groupBy("name").agg(F.min(F.when(F.col("value").isNotNull(), F.col("series"))).alias("first")).withColumnRenamed("name", "n_")
+    chosen = samples.join(series, (F.col("name") == F.col("n_")) & (F.col("series") == F.col("first")), "left_semi")
+    return summary(chosen.withColumnRenamed("name", "of_"), "of_", "value", {"p50": 0.5}).select(F.col("of_").alias("name"), "p50")

@@ -30,10 +30,13 @@ def evidence_status(records: DataFrame, tombstones: DataFrame) -> DataFrame:
     return records.join(t, F.col("ref") == F.col("gone"), "left").withColumn("status", status).drop("gone")
 
 
-def acknowledge(incidents: DataFrame, ids: list, actor: str) -> DataFrame:
-    """Active incidents of the ids become acknowledged; acknowledged ones stay as they are, resolved ones too."""
-    hit = F.col("incident_id").isin(ids) & (F.col("status") == "active")
-    return incidents.withColumn("acknowledged_by", F.when(hit, actor).otherwise(F.col("acknowledged_by"))).withColumn("status", F.when(hit, "acknowledged").otherwise(F.col("status")))
+def acknowledge(incidents: DataFrame, ids: DataFrame, actor: str) -> DataFrame:
+    """Active incidents of ids(incident_id) become acknowledged; acknowledged ones stay as they are, resolved ones too."""
+    named = ids.select(F.col("incident_id").alias("i_")).where("i_ is not null").distinct()
+    marked = incidents.join(named, F.col("incident_id") == F.col("i_"), "left")
+    hit = F.col("i_").isNotNull() & (F.col("status") == "active")
+    out = marked.withColumn("acknowledged_by", F.when(hit, actor).otherwise(F.col("acknowledged_by")))
+    return out.withColumn("status", F.when(hit, "acknowledged").otherwise(F.col("status"))).drop("i_")
 
 
 def sweep(records: DataFrame, now: str, erase: bool) -> DataFrame:

@@ -205,10 +205,11 @@ def counter_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.where("name = 'attribute'").groupBy(F.element_at("labels", "camera").alias("label")).agg(F.sum("value").alias("total"))
 
 
-@query("select kind as name, arg_min(round(value, 6), event_id) as p50 from obs where k > 0 group by 1")
+@query("""select kind as name, round(list_sort(list(value))[least(count(*) - 1, cast(floor(0.5 * count(*)) as bigint)) + 1], 6) as p50 from obs join (select kind as q, min(class_id || '/' || camera_id) as s from obs where value is not null group by 1) on q = kind and s = class_id || '/' || camera_id where value is not null group by 1""")
 def histogram_p50(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The median of a name's first histogram that counted anything."""
-    return _obs(spark, sf_dir).where("k > 0").groupBy(F.col("kind").alias("name")).agg(F.min_by(F.round("value", 6), "event_id").alias("p50"))
+    """The median of each name's first histogram that counted anything; a histogram is a class's on a camera."""
+    samples = _obs(spark, sf_dir).select(F.col("kind").alias("name"), F.concat_ws("/", "class_id", "camera_id").alias("series"), "value")
+    return exposure.first_medians(samples).select("name", F.round("p50", 6).alias("p50"))
 
 
 @query("select camera_id, t_ns // 3600000000000 as hour, round(least(4, count(*) / 3600.0::double / 0.0002), 9) as pressure, round(least(1, count(*) / (3600 * 0.0005::double)), 9) as effective_rate from obs group by 1, 2")

@@ -27,11 +27,11 @@ def incident_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply_findings(rules.findings(_judged(spark, sf_dir)), F.lit(JUDGED)).select("rule_id", "object_id", "action")
 
 
-@query("select o_orderkey as incident_id, case when o_orderstatus = 'F' then 'resolved' when o_orderstatus = 'P' or o_orderkey % 5 = 0 then 'acknowledged' else 'active' end as status, case when o_orderstatus = 'P' then 'before' when o_orderstatus = 'O' and o_orderkey % 5 = 0 then 'clerk' end as acknowledged_by from orders where o_orderkey < 500")
+@query("select o_orderkey as incident_id, case when o_orderstatus = 'F' then 'resolved' when o_orderstatus = 'P' or o_orderkey % 5 = 0 then 'acknowledged' else 'active' end as status, case when o_orderstatus = 'P' then 'before' when o_orderstatus = 'O' and o_orderkey % 5 = 0 then 'clerk' end as acknowledged_by from orders")
 def incidents_acknowledged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where("o_orderkey < 500")
+    o = table(spark, sf_dir, "orders")
     given = o.select(F.col("o_orderkey").alias("incident_id"), F.when(F.col("o_orderstatus") == "F", "resolved").when(F.col("o_orderstatus") == "P", "acknowledged").otherwise("active").alias("status"), F.when(F.col("o_orderstatus") == "P", "before").alias("acknowledged_by"))
-    return incidents.acknowledge(given, list(range(0, 500, 5)), "clerk").select("incident_id", "status", "acknowledged_by")
+    return incidents.acknowledge(given, given.where("incident_id % 5 = 0").select("incident_id"), "clerk").select("incident_id", "status", "acknowledged_by")
 
 
 _SERIES = "select kind as name, camera_id as c, case when k % 3 = 0 then class_id end as l, k::double as value from obs"
