@@ -64,6 +64,10 @@ def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_quality, op2_url_filter, op3_neighbours, op4_decontamination, op5_secrets, op6_html, op7_line_dedup, op8_shards, op9_bpe, op10_simhash, op11_warc, op12_audit, op13_alignment)}
 
 ORACLES = {
+    "op11_warc": """
+        with p as (select page_id, coalesce(html, '') as h from pages), g as (select page_id, cast(strlen(h) as bigint) as n, sha1(h) as d, max(page_id) over (partition by h) as latest from p)
+        select page_id, n as payload_bytes, d as payload_digest, case when n >= 1000 and page_id <> latest then 'revisit' else 'response' end as record_type, case when n >= 1000 and page_id <> latest then latest end as refers_to from g
+    """,
     "op12_audit": r"""
         with d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t from documents),
         w as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as ws, min(doc_id) over (partition by t) as least from d),
