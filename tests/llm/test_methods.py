@@ -312,6 +312,22 @@ def test_large_groups_are_tried_first(spark, monkeypatch):
     assert got == want
 
 
+def test_prefixes_are_sorted_as_plain_numbers(spark, tmp_path):
+    """Stored words may be null by their type; their places in the order may not, else they are sorted as boxed values."""
+    linededup._hashed(spark.createDataFrame([(1, "one two three four five six")], "doc_id long, text string")).write.parquet(f"{tmp_path}/hashed")
+    hashed = spark.read.parquet(f"{tmp_path}/hashed")
+    assert not linededup._sets(hashed, linededup._levels(hashed)).schema["prefix"].dataType.containsNull
+
+
+def test_any_similar_earlier_set_is_enough(spark):
+    """The pair of a later set that is verified first may fail where another does not."""
+    lines = ["a b c d e f g h i j", "k l m n o p q r s t", "k l m n o p q r s u", "v w x y z"]
+    docs = spark.createDataFrame([(i, line) for i, line in enumerate(lines)], "doc_id long, text string")
+    sets = docs.selectExpr("doc_id + 1 as sid", "struct(doc_id, xxhash64(text) as h, 0 as line) as first")
+    pairs = spark.createDataFrame([(3, 1), (2, 3), (4, 1)], "sid long, other long")
+    assert [r.sid for r in linededup._verified(pairs, sets, docs).collect()] == [3]
+
+
 def test_heavy_sets_are_joined_apart(spark, monkeypatch):
     monkeypatch.setattr(linededup, "BROADCAST_ROWS", 5)
     monkeypatch.setattr(linededup, "HEAVY_SHARE", 0.2)

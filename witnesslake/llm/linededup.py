@@ -18,6 +18,7 @@ only add a pair, which the verification then drops.
 from __future__ import annotations
 
 from functools import reduce
+from math import log2
 from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
@@ -79,7 +80,8 @@ def _levels(hashed: DataFrame) -> Column:
 def _sets(hashed: DataFrame, levels: Column) -> DataFrame:
     """(sid, first, copies, n, sig, half, prefix): each distinct set with its first line, its number of lines, size, signature and rarest words."""
     n = F.size("words")
-    rarest = F.sort_array(F.transform("words", lambda k: F.coalesce(F.get(levels, k.bitwiseAND(BUCKETS - 1)), F.lit(0).cast("long")) * (1 << HASH_BITS) + k))
+    # values that are never null, by their type as well, are sorted as plain numbers
+    rarest = F.sort_array(F.transform("words", lambda k: F.coalesce(F.shiftleft(F.get(levels, k.bitwiseAND(BUCKETS - 1)), HASH_BITS) + k, F.lit(0).cast("long"))))
     # a bit is set if an odd number of words falls on it: bits of two sets differ for words that only one of them has
     sig = F.expr("aggregate(words, 0L, (a, k) -> a ^ shiftleft(1L, k))")
     half = F.expr("aggregate(words, 0L, (a, k) -> if((k & 64) = 0, a, a ^ shiftleft(1L, k)))")
@@ -113,6 +115,8 @@ def _tried(contents: DataFrame) -> DataFrame:
     """
     last = F.greatest(F.lit(1), F.size("prefix") + 1 - TRIED_WORDS)
     rare = contents.select("sid", "doc", "n", "sig", "half", F.explode(F.slice("prefix", last, TRIED_WORDS)).alias("word"))
+    # a word of so many sets is in as many lines, so its level tells most small groups without counting them
+    rare = rare.where(F.col("word") >= (int(LEVELS * log2(TRIED_GROUP)) - 1 << HASH_BITS))
     large = stored(rare.groupBy("word").agg(F.count("*").alias("sets")).where(F.col("sets") >= TRIED_GROUP))
     rare = rare.join(_small(large), "word").withColumn("part", F.pmod("sid", F.ceil(F.col("sets") / TRIED_PART)))
     by = Window.partitionBy("word", "part").orderBy("doc", "sid")
@@ -152,8 +156,18 @@ def _left(contents: DataFrame, share: int) -> DataFrame:
     return first.select("sid", F.col("o_sid").alias("other")).union(second.select("sid", "o_sid")).distinct()
 
 
+def _similar(pairs: DataFrame, words: DataFrame) -> DataFrame:
+    """The later sets of those pairs (later, earlier) whose words have a similarity of 0.8 or more."""
+    both = pairs.join(words.toDF("later", "mine"), "later").join(words.toDF("earlier", "theirs"), "earlier")
+    shared = F.size(F.array_intersect("mine", "theirs"))
+    return both.where(9 * shared >= 4 * (F.size("mine") + F.size("theirs"))).select(F.col("later").alias("sid")).distinct()
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of pairs (sid, other) with a similarity of 0.8 or more, the later sets."""
+    """Of pairs (sid, other) with a similarity of 0.8 or more, the later sets.
+
+    One similar earlier set is enough: one pair of each later set is verified first, the others only where that one fails.
+    """
     wanted = pairs.select("sid").union(pairs.select("other")).distinct()
     places = sets.select("sid", "first").join(_small(wanted), "sid")
     # the lines wanted of one document, which is split once for all of them
@@ -162,12 +176,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     at = at.select("lines", F.explode("asked").alias("a")).select("a.sid", F.array_distinct(_words(F.get("lines", F.col("a.first.line")))).alias("words"), "a.first")
     # documents may be repeated
     at = stored(at.groupBy("sid").agg(F.first("words").alias("words"), F.first("first").alias("first")))
-    mine, theirs = at.toDF("sid", "mine", "first"), at.toDF("other", "theirs", "o_first")
-    both = pairs.join(mine, "sid").join(theirs, "other")
-    shared = F.size(F.array_intersect("mine", "theirs"))
-    both = both.where(9 * shared >= 4 * (F.size("mine") + F.size("theirs")))
-    out = stored(both.select(F.when(F.col("o_first") < F.col("first"), F.col("sid")).otherwise(F.col("other")).alias("sid")).distinct())
-    discard(asked, at)
+    first = at.select("sid", "first")
+    both = pairs.join(first, "sid").join(first.toDF("other", "o_first"), "other")
+    swapped = F.col("o_first") < F.col("first")
+    ordered = stored(both.select(F.when(swapped, F.col("sid")).otherwise(F.col("other")).alias("later"), F.when(swapped, F.col("other")).otherwise(F.col("sid")).alias("earlier")))
+    words = at.select("sid", "words")
+    sure = stored(_similar(ordered.groupBy("later").agg(F.min("earlier").alias("earlier")), words))
+    rest = ordered.join(_small(sure.toDF("later")), "later", "left_anti")
+    out = stored(sure.union(_similar(rest, words)))
+    discard(asked, at, ordered, sure)
     return out
 
 
