@@ -328,6 +328,43 @@ def test_any_similar_earlier_set_is_enough(spark):
     assert [r.sid for r in linededup._verified(pairs, sets, docs).collect()] == [3]
 
 
+def test_pairs_met_in_several_passes_are_verified_once(spark, monkeypatch):
+    """Near copies share words of every pass; each of their pairs is handed on once, and sets are written once."""
+    asked, written, verified, store = [], [], linededup._verified, linededup.stored
+
+    def counted(pairs, sets, docs):
+        asked.append((pairs.count(), pairs.distinct().count()))
+        return verified(pairs, sets, docs)
+
+    def noted(df, random=False):
+        written.append(df.columns)
+        return store(df, random)
+
+    monkeypatch.setattr(linededup, "_verified", counted)
+    monkeypatch.setattr(linededup, "stored", noted)
+    docs = spark.createDataFrame([(i, " ".join([*(f"word{k}" for k in range(40)), f"new{i}"])) for i in range(12)], "doc_id long, text string")
+    got = {r.doc_id: r.removed for r in linededup.report(docs).collect()}
+    assert got == {i: "0" if i else "" for i in range(12)}
+    assert all(rows == different for rows, different in asked)
+    assert asked[-1][0] == 66
+    assert sum("prefix" in columns for columns in written) == 1
+
+
+def test_many_matched_sets_are_written_down(spark, monkeypatch):
+    """Above BROADCAST_ROWS the sets matched early are told by a table of their own; the result is the same."""
+    monkeypatch.setattr(linededup, "TRIED_GROUP", 4)
+    rnd = random.Random(5)
+    texts = []
+    for i in range(60):
+        words = [f"word{k}" for k in range(30)]
+        words[rnd.randrange(30)] = f"new{i}"
+        texts.append((i, " ".join(words) + f"\nline {i} of its own has other{i} words{i} in{i}"))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    few = {r.doc_id: r.removed for r in linededup.report(docs).collect()}
+    monkeypatch.setattr(linededup, "BROADCAST_ROWS", 3)
+    assert {r.doc_id: r.removed for r in linededup.report(docs).collect()} == few == {i: "0" if i else "" for i in range(60)}
+
+
 def test_heavy_sets_are_joined_apart(spark, monkeypatch):
     monkeypatch.setattr(linededup, "BROADCAST_ROWS", 5)
     monkeypatch.setattr(linededup, "HEAVY_SHARE", 0.2)

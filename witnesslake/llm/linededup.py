@@ -44,6 +44,8 @@ PASSES = 2
 BROADCAST_ROWS = 500_000
 #: Sets that stand on more than this share of all lines are broadcast apart: there are at most as many as fit into the whole.
 HEAVY_SHARE = 1 / 2000
+#: Keys of a partial sum that Spark's fast map holds, as a power of two: all BUCKETS.
+FAST_KEYS, FAST_KEYS_BITS = "spark.sql.codegen.aggregate.fastHashMap.capacityBit", "18"
 NONE = "array<int>"
 
 
@@ -62,7 +64,7 @@ def _hashed(docs: DataFrame) -> DataFrame:
     """(doc_id, h, line, sid, words): each line that has words, with its set's id and its distinct words as hashes."""
     split = docs.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(_lines(F.col("text"))).alias("line", "said"))
     # lines without words go before their hashes are made: a condition on those would make them twice
-    split = split.where(F.col("said").rlike("[^ ]")).select("*", F.sort_array(F.array_distinct(F.transform(_words(F.col("said")), lambda w: F.hash(w)))).alias("words"))
+    split = split.where(F.ltrim("said") != "").select("*", F.sort_array(F.array_distinct(F.transform(_words(F.col("said")), lambda w: F.hash(w)))).alias("words"))
     sid = F.when(F.size("words") < SHORT, F.xxhash64(F.sort_array(F.array_distinct(_words(F.col("said")))))).otherwise(F.xxhash64("words"))
     return split.select("doc_id", "h", "line", sid.alias("sid"), "words")
 
@@ -73,7 +75,13 @@ def _levels(hashed: DataFrame) -> Column:
     every = words.unionByName(hashed.sparkSession.range(BUCKETS).withColumn("n", F.lit(0).cast("long"))).groupBy("id").agg(F.sum("n").alias("n"))
     level = F.floor(LEVELS * F.log2(F.greatest("n", F.lit(1)))).cast("int").alias("level")
     block = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", level))), lambda x: x["level"]), ",")
-    blocks = every.groupBy(F.floor(F.col("id") / (BUCKETS // BLOCKS)).alias("at")).agg(block.alias("levels")).orderBy("at").collect()  # BLOCKS rows
+    conf = hashed.sparkSession.conf
+    before = conf.get(FAST_KEYS)
+    conf.set(FAST_KEYS, FAST_KEYS_BITS)
+    try:
+        blocks = every.groupBy(F.floor(F.col("id") / (BUCKETS // BLOCKS)).alias("at")).agg(block.alias("levels")).orderBy("at").collect()  # BLOCKS rows
+    finally:
+        conf.set(FAST_KEYS, before)
     return F.from_json(F.lit(f"[{','.join(b.levels for b in blocks)}]"), "array<bigint>")
 
 
@@ -128,10 +136,11 @@ def _tried(contents: DataFrame) -> DataFrame:
     return out
 
 
-def _left(contents: DataFrame, share: int) -> DataFrame:
+def _left(contents: DataFrame, share: int, few_done: bool) -> DataFrame:
     """Pairs (sid, other) that meet at a word of one share of PASSES, pass the filters and whose later set is not `done`, that is matched.
 
     Longer sets without a match meet all shorter ones, matched ones only those without a match: no two matched sets meet.
+    few_done: the words of matched sets may be broadcast.
     """
     undone, done = contents.where("not done"), contents.where("done")
     mine = F.pmod("word", F.lit(PASSES)) == share
@@ -150,9 +159,8 @@ def _left(contents: DataFrame, share: int) -> DataFrame:
     may = (F.col("word") == F.col("o_word")) & ordered & _may_match("", "o_", n, m) & placed
     other = lambda rows: rows.select(*(F.col(c).alias(f"o_{c}") for c in rows.columns))
     first = at_words(undone, F.col("prefix"), F.col("doc")).join(other(of_all), may & (F.col("doc") >= F.col("o_doc")))
-    rows = done.agg(F.sum(F.size("prefix"))).first()[0] or 0
     later = at_words(done, F.col("prefix"), F.col("doc"))
-    second = (F.broadcast(later) if rows <= BROADCAST_ROWS else later).join(other(at_words(undone, short, F.col("doc"))), may & (F.col("doc") <= F.col("o_doc")))
+    second = (F.broadcast(later) if few_done else later).join(other(at_words(undone, short, F.col("doc"))), may & (F.col("doc") <= F.col("o_doc")))
     return first.select("sid", F.col("o_sid").alias("other")).union(second.select("sid", "o_sid")).distinct()
 
 
@@ -209,17 +217,25 @@ def later_lines(docs: DataFrame) -> DataFrame:
     discard(hashed)
     tried = _tried(_contents(sets))
     early = _verified(tried, sets, docs)
-    told = stored(sets.join(_small(early.withColumn("done", F.lit(True))), "sid", "left").withColumn("done", F.coalesce("done", F.lit(False))), random=True)
-    discard(sets, tried)
-    left = [stored(_left(_contents(told, "done"), share)) for share in range(PASSES)]
-    late = _verified(reduce(DataFrame.union, left), told, docs)
+    kept, told = sets, sets.join(_small(early.withColumn("done", F.lit(True))), "sid", "left").withColumn("done", F.coalesce("done", F.lit(False)))
+    if early.count() > BROADCAST_ROWS:  # a few matched sets are looked up wherever sets are read, of many it is written down
+        kept = told = stored(told, random=True)
+        discard(sets)
+    discard(tried)
+    # a prefix has a fifth of the words and one more
+    few_done = (told.where("done").agg(F.sum(F.floor(F.col("n") / 5) + 1)).first()[0] or 0) <= BROADCAST_ROWS
+    left = [stored(_left(_contents(told, "done"), share, few_done)) for share in range(PASSES)]
+    # similar sets share many words, so most of their pairs are met in each pass
+    met = stored(reduce(DataFrame.union, left).distinct())
     discard(*left)
+    late = _verified(met, kept, docs)
+    discard(met)
     near = _small(early.union(late).distinct())
     said = "sid", "first", "copies"
-    repeated = told.where("copies > 1").select(*said).join(near, "sid", "left_anti").withColumn("near", F.lit(False))
-    judged = stored(told.select(*said).join(near, "sid", "left_semi").withColumn("near", F.lit(True)).unionByName(repeated))
+    repeated = kept.where("copies > 1").select(*said).join(near, "sid", "left_anti").withColumn("near", F.lit(False))
+    judged = stored(kept.select(*said).join(near, "sid", "left_semi").withColumn("near", F.lit(True)).unionByName(repeated))
     out = stored(_gone(lines, judged).groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("line")).alias("removed")))
-    discard(lines, told, early, late, judged)
+    discard(lines, kept, early, late, judged)
     return out
 
 
@@ -253,7 +269,8 @@ def report(docs: DataFrame) -> DataFrame:
     Null text has no lines, empty text one without words. Repeated rows stay, an
     empty table stays empty, other columns are ignored.
     """
-    counted = docs.select("doc_id", F.xxhash64("text").alias("text_h"), F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).alias("n_lines"), F.col("text").isNull().alias("none"))
+    feeds = F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))
+    counted = docs.select("doc_id", F.xxhash64("text").alias("text_h"), F.coalesce(feeds + 1, F.lit(0)).alias("n_lines"), F.col("text").isNull().alias("none"))
     gone = later_lines(docs).toDF("d", "h", "removed")
     out = counted.join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_h") == F.col("h")), "left")
     removed = F.coalesce("removed", F.array().cast(NONE))
