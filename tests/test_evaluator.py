@@ -12,6 +12,7 @@ from tests.conftest import SF, rows_of
 from witnesslake import catalog
 from witnesslake.functions import values
 from witnesslake.operators import documents, evaluator, incidents, subscriptions
+from witnesslake.queries.evaluator import _subscriptions
 
 DAY = 86_400 * 10**9
 
@@ -154,6 +155,36 @@ def test_subscriptions_are_found(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_subscription_totals(spark):
+    draw = random.Random(9)
+    kinds, cams, classes, keys = ["k1", "k2", "k3"], ["c1", "c2"], ["p", "p.q", "p.q.r", "v", "pq"], ["a", "b"]
+    pick = lambda x: draw.choice([[], None, draw.sample(x, 1), draw.sample(x, 2)])
+    subs = [(i // 2, pick(kinds), pick(cams), pick(classes), pick(keys)) for i in range(120)]  # two rows each: an observation counts for both
+    obs = [(i, draw.choice([*kinds, None]), draw.choice([*cams, None]), draw.choice([*classes, None]), draw.choice([*keys, None])) for i in range(90)]
+    frames = spark.createDataFrame(obs, "event_id long, kind string, camera_id string, class_id string, attr_key string"), spark.createDataFrame(subs, "subscription int, kinds array<string>, cameras array<string>, classes array<string>, keys array<string>")
+    want = {}
+    for s, a, b, c, d in subs:
+        for o, w, x, y, z in obs:
+            if (not a or w in a) and (not b or x in b) and (not c or (y and any(below(y, q) for q in c))) and (not d or z in d):
+                want.setdefault(s, []).append(o)
+    assert sorted(map(tuple, subscriptions.totals(*frames, "event_id").collect())) == sorted((s, len(v), min(v), max(v)) for s, v in want.items())
+    assert subscriptions.totals(frames[0].limit(0), frames[1], "event_id").collect() == subscriptions.totals(frames[0], frames[1].limit(0), "event_id").collect() == []
+
+
+def test_the_subscription_query_makes_no_pairs(spark):
+    """Its joins make a row an entry of the index at most, however many observations an entry finds."""
+    got = catalog.QUERIES["subscription_index"](spark, SF)
+    pairs, made, plans = sum(r.n for r in got.collect()), [], [got._jdf.queryExecution().executedPlan()]  # noqa: SLF001
+    while plans:
+        plan = plans.pop()
+        kind = plan.getClass().getSimpleName()
+        if "Join" in kind:
+            made.append(plan.metrics().get("numOutputRows").get().value())
+        inner = "executedPlan" if kind == "AdaptiveSparkPlanExec" else "plan" if kind.endswith("QueryStageExec") else None
+        plans += [getattr(plan, inner)()] if inner else [plan.children().apply(i) for i in range(plan.children().size())]
+    assert 0 < sum(made) <= subscriptions.index(_subscriptions(spark, SF)).count() < pairs
+
+
 @pytest.mark.parametrize("name", ["findings_from_documents", "incidents_from_findings", "subscription_index"])
 def test_matches_sql(spark, duck, name):
     got, want = catalog.QUERIES[name](spark, SF), duck.sql(catalog.ORACLES[name])

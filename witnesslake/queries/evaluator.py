@@ -92,5 +92,5 @@ def _subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     and (c_custkey % 3 = 0 or starts_with(class_id, case c_custkey % 2 when 0 then 'person' else 'vehicle' end)) and (c_custkey % 5 = 0 or attr_key = 'a' || (c_custkey // 8 % 5)) group by 1""")
 def subscription_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many observations each subscription gets, and the first and last of them."""
-    found = subscriptions.matches(_obs(spark, sf_dir), _subscriptions(spark, sf_dir)).withColumn("e", F.col("observation_id").cast("long"))
-    return found.groupBy("subscription").agg(F.count("*").alias("n"), F.min("e").alias("first_event"), F.max("e").alias("last_event"))
+    obs = views.observations(spark, sf_dir, placed=False)
+    return subscriptions.totals(obs, _subscriptions(spark, sf_dir), "event_id").withColumnsRenamed({"first": "first_event", "last": "last_event"})
