@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 import pytest
@@ -98,6 +99,27 @@ def test_append_drops_repeats_in_batch(spark):
     assert sorted((r.observation_id, r.log_position) for r in log.append_idempotent(old, batch).collect()) == [("b", 2), ("z", 1)]
 
 
+def test_log_digest_is_flat(spark):
+    """One list of run digests a camera, for few runs and for many, as the query's SQL has it."""
+    sha = lambda parts: hashlib.sha256("\n".join(parts).encode()).hexdigest()
+    sizes = {"a": 700, "b": 1, "c": 4, "d": 5, "e": 12}
+    rows = [(f"i{c}{p}", "view" if p % 3 else None, p * 7, f"o{p % 4}", "person", c, p) for c, n in sizes.items() for p in range(1, n + 1)]
+    want = {}
+    for c, n in sizes.items():
+        lines = ["|".join(str(x) for x in r[:5] if x is not None) for r in rows if r[5] == c]
+        runs = [sha(lines[i : i + 2]) for i in range(0, n, 2)]
+        want[c] = (sha(runs), len(runs))
+    random.Random(2).shuffle(rows)
+    obs = spark.createDataFrame(rows, "observation_id string, kind string, t_ns long, object_id string, class_id string, camera_id string, log_position long")
+    for batch in (7, 10000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            assert {r.camera_id: (r.digest, r.n_runs) for r in log.digest_by_camera(obs, 2).collect()} == want
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert log.digest_by_camera(obs.limit(0)).collect() == []
+
+
 def test_percentile_rules(spark):
     row = spark.createDataFrame([([1.0, 2.0, 3.0, 4.0],)], "v array<double>").select(text.percentile_floor(F.col("v"), 0.5).alias("a"), text.percentile_nearest(F.col("v"), 0.5).alias("b")).first()
     assert (row.a, row.b) == (3.0, 2.0)

@@ -7,6 +7,10 @@ joined on the window's own keys.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,3 +75,30 @@ def tree_digest(digests: DataFrame, by: str, place: str, digest: str, width: int
             break
         most //= width
     return level.select(by, "digest")
+
+
+def flat_digest(digests: DataFrame, by: str, place: str, digest: str) -> DataFrame:
+    """digests(by, place, digest) as one a group, with their number n: the SHA-256 of all of them in order of place, a newline between two.
+
+    SHA-256 has no parts that could be joined, so a task goes through a group's
+    digests one after the other; it holds a batch of them, never the group.
+    """
+    nothing = object()
+
+    def chained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, made, n = nothing, hashlib.sha256(), 0
+        for batch in batches:
+            out = []
+            for group, d in zip(batch[by], batch[digest], strict=True):
+                if group != key:
+                    if key is not nothing:
+                        out.append((key, made.hexdigest(), n))
+                    key, made, n = group, hashlib.sha256(), 0
+                made.update(f"\n{d}".encode() if n else d.encode())
+                n += 1
+            yield pd.DataFrame(out, columns=[by, "digest", "n"])
+        if key is not nothing:
+            yield pd.DataFrame([(key, made.hexdigest(), n)], columns=[by, "digest", "n"])
+
+    rows = digests.select(by, place, digest).repartition(by).sortWithinPartitions(by, place)
+    return rows.mapInPandas(chained, f"{by} {dict(digests.dtypes)[by]}, digest string, n long")
